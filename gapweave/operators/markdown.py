@@ -13,7 +13,7 @@ def _grids(docs: DataFrame, text: str) -> DataFrame:
     def cells(line):
         return F.filter(F.transform(F.split(line, r"\|"), lambda c: strip(c)), lambda c: c != "")
 
-    widest = F.aggregate("_body", F.lit(0), lambda top, row: F.greatest(top, F.size(row)))
+    widest = F.array_max(F.transform("_body", lambda row: F.size(row)))
     error = (
         F.when(F.col(text).isNull() | (F.size("_rows") == 0), F.lit("no table"))
         .when(F.size(F.array_distinct("_header")) != F.size("_header"), F.lit("duplicate column"))
@@ -23,7 +23,7 @@ def _grids(docs: DataFrame, text: str) -> DataFrame:
         docs.withColumn("_rows", F.transform(lines, cells))
         .withColumn("_header", F.get("_rows", F.lit(0)))
         # The second row is the |---| separator, whatever it holds.
-        .withColumn("_body", F.coalesce(F.slice("_rows", 3, 2147483647), F.array()))
+        .withColumn("_body", F.filter("_rows", lambda row, i: i >= 2))
         .withColumn("_error", error)
     )
 
@@ -37,7 +37,7 @@ def parse_tables(docs: DataFrame, key: str = "request_id", text: str = "markdown
     """
     grid = _grids(docs, text).where(F.col("_error").isNull())
     rows = grid.select(key, "_header", F.posexplode("_body").alias("row_no", "_cells"))
-    columns = F.slice("_header", 2, 2147483647)
+    columns = F.filter("_header", lambda name, i: i >= 1)
     cells = rows.select(
         key,
         "row_no",

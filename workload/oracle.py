@@ -245,7 +245,7 @@ ORACLE = {
     "course_gain": _with(*IMPROVED, GAINS) + "SELECT request_id, evidence, gain FROM gains",
     "gap_improvement": _with(*INITIAL, *IMPROVED)
     + "SELECT request_id, skill, round(a.gap_score, 6) AS initial, round(b.gap_score, 6) AS improved, "
-    "round(b.gap_score - a.gap_score, 6) AS delta FROM initial_scores a FULL JOIN improved_scores b USING (request_id, skill)",
+    "round(b.gap_score - a.gap_score, 6) + 0e0 AS delta FROM initial_scores a FULL JOIN improved_scores b USING (request_id, skill)",
     "skills_normalize": JOB
     + "SELECT doc_id, CAST(len(skills) AS INT) AS n_skills, array_to_string(skills, '|') AS skills FROM checked",
     "record_parse": JOB
@@ -316,8 +316,8 @@ ORACLE = {
         NEAR,
         ("core", "SELECT a FROM near GROUP BY a HAVING count(*) >= 2"),
         ("links", "SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)"),
-        ("reach", "SELECT a AS id, a AS at FROM core UNION SELECT id, b FROM reach JOIN links ON at = a"),
-        ("labels", "SELECT id, min(at) AS label FROM reach GROUP BY id"),
+        ("reach", "SELECT a AS id, a AS hop FROM core UNION SELECT id, b FROM reach JOIN links ON hop = a"),
+        ("labels", "SELECT id, min(hop) AS label FROM reach GROUP BY id"),
         ("border", "SELECT a AS id, min(label) AS label FROM near JOIN labels ON b = id WHERE a NOT IN (FROM core) GROUP BY a"),
         ("named", "SELECT *, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM (FROM labels UNION ALL FROM border)"),
     )

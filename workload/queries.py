@@ -217,8 +217,9 @@ def gap_improvement(spark, sf):
     rounds = improve.improvement(
         improve.response_cells(t.initial_responses(spark, sf)), improve.response_cells(t.improved_responses(spark, sf))
     )
+    # + 0.0 turns a rounded -0.0 into 0.0.
     return rounds["delta"].select(
-        "request_id", "skill", *[F.round(c, 6).alias(c) for c in ("initial", "improved", "delta")]
+        "request_id", "skill", *[(F.round(c, 6) + 0.0).alias(c) for c in ("initial", "improved", "delta")]
     )
 
 
