@@ -26,8 +26,8 @@ def penalty_weight(evidence: Column, match_certificate: bool = False) -> Column:
 
 def provider_tier(provider: Column) -> Column:
     """Quality tier 0-4. The 64 names are one literal map, so no join is needed."""
-    pairs = [F.lit(v) for tier, names in PROVIDER_TIERS.items() for name in names for v in (name, tier)]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), provider), F.lit(0))
+    pairs = ", ".join(f"'{name}', {tier}" for tier, names in PROVIDER_TIERS.items() for name in names)
+    return F.coalesce(F.try_element_at(F.expr(f"map({pairs})"), provider), F.lit(0))
 
 
 def quality_score(provider: Column) -> Column:

@@ -4,7 +4,11 @@ from pyspark.sql import Column, functions as F
 
 # White space as Unicode and the C0 separators define it.
 SPACE = r"(?U)[\s\x1C-\x1F]"
-EDGE_SPACE = rf"^(?:{SPACE}+)|(?:{SPACE}+)$"
+NOT_SPACE = r"(?U)[^\s\x1C-\x1F]"
+SPACE_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # An amount such as "3", "3-5" or "3-", in front of a unit.
 AMOUNT = r"(?U)([0-9]+)-?([0-9]+)?[\s\x1C-\x1F]*"
@@ -18,12 +22,12 @@ INFINITE = r"^(?i)[+-]?inf(inity)?$"
 
 def strip(text: Column) -> Column:
     """Drop white space of every kind at both ends (``trim`` drops blanks only)."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def blank_to_null(text: Column) -> Column:
     """An empty input box means "not given"."""
-    return F.when(strip(text) != "", text)
+    return F.when(text.rlike(NOT_SPACE), text)
 
 
 def clean_text(text: Column) -> Column:

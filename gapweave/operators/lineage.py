@@ -2,7 +2,16 @@
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that it is computed once per row.
+
+    Spark copies a plain projected column into every later filter and expression
+    that uses it; it never does that with the output of a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from gapweave.functions.text import strip, to_number
+from gapweave.operators.lineage import once
 from gapweave.schemas import SKILL_HEADER
 
 
@@ -19,13 +20,14 @@ def _grids(docs: DataFrame, text: str) -> DataFrame:
         .when(F.size(F.array_distinct("_header")) != F.size("_header"), F.lit("duplicate column"))
         .when((F.size("_body") > 0) & (widest != F.size("_header")), F.lit("row width differs from header"))
     )
-    return (
-        docs.withColumn("_rows", F.transform(lines, cells))
-        .withColumn("_header", F.get("_rows", F.lit(0)))
-        # The second row is the |---| separator, whatever it holds.
-        .withColumn("_body", F.filter("_rows", lambda row, i: i >= 2))
-        .withColumn("_error", error)
+    # The second row is the |---| separator, whatever it holds.
+    parsed = once(docs, "_rows", F.transform(lines, cells)).select(
+        *docs.columns,
+        "_rows",
+        F.get("_rows", F.lit(0)).alias("_header"),
+        F.filter("_rows", lambda row, i: i >= 2).alias("_body"),
     )
+    return once(parsed, "_error", error)
 
 
 def parse_tables(docs: DataFrame, key: str = "request_id", text: str = "markdown") -> DataFrame:
@@ -35,7 +37,7 @@ def parse_tables(docs: DataFrame, key: str = "request_id", text: str = "markdown
     at the end of a row and cells that are not numbers have a null score.
     Documents without a valid table give no rows; see ``table_errors``.
     """
-    grid = _grids(docs, text).where(F.col("_error").isNull())
+    grid = _grids(docs.select(key, text), text).where(F.col("_error").isNull())
     rows = grid.select(key, "_header", F.posexplode("_body").alias("row_no", "_cells"))
     columns = F.filter("_header", lambda name, i: i >= 1)
     cells = rows.select(

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gapweave.operators.lineage import checkpointed
 
 MERGE_FAN_IN = 64
+WINDOW_ROWS = 1_000_000
 
 
 def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -53,26 +54,35 @@ def last_per_group(df: DataFrame, keys: list[str], position: str) -> DataFrame:
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    """1-based position of every row inside its group, with no group in one task.
+    """1-based position of every row inside its group.
 
-    Rows are range-sorted by (keys, order) and written to the checkpoint folder,
-    which fixes the slices. A row's rank is its place inside its slice plus the
-    number of rows its group has in earlier slices; those counts are one row per
-    slice and group.
+    The rows are written to the checkpoint folder and the groups counted. When no
+    group exceeds ``WINDOW_ROWS``, a window numbers them. Otherwise the rows are
+    range-sorted by (keys, order) into slices, so no group sits in one task: a
+    row's rank is its place in its slice plus its group's rows in earlier slices.
     """
-    sorted_rows = df.repartitionByRange(*[F.col(k) for k in keys], *order) if keys else df.repartitionByRange(*order)
-    sliced = checkpointed(sorted_rows.withColumn("_slice", F.spark_partition_id()))
+    held = checkpointed(df)
+    largest = held.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= WINDOW_ROWS:
+        return held.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+    # The checkpoint fixes which row is in which slice.
+    ranges = held.repartitionByRange(*[F.col(k) for k in keys], *order)
+    sliced = checkpointed(ranges.withColumn("_slice", F.spark_partition_id()))
     here = Window.partitionBy("_slice", *keys).orderBy(*order)
-    # A group spans neighbouring slices only, so this window holds one row per slice.
+    # One row per slice and group, so this window is as small as the slice count.
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy("_slice", *keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
+        .select(
+            F.col("_slice").alias("_at"),
+            *[F.col(k).alias(f"_at_{k}") for k in keys],
+            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+        )
     )
-    local = sliced.withColumn("_local", F.row_number().over(here))
-    joined = local.join(offsets.withColumnsRenamed({k: f"_o_{k}" for k in keys}).withColumnRenamed("_slice", "_o_slice"),
-                        [F.col("_slice") == F.col("_o_slice")]
-                        + [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys])
-    return joined.select(*df.columns, (F.col("_local") + F.col("_offset")).alias(name))
+    same = F.col("_slice") == F.col("_at")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_at_{key}"))
+    numbered = sliced.withColumn("_local", F.row_number().over(here)).join(offsets, same)
+    return numbered.select(*df.columns, (F.col("_local") + F.col("_offset")).cast("int").alias(name))

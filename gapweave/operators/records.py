@@ -1,7 +1,12 @@
-"""Typed records out of raw model responses held in a table."""
+"""Typed records out of raw model responses held in a table.
+
+The rules are written as Spark SQL text over the parsed response: one expression
+per rule set instead of hundreds of small Column calls.
+"""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gapweave.operators.lineage import once
 from gapweave.schemas import (
     EMPLOYMENT_TYPES,
     JOB_SCHEMA,
@@ -22,205 +27,187 @@ def json_part(raw: Column) -> Column:
 
 def loose_parse(responses: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``parsed`` (variant, null when the text is not JSON); keep the raw text."""
-    return responses.withColumn("parsed", F.try_parse_json(json_part(F.col(raw))))
-
-
-def _get(value: Column, path: str, data_type: str) -> Column:
-    return F.try_variant_get(value, path, data_type)
-
-
-def _items(value: Column, name: str) -> Column:
-    return _get(value, f"$.{name}", "array<variant>")
-
-
-def _has(value: Column, name: str) -> Column:
-    """The key is present, be it with a JSON null."""
-    keys = F.map_keys(_get(value, "$", "map<string,variant>"))
-    return F.coalesce(F.array_contains(keys, name), F.lit(False))
+    return once(responses, "parsed", F.try_parse_json(json_part(F.col(raw))))
 
 
-def _is_null(value: Column, name: str) -> Column:
-    return F.coalesce(F.is_variant_null(_get(value, f"$.{name}", "variant")), F.lit(True))
+# --- SQL text --------------------------------------------------------------
 
 
-def _type(value: Column, name: str) -> Column:
-    return F.schema_of_variant(_get(value, f"$.{name}", "variant"))
+def _get(value: str, path: str, data_type: str) -> str:
+    return f"try_variant_get({value}, '{path}', '{data_type}')"
 
 
-def skill_names(value: Column, name: str) -> Column:
-    """A skill list as names; items are plain strings or objects with a ``skill``."""
-    items = F.coalesce(_items(value, name), F.array().cast("array<variant>"))
-    return F.transform(
-        items,
-        lambda item: F.coalesce(_get(item, "$.skill", "string"), _get(item, "$", "string")),
-    )
+def _field(value: str, name: str) -> str:
+    """The field as a variant: SQL null when absent, a variant null when null."""
+    return _get(value, f"$.{name}", "variant")
 
 
-def normalize_skills(responses: DataFrame, name: str = "must_have_skills", raw: str = "raw") -> DataFrame:
-    """Add ``skills``: the named skill list as an array of strings, empty if unreadable."""
-    parsed = F.try_parse_json(json_part(F.col(raw)))
-    return responses.withColumn("skills", skill_names(parsed, name))
+def _kind(value: str, name: str) -> str:
+    """``STRING``, ``VOID`` for a null, another type name, or null when absent."""
+    return f"schema_of_variant({_field(value, name)})"
 
 
-def _text_ok(value: Column, name: str, null_ok: bool, key_needed: bool) -> Column:
+def _text_ok(value: str, name: str, null_ok: bool = False, key_needed: bool = True) -> str:
     """True when the field holds text, or is null or absent where that is allowed."""
-    is_text = _type(value, name) == "STRING"
-    absent = ~_has(value, name)
-    null = _has(value, name) & _is_null(value, name)
-    ok = F.coalesce(is_text, F.lit(False))
-    if null_ok:
-        ok = ok | null
-    if not key_needed:
-        ok = ok | absent
-    return ok
+    kinds = "'STRING', 'VOID'" if null_ok else "'STRING'"
+    absent_ok = "false" if key_needed else f"{_field(value, name)} IS NULL"
+    return f"(CASE WHEN {_kind(value, name)} IN ({kinds}) THEN true ELSE {absent_ok} END)"
+
+
+def _list_ok(value: str, name: str, item_ok, key_needed: bool = False, null_ok: bool = True) -> str:
+    """True for a list of good items, or null or absent where that is allowed."""
+    field, item = _field(value, name), f"{name}_item"
+    return (
+        f"(CASE WHEN {field} IS NULL THEN {str(not key_needed).lower()} "
+        f"WHEN is_variant_null({field}) THEN {str(null_ok).lower()} "
+        f"ELSE coalesce(forall({_get(field, '$', 'array<variant>')}, {item} -> {item_ok(item)}), false) END)"
+    )
 
 
-def _list_ok(value: Column, name: str, item_ok, key_needed: bool = False, null_ok: bool = True) -> Column:
-    items = _items(value, name)
-    good = F.coalesce(F.forall(items, item_ok), F.lit(False))
-    if null_ok:
-        good = good | (_has(value, name) & _is_null(value, name))
-    if not key_needed:
-        good = good | ~_has(value, name)
-    return good
+def _is_text(item: str) -> str:
+    return f"schema_of_variant({item}) = 'STRING'"
 
 
-def _is_text(item: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(item) == "STRING", F.lit(False))
+def _one_of(value: str, name: str, words: list[str]) -> str:
+    listed = ", ".join(f"'{word}'" for word in words)
+    return f"coalesce({_get(value, f'$.{name}', 'string')} IN ({listed}), false)"
 
 
-def _one_kind_of_skill(value: Column, name: str) -> Column:
+def _skills_ok(value: str, name: str) -> str:
     """All items are strings, or all are objects with a text ``skill``."""
-    return _list_ok(value, name, _is_text) | _list_ok(
-        value, name, lambda item: _text_ok(item, "skill", False, True)
-    )
+    objects = _list_ok(value, name, lambda item: _text_ok(item, "skill"))
+    return f"({_list_ok(value, name, _is_text)} OR {objects})"
 
 
-def _one_of(value: Column, name: str, words: list[str]) -> Column:
-    return F.coalesce(_get(value, f"$.{name}", "string").isin(words), F.lit(False))
+def _null_or(value: str, name: str, rule: str) -> str:
+    return f"(coalesce({_kind(value, name)} = 'VOID', false) OR {rule})"
 
 
-def _job_checks(v: Column) -> dict[str, Column]:
-    null_kind = _has(v, "employment_type") & _is_null(v, "employment_type")
+def _job_rules(v: str) -> dict[str, str]:
     return {
-        "job_title": _text_ok(v, "job_title", True, True),
-        "employment_type": null_kind | _one_of(v, "employment_type", EMPLOYMENT_TYPES),
-        "key_responsibilities": _list_ok(
-            v, "key_responsibilities", lambda i: _text_ok(i, "description", False, True)
-        ),
-        "qualifications": _list_ok(v, "qualifications", lambda i: _text_ok(i, "qualification", False, True)),
+        "job_title": _text_ok(v, "job_title", null_ok=True),
+        "employment_type": _null_or(v, "employment_type", _one_of(v, "employment_type", EMPLOYMENT_TYPES)),
+        "key_responsibilities": _list_ok(v, "key_responsibilities", lambda i: _text_ok(i, "description")),
+        "qualifications": _list_ok(v, "qualifications", lambda i: _text_ok(i, "qualification")),
         "education_requirements": _list_ok(
             v,
             "education_requirements",
-            lambda i: _text_ok(i, "degree", False, False) & _text_ok(i, "field_of_study", True, True),
+            lambda i: f"{_text_ok(i, 'degree', key_needed=False)} AND {_text_ok(i, 'field_of_study', null_ok=True)}",
         ),
-        "must_have_skills": _one_kind_of_skill(v, "must_have_skills"),
-        "bonus_skills": _one_kind_of_skill(v, "bonus_skills"),
+        "must_have_skills": _skills_ok(v, "must_have_skills"),
+        "bonus_skills": _skills_ok(v, "bonus_skills"),
     }
 
 
-def _resume_checks(v: Column) -> dict[str, Column]:
+def _resume_rules(v: str) -> dict[str, str]:
     low, high = PUBLICATION_YEARS
 
     def year_ok(item):
-        null = _has(item, "year") & _is_null(item, "year")
-        year = _get(item, "$.year", "bigint")
-        whole = _get(item, "$.year", "double") == year.cast("double")
-        return null | F.coalesce(year.between(low, high) & whole, F.lit(False))
+        year = _get(item, "$.year", "double")
+        return _null_or(item, "year", f"coalesce({year} BETWEEN {low} AND {high} AND {year} = floor({year}), false)")
+
+    def all_of(*rules):
+        return " AND ".join(rules)
 
     return {
         "skills": _list_ok(v, "skills", _is_text, null_ok=False),
         "certifications": _list_ok(
             v,
             "certifications",
-            lambda i: _text_ok(i, "name", False, True) & _text_ok(i, "organization", True, True),
+            lambda i: all_of(_text_ok(i, "name"), _text_ok(i, "organization", null_ok=True)),
             key_needed=True,
         ),
         "projects": _list_ok(
             v,
             "projects",
-            lambda i: _text_ok(i, "title", False, True)
-            & _text_ok(i, "description", True, True)
-            & (~_has(i, "type") | _one_of(i, "type", PROJECT_TYPES)),
+            lambda i: all_of(
+                _text_ok(i, "title"),
+                _text_ok(i, "description", null_ok=True),
+                f"({_field(i, 'type')} IS NULL OR {_one_of(i, 'type', PROJECT_TYPES)})",
+            ),
             key_needed=True,
         ),
         "publications": _list_ok(
             v,
             "publications",
-            lambda i: _text_ok(i, "title", False, True) & _text_ok(i, "journal", True, True) & year_ok(i),
+            lambda i: all_of(_text_ok(i, "title"), _text_ok(i, "journal", null_ok=True), year_ok(i)),
             key_needed=True,
         ),
         "academic_awards": _list_ok(
             v,
             "academic_awards",
-            lambda i: _text_ok(i, "title", False, True)
-            & _list_ok(i, "related_skills", _is_text, key_needed=True),
+            lambda i: all_of(_text_ok(i, "title"), _list_ok(i, "related_skills", _is_text, key_needed=True)),
             key_needed=True,
         ),
     }
 
 
-def _errors(v: Column, checks: dict[str, Column]) -> Column:
-    """Names of the fields that break a rule; ``not json`` when nothing was read."""
-    broken = F.filter(
-        F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()]), lambda n: n.isNotNull()
-    )
-    not_object = v.isNull() | _get(v, "$", "map<string,variant>").isNull()
-    return F.when(not_object, F.array(F.lit("not json"))).otherwise(broken)
+def _errors(v: str, rules: dict[str, str]) -> str:
+    """Names of the fields that break a rule; ``not json`` when no object was read."""
+    broken = ", ".join(f"CASE WHEN NOT {rule} THEN '{name}' END" for name, rule in rules.items())
+    is_object = f"coalesce(startswith(schema_of_variant({v}), 'OBJECT'), false)"
+    return f"CASE WHEN NOT {is_object} THEN array('not json') ELSE array_compact(array({broken})) END"
 
 
-def _or_empty(v: Column, name: str, data_type) -> Column:
+def _list(v: str, name: str, schema) -> str:
     """An absent list is empty; a list given as null stays null."""
-    read = _get(v, f"$.{name}", data_type.simpleString())
-    return F.when(_has(v, name), read).otherwise(F.array().cast(data_type))
-
-
-def _job_record(v: Column) -> Column:
-    def names(field):
-        null = _has(v, field) & _is_null(v, field)
-        return F.when(~null, skill_names(v, field)).alias(field)
-
-    def plain(field):
-        return _or_empty(v, field, JOB_SCHEMA[field].dataType).alias(field)
-
-    return F.struct(
-        _get(v, "$.job_title", "string").alias("job_title"),
-        _get(v, "$.employment_type", "string").alias("employment_type"),
-        plain("key_responsibilities"),
-        plain("qualifications"),
-        plain("education_requirements"),
-        names("must_have_skills"),
-        names("bonus_skills"),
-    )
+    data_type = schema[name].dataType.simpleString()
+    return f"CASE WHEN {_field(v, name)} IS NULL THEN cast(array() AS {data_type}) ELSE {_get(v, f'$.{name}', data_type)} END"
+
+
+def _skill_names(v: str, name: str) -> str:
+    """Items are plain strings or objects with a ``skill``; null unless a list."""
+    name_of = f"coalesce({_get('item', '$.skill', 'string')}, {_get('item', '$', 'string')})"
+    return f"transform({_get(v, f'$.{name}', 'array<variant>')}, item -> {name_of})"
 
 
-def _resume_record(v: Column) -> Column:
-    def plain(field):
-        return _or_empty(v, field, RESUME_SCHEMA[field].dataType)
+def _struct(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in fields.items()) + ")"
 
-    projects = F.transform(
-        plain("projects"),
-        lambda p: p.withField("type", F.coalesce(p.getField("type"), F.lit(PROJECT_TYPE_DEFAULT))),
+
+def _job_record(v: str) -> str:
+    def skills(name):
+        return f"CASE WHEN {_field(v, name)} IS NULL THEN cast(array() AS array<string>) ELSE {_skill_names(v, name)} END"
+
+    lists = ["key_responsibilities", "qualifications", "education_requirements"]
+    return _struct(
+        {
+            "job_title": _get(v, "$.job_title", "string"),
+            "employment_type": _get(v, "$.employment_type", "string"),
+            **{name: _list(v, name, JOB_SCHEMA) for name in lists},
+            "must_have_skills": skills("must_have_skills"),
+            "bonus_skills": skills("bonus_skills"),
+        }
     )
-    return F.struct(
-        plain("skills").alias("skills"),
-        plain("certifications").alias("certifications"),
-        projects.alias("projects"),
-        plain("publications").alias("publications"),
-        plain("academic_awards").alias("academic_awards"),
+
+
+def _resume_record(v: str) -> str:
+    fields = {name: _list(v, name, RESUME_SCHEMA) for name in RESUME_SCHEMA.names}
+    fields["projects"] = (
+        f"transform({fields['projects']}, p -> named_struct('title', p.title, 'description', p.description, "
+        f"'type', coalesce(p.type, '{PROJECT_TYPE_DEFAULT}')))"
     )
+    return _struct(fields)
+
+
+KINDS = {"job": (_job_rules, _job_record), "resume": (_resume_rules, _resume_record)}
+
 
+# --- operators -------------------------------------------------------------
 
-KINDS = {"job": (_job_checks, _job_record), "resume": (_resume_checks, _resume_record)}
+
+def normalize_skills(responses: DataFrame, name: str = "must_have_skills", raw: str = "raw") -> DataFrame:
+    """Add ``skills``: the named skill list as an array of strings, empty if unreadable."""
+    skills = F.expr(f"coalesce({_skill_names('parsed', name)}, cast(array() AS array<string>))")
+    return once(loose_parse(responses, raw), "skills", skills).drop("parsed")
 
 
 def parse_records(responses: DataFrame, kind: str, raw: str = "raw") -> DataFrame:
     """Add ``record`` (null when invalid) and ``errors`` (empty when valid)."""
-    checks, build = KINDS[kind]
-    parsed = loose_parse(responses, raw)
-    v = F.col("parsed")
-    checked = parsed.withColumn("errors", _errors(v, checks(v)))
-    return checked.withColumn("record", F.when(F.size("errors") == 0, build(v))).drop("parsed")
+    rules, build = KINDS[kind]
+    checked = once(loose_parse(responses, raw), "errors", F.expr(_errors("parsed", rules("parsed"))))
+    record = F.expr(f"CASE WHEN size(errors) = 0 THEN {build('parsed')} END")
+    return once(checked, "record", record).drop("parsed")
 
 
 def valid_records(parsed: DataFrame) -> DataFrame:

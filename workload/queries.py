@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gapweave.functions.scores import quality_score, weighted_score
 from gapweave.functions.text import clean_text, duration_hours, record_text
 from gapweave.operators import clustering, dedup, gap, keyed, markdown, records, similarity
+from gapweave.operators.lineage import checkpointed
 from gapweave.operators.ranking import best_per_group
 from gapweave.plans import improve, interactions, recommend
 from gapweave.schemas import RESUME_SCHEMA
@@ -379,8 +380,9 @@ def store_deleted_ids(spark, sf):
 
 @query
 def interaction_record(spark, sf):
-    initial = improve.response_cells(t.initial_responses(spark, sf))
-    improved = improve.response_cells(t.improved_responses(spark, sf))
+    # Both rounds' cells feed several sections, so they are stored once.
+    initial = checkpointed(improve.response_cells(t.initial_responses(spark, sf)))
+    improved = checkpointed(improve.response_cells(t.improved_responses(spark, sf)))
     rounds = improve.improvement(initial, improved)
 
     def rounded(df, name):

@@ -93,6 +93,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that comes as one small file.
+
+    The given tables are single files, hence single tasks. A table with at least
+    as many files as cores is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def raw_courses(spark, sf_dir) -> DataFrame:
     joined = table(spark, sf_dir, "part").join(
         table(spark, sf_dir, "documents"), F.col("p_partkey") == F.col("doc_id"), "left"
@@ -137,13 +147,15 @@ def points(spark, sf_dir) -> DataFrame:
 
 
 def job_responses(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").alias("doc_id"), F.col("o_custkey"), F.expr(JOB_RAW).alias("raw")
     )
 
 
 def resume_responses(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(RESUME_RAW).alias("raw"))
+    return spread(table(spark, sf_dir, "customer")).select(
+        F.col("c_custkey").alias("doc_id"), F.expr(RESUME_RAW).alias("raw")
+    )
 
 
 def _matrices(spark, sf_dir, headers: dict, pick) -> DataFrame:
