@@ -181,9 +181,10 @@ def _smallest_near(points: DataFrame, core: DataFrame, eps: float, digits: int)
 def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 2, digits: int = 9) -> DataFrame:
     """Density clusters by cosine distance over (id, vector): (id, cluster), noise -1.
 
-    A point counts itself. Core points take the smallest label among the core
-    points near them, then the label of that label, until nothing changes; each
-    round is written to the checkpoint folder. Neighbour pairs are never stored.
+    A point counts itself. Clusters of core points start as single points and are
+    hooked to the smallest cluster they touch until nothing changes, which halves
+    their number or better each round; rounds are written to the checkpoint
+    folder. Neighbour pairs are never stored.
     Clusters are numbered by their smallest core id, and a border point joins the
     first cluster that reaches it.
     """
@@ -192,17 +193,17 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 2, digits: in
     core = checkpointed(rows.join(dense, "id", "left_semi"))
     labels = core.select("id", F.col("id").alias("label"))
     while True:
-        near = _smallest_near(core, core.join(labels, "id"), eps, digits)
-        jump = near.select(F.col("id").alias("_at"), F.col("label").alias("_further"))
-        fresh = near.join(jump, F.col("label") == F.col("_at"), "left").select(
-            "id", F.least("label", F.coalesce("_further", "label")).alias("label")
+        near = _smallest_near(core, core.join(labels, "id"), eps, digits).withColumnRenamed("label", "near")
+        # Each cluster so far is hooked to the smallest one it touches, then to that one's own hook.
+        hooks = near.join(labels, "id").groupBy("label").agg(F.min("near").alias("parent"))
+        further = hooks.select(F.col("label").alias("parent"), F.col("parent").alias("root"))
+        roots = hooks.join(further, "parent").select("label", "root")
+        merged = labels.join(roots, "label").select(
+            "id", F.col("root").alias("label"), (F.col("root") < F.col("label")).alias("moved")
         )
-        moved = fresh.join(labels.withColumnRenamed("label", "_before"), "id").select(
-            "id", "label", (F.col("label") < F.col("_before")).alias("moved")
-        )
-        moved = checkpointed(moved)
-        labels = moved.drop("moved")
-        if moved.where("moved").isEmpty():
+        merged = checkpointed(merged)
+        labels = merged.drop("moved")
+        if merged.where("moved").isEmpty():
             break
     border = _smallest_near(rows.join(dense, "id", "left_anti"), core.join(labels, "id"), eps, digits)
     reached = labels.unionByName(border)

@@ -40,7 +40,6 @@ def knn(
     k: int = DEFAULT_K,
     score_mode: str = "atlas_cosine",
     digits: int = DIGITS,
-    held: pa.Table | None = None,
 ) -> DataFrame:
     """Exact ``k`` nearest catalogue rows of every skill.
 
@@ -89,7 +88,6 @@ def knn(
         skills.select("skill", "vector").where(F.col("vector").isNotNull()),
         local_best,
         "skill string, _id bigint, score double",
-        held,
     )
     return top_k_per_group(local, ["skill"], [F.desc("score"), F.asc("_id")], k)
 

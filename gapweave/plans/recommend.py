@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from gapweave.functions.scores import quality_score, weighted_score
-from gapweave.operators.blocks import MAX_BLOCK_ROWS, bounded_table
+from gapweave.operators.lineage import checkpointed
 from gapweave.operators.ranking import top_k_per_group
 from gapweave.operators.similarity import DEFAULT_K, knn
 from gapweave.schemas import DEFAULT_PREFERENCES
@@ -89,9 +89,9 @@ def recommend(
     fitting = pref_filter(catalog, preferences)
     if prefilter:
         vectors = vectors.join(fitting.select("_id"), "_id", "left_semi")
-    held = bounded_table(skills.select("skill", "vector").where(F.col("vector").isNotNull()))
-    hits = knn(vectors, skills, k, score_mode, held=held)
-    small = held is not None and held.num_rows * k <= MAX_BROADCAST_HITS
+    # The hits are used twice below; stored, the search runs once and their number is known.
+    hits = checkpointed(knn(vectors, skills, k, score_mode))
+    small = hits.count() <= MAX_BROADCAST_HITS
     # The score rule needs only the hits, so it runs before requests multiply them.
     # A course below it for its first skill must still lose to that skill, so for
     # "first" the rule is applied after the union.
@@ -99,7 +99,7 @@ def recommend(
 
     courses = fitting
     if small:
-        # At most skills * k ids: reduce the catalogue to them in its own scan.
+        # Reduce the catalogue to the courses found in its own scan.
         courses = fitting.join(F.broadcast(hits.select("_id").distinct()), "_id", "left_semi")
     scored = with_weighted_score(union.join(courses, "_id"), terms)
     if top_n is None:
