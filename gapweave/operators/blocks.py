@@ -78,7 +78,9 @@ def _grid(left: DataFrame, right: DataFrame, work, schema: str) -> DataFrame:
         )
 
     lefts = spread(left, "_left", left_blocks, "_right", right_blocks)
-    rights = spread(right, "_right", right_blocks, "_left", left_blocks)
+    # Fresh column identities: both sides are often the same table.
+    fresh = right.select(*[F.col(c).alias(c) for c in right.columns])
+    rights = spread(fresh, "_right", right_blocks, "_left", left_blocks)
     out_schema = left.sparkSession.createDataFrame([], schema).schema
 
     def pair(left_table: pa.Table, right_table: pa.Table) -> pa.Table:

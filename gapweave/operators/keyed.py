@@ -5,7 +5,7 @@ a key that comes a billion times reaches the join as one row. Joins carry no
 broadcast hint: Spark broadcasts a change set when its measured size allows it.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from gapweave.functions.text import epoch_text, moment_text
 from gapweave.operators.ranking import first_per_group, last_per_group
@@ -152,16 +152,16 @@ def swap_in(df: DataFrame, path: str, run_id: str) -> int:
     The input may be read from ``path``: it is only moved aside after the write
     is complete, to ``path``.old-``run_id``.
     """
-    from pyspark.sql import Observation
-
     spark = df.sparkSession
     staged = f"{path}.new-{run_id}"
-    seen = Observation("rows")
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("error").parquet(staged)
-
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     target, fresh, aside = hadoop(path), hadoop(staged), hadoop(f"{path}.old-{run_id}")
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(aside):
+        raise ValueError(f"run {run_id} has already replaced {path}")
+
+    seen = Observation("rows")
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("error").parquet(staged)
     if files.exists(target) and not files.rename(target, aside):
         raise OSError(f"cannot move {path} aside")
     if not files.rename(fresh, target):

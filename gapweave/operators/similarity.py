@@ -133,8 +133,10 @@ def similarity_matrix(
     last = wanted.agg(F.max("skill_pos")).first()[0] // TILE
     passes = None
     for tile in range(last + 1):
-        part = wanted.where(F.floor(F.col("skill_pos") / TILE) == tile)
-        out = against_all(courses, part, rows, schema)
+        held = bounded_table(wanted.where(F.floor(F.col("skill_pos") / TILE) == tile), TILE)
+        if held is None:
+            raise ValueError("skill_pos repeats: a skill has one position")
+        out = against_all(courses, wanted, rows, schema, held)
         passes = out if passes is None else passes.unionByName(out)
     return passes
 
