@@ -2,11 +2,17 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml import Pipeline
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gapweave.operators.blocks import against_all, bounded_table, steps, to_matrix, unit_rows
+from gapweave.operators.lineage import checkpointed
 from gapweave.operators.ranking import top_k_per_group
 
+HITS = "skill string, _id bigint, score double"
 DEFAULT_K = 50
 DIGITS = 6
 TILE = 4096
@@ -50,11 +56,31 @@ def knn(
     """
     _check(score_mode)
 
+    local = against_all(
+        vectors.select("_id", "vector").where(F.col("vector").isNotNull()),
+        skills.select("skill", "vector").where(F.col("vector").isNotNull()),
+        _keep_best(k, score_mode, digits),
+        HITS,
+    )
+    return top_k_per_group(local, ["skill"], [F.desc("score"), F.asc("_id")], k)
+
+
+def _keep_best(k, score_mode, digits, lists=0):
+    """Task work of a search: the best k rows of the task for each skill.
+
+    With ``lists`` cells, a row counts only for skills that probe its cell.
+    """
+
     def local_best(batches, right):
         names = np.asarray(right.column("skill").to_pylist(), dtype=object)
         if len(names) == 0:
             return
         others = unit_rows(to_matrix(right.column("vector")))
+        cells = None
+        if lists:
+            cells = np.zeros((len(names), lists), dtype=bool)
+            for j, probes in enumerate(right.column("probes").to_pylist()):
+                cells[j, probes] = True
         best_ids = [np.zeros(0, np.int64)] * len(names)
         best_scores = [np.zeros(0)] * len(names)
         worst_kept = np.full(len(names), -np.inf)
@@ -62,6 +88,8 @@ def knn(
             ids = batch.column("_id").to_numpy(zero_copy_only=False)
             scores = _scores(to_matrix(batch.column("vector")), others, score_mode, digits)
             better = scores >= worst_kept
+            if cells is not None:
+                better &= cells[:, batch.column("list").to_numpy()].T
             for j in np.nonzero(better.any(axis=0))[0]:
                 s = np.concatenate([best_scores[j], scores[better[:, j], j]])
                 i = np.concatenate([best_ids[j], ids[better[:, j]]])
@@ -83,11 +111,55 @@ def knn(
             names=["skill", "_id", "score"],
         )
 
+    return local_best
+
+
+def build_index(vectors: DataFrame, lists: int = 256, seed: int = 0) -> tuple[DataFrame, list[list[float]]]:
+    """Cut the catalogue into ``lists`` cells of similar vectors (k-means on directions).
+
+    Returns (_id, vector, list) and the cells' centres. Store the table partitioned
+    by ``list``: an approximate search then reads the probed folders only.
+    """
+    unit = vectors.where(F.col("vector").isNotNull()).select("_id", F.col("vector").cast("array<double>").alias("vector"))
+    features = unit.withColumn("_raw", array_to_vector("vector"))
+    stages = [
+        Normalizer(inputCol="_raw", outputCol="_unit"),
+        KMeans(k=lists, seed=seed, featuresCol="_unit", predictionCol="list", solver="row"),
+    ]
+    model = Pipeline(stages=stages).fit(features)
+    centres = [[float(x) for x in c] for c in model.stages[-1].clusterCenters()]
+    return model.transform(features).select("_id", "vector", "list"), centres
+
+
+def knn_approx(
+    indexed: DataFrame,
+    centres: list[list[float]],
+    skills: DataFrame,
+    k: int = DEFAULT_K,
+    probes: int = 8,
+    score_mode: str = "atlas_cosine",
+    digits: int = DIGITS,
+) -> DataFrame:
+    """Approximate ``k`` nearest rows: each skill looks into its ``probes`` best cells.
+
+    Scores are exact; a row in another cell can be missed. With as many probes as
+    cells this is ``knn``.
+    """
+    _check(score_mode)
+    cells = F.array(*[F.struct(F.lit(i).alias("list"), F.array(*[F.lit(x) for x in c]).alias("c")) for i, c in enumerate(centres)])
+    near = F.sort_array(
+        F.transform(cells, lambda cell: F.struct(-cosine(cell.getField("c"), F.col("vector")), cell.getField("list").alias("list")))
+    )
+    wanted = skills.where(F.col("vector").isNotNull()).select(
+        "skill", "vector", F.transform(F.slice(near, 1, probes), lambda cell: cell.getField("list")).alias("probes")
+    )
+    wanted = checkpointed(wanted)
+    probed = [r[0] for r in wanted.select(F.explode("probes")).distinct().collect()]
     local = against_all(
-        vectors.select("_id", "vector").where(F.col("vector").isNotNull()),
-        skills.select("skill", "vector").where(F.col("vector").isNotNull()),
-        local_best,
-        "skill string, _id bigint, score double",
+        indexed.where(F.col("list").isin(probed)).select("_id", "vector", "list"),
+        wanted,
+        _keep_best(k, score_mode, digits, len(centres)),
+        HITS,
     )
     return top_k_per_group(local, ["skill"], [F.desc("score"), F.asc("_id")], k)
 

@@ -36,10 +36,15 @@ def model_encoder(make_predict, batch_size: int = 64):
 def encode_distinct(texts: DataFrame, encoder=hash_encoder) -> DataFrame:
     """Encode each distinct text once and give every row its vector.
 
-    For tables with many copies of a text, such as skills asked for by many jobs.
+    For costly models over tables with many copies of a text, such as skills asked
+    for by many jobs. Copies meet by the hash of their text: one text per hash and
+    task goes through the shuffle, and the join back moves no texts. Spark splits
+    the join of a very frequent text (adaptive skew join).
     """
-    vectors = encoder(texts.select("text").distinct())
-    return texts.join(vectors, "text")
+    hashed = texts.withColumn("_hash", F.sha2("text", 256))
+    once = hashed.groupBy("_hash").agg(F.any_value("text").alias("text"))
+    vectors = encoder(once).select("_hash", "vector")
+    return hashed.drop("text").join(vectors, "_hash").drop("_hash")
 
 
 def columns_hash(columns) -> str:

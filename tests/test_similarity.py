@@ -47,6 +47,18 @@ def test_knn_equals_brute_force(data, way):
     assert got == brute_top(cos, 20)
 
 
+def test_approximate_search(data, way):
+    courses, skills, cos = data
+    indexed, centres = similarity.build_index(courses.where("_id <> 7"), lists=6)
+    cos = np.delete(cos, 7, axis=0)
+    ids = np.delete(np.arange(300), 7)
+    exact = {(s, int(ids[i]), x, r) for s, i, x, r in brute_top(cos, 20)}
+    everywhere = similarity.knn_approx(indexed, centres, skills, k=20, probes=6).collect()
+    assert {(r.skill, r._id, r.score, r["rank"]) for r in everywhere} == exact
+    some = {(r.skill, r._id) for r in similarity.knn_approx(indexed, centres, skills, k=20, probes=3).collect()}
+    assert len(some & {e[:2] for e in exact}) > 0.8 * len(exact) and len(some) == len(exact)
+
+
 def test_knn_with_few_courses_and_nulls(spark, data):
     few = spark.createDataFrame([(1, [1.0] * 8), (2, None)], "_id bigint, vector array<float>")
     assert similarity.knn(few, data[1], k=50).count() == 12

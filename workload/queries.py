@@ -130,6 +130,12 @@ def knn_topk(spark, sf):
     )
 
 
+@query
+def knn_approx(spark, sf):
+    indexed, centres = similarity.build_index(t.vectors(spark, sf), lists=16)
+    return similarity.knn_approx(indexed, centres, t.skills(spark, sf), probes=4)
+
+
 @query
 def skill_topn(spark, sf):
     return similarity.knn(t.vectors(spark, sf), t.skills(spark, sf), k=5, score_mode="cosine")
@@ -331,7 +337,7 @@ def _order_changes(spark, sf):
 
 @query
 def store_insert_absent(spark, sf):
-    """Parts become catalogue rows unless a document has the id; orders come many to an id."""
+    """Customers with orders become rows unless a label has their id; many orders name one id."""
     old = t.table(spark, sf, "labels").select(F.col("doc_id").alias("_id"), F.lit("labelled").alias("status"))
     return keyed.insert_absent(old, _order_changes(spark, sf), "position", _run_at())
 
@@ -344,7 +350,7 @@ def store_insert_gen_id(spark, sf):
 
 @query
 def store_update(spark, sf):
-    """Documents get the labels; the last order of the same id sets ``lang``."""
+    """The last order of each customer changes ``lang`` of the document with that id."""
     changes = _order_changes(spark, sf).withColumnRenamed("status", "lang")
     return keyed.update_rows(_documents(spark, sf), changes, "position", _run_at())
 
@@ -356,7 +362,7 @@ def store_update_not_found(spark, sf):
 
 @query
 def store_upsert(spark, sf):
-    """Labels upsert into the part table: some ids exist, ``status`` is new."""
+    """Vectors into the label table: some ids exist, ``vector_size`` is a new field."""
     old = t.table(spark, sf, "labels").withColumnRenamed("doc_id", "_id")
     new = t.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("_id"), F.col("label").alias("quality"), F.size("embedding").alias("vector_size")
@@ -474,5 +480,5 @@ def cluster_skills(spark, sf):
 
 @query
 def embed_hash(spark, sf):
-    texts = t.table(spark, sf, "documents").select(F.col("doc_id").alias("_id"), "text")
-    return encoders.encode_distinct(texts).select("_id", "vector")
+    texts = t.spread(t.table(spark, sf, "documents")).select(F.col("doc_id").alias("_id"), "text")
+    return encoders.hash_encoder(texts).select("_id", "vector")
