@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gapweave.operators.blocks import to_matrix
+from gapweave.operators.lineage import checkpointed
 from gapweave.operators.ranking import best_per_group
 
 PIECE = 8192
@@ -171,8 +172,12 @@ def cluster_requests(recommended: DataFrame, num_clusters: int = 10, seed: int =
 
 
 def deduplicate(recommended: DataFrame, num_clusters: int = 10, seed: int = SEED) -> DataFrame:
-    """Best course by ``weighted_score`` of each cluster, per request."""
-    narrow = recommended.select("request_id", "_id", "vector", "weighted_score")
+    """Best course by ``weighted_score`` of each cluster, per request.
+
+    The input is stored first, as counting, clustering and the final pick read it.
+    """
+    held = checkpointed(recommended)
+    narrow = held.select("request_id", "_id", "vector", "weighted_score")
     labelled = cluster_requests(narrow, num_clusters, seed).drop("vector")
     best = best_per_group(labelled, ["request_id", "cluster"], "weighted_score", "_id")
-    return recommended.join(best.select("request_id", "_id", "cluster"), ["request_id", "_id"])
+    return held.join(best.select("request_id", "_id", "cluster"), ["request_id", "_id"])

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gapweave.functions.text import duration_hours, encode_text, nan_to_null
+from gapweave.operators.lineage import once
 from gapweave.schemas import CATALOG_COLUMNS, RAW_COURSE_SCHEMA
 
 
@@ -28,9 +29,9 @@ def normalize(raw: DataFrame, language: str | None = "English") -> DataFrame:
     catalog = raw.select(*[F.col(old).alias(new) for old, new in CATALOG_COLUMNS.items()])
     if language is not None:
         catalog = catalog.where(F.col("language") == language)
-    return catalog.withColumn("avg_rating", nan_to_null(F.col("avg_rating"))).withColumn(
-        "duration_hrs", duration_hours(F.col("duration"))
-    )
+    rated = catalog.withColumn("avg_rating", nan_to_null(F.col("avg_rating")))
+    # A dozen patterns per row: computed once, however many filters use the hours.
+    return once(rated, "duration_hrs", duration_hours(F.col("duration")))
 
 
 def texts_to_encode(catalog: DataFrame, columns=("name", "description")) -> DataFrame:

@@ -89,8 +89,20 @@ RESUME_RAW = (
 )
 
 
+# Declared, so that opening a table reads no footers. Only columns in use.
+SCHEMAS = {
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "events": "user_id bigint, event_type string, value double, props string",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -107,7 +119,7 @@ def raw_courses(spark, sf_dir) -> DataFrame:
     joined = table(spark, sf_dir, "part").join(
         table(spark, sf_dir, "documents"), F.col("p_partkey") == F.col("doc_id"), "left"
     )
-    return joined.select(*[F.expr(text).alias(name) for name, text in RAW_COURSE.items()])
+    return joined.selectExpr(*[f"{text} AS {name}" for name, text in RAW_COURSE.items()])
 
 
 def vectors(spark, sf_dir) -> DataFrame:
