@@ -39,10 +39,12 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 def bounded_table(df: DataFrame, max_rows: int | None = None) -> pa.Table | None:
-    """The rows of a small table, or None when it has more than ``max_rows``."""
+    """The rows of a small table, or None when it has more than ``max_rows``.
+
+    Counted first: a limit would send that many rows of every task to one task.
+    """
     max_rows = MAX_BLOCK_ROWS if max_rows is None else max_rows
-    table = df.limit(max_rows + 1).toArrow()
-    return table if table.num_rows <= max_rows else None
+    return df.toArrow() if df.count() <= max_rows else None
 
 
 def steps(batches, right_rows: int):

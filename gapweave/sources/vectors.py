@@ -82,6 +82,7 @@ def cached_vectors(
         missing = wanted.join(spark.read.parquet(path).select(*key), key, "left_anti")
     encoder(missing).select(*key, "vector").write.mode("append").parquet(path)
     # A retried append can repeat a key; all its copies hold the same vector.
-    cache = spark.read.parquet(path).groupBy(*key).agg(F.first("vector").alias("vector"))
+    ours = (F.col("model") == model) & (F.col("columns_hash") == columns_hash(columns))
+    cache = spark.read.parquet(path).where(ours).groupBy(*key).agg(F.first("vector").alias("vector"))
     names = F.array(*[F.lit(c) for c in columns])
     return cache.join(wanted.select(*key), key).select("_id", "vector", names.alias("embedding_keys"))
