@@ -296,9 +296,9 @@ ORACLE = {
     )
     + "SELECT request_id, CAST((rank - 1) // 1000 AS BIGINT) AS part, "
     + ", ".join(
-        f"string_agg(item, '|' ORDER BY rank) FILTER (section = '{s}') AS {s}" for s in ("courses", "gains", "initial", "improved")
+        f"coalesce(string_agg(item, '|' ORDER BY rank) FILTER (section = '{s}'), '') AS {s}" for s in ("courses", "gains", "initial", "improved")
     )
-    + ", CAST(nullif(count(*) FILTER (section = 'cells'), 0) AS INT) AS n_cells FROM items GROUP BY 1, 2",
+    + ", CAST(count(*) FILTER (section = 'cells') AS INT) AS n_cells FROM items GROUP BY 1, 2",
     "argmax_per_group": CATALOG
     + "SELECT subject, _id, avg_rating FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY avg_rating DESC, _id) AS n "
     "FROM courses WHERE avg_rating IS NOT NULL) WHERE n = 1",
