@@ -220,6 +220,12 @@ def similarity_wide(matrix: DataFrame, skill_names: list[str]) -> DataFrame:
     )
 
 
+def write_wide(wide: DataFrame, path: str) -> str:
+    """The wide matrix as CSV files with a header."""
+    wide.write.mode("error").option("header", True).csv(path)
+    return path
+
+
 def above_threshold(
     vectors: DataFrame,
     skills: DataFrame,

@@ -7,11 +7,22 @@ from gapweave.operators.lineage import checkpointed
 from gapweave.operators.ranking import top_k_per_group
 from gapweave.operators.similarity import DEFAULT_K, knn
 from gapweave.schemas import DEFAULT_PREFERENCES
+from gapweave.sources.vectors import hash_encoder
 
 MAX_BROADCAST_HITS = 500_000
 SALTS = 32
 
 
+def wanted_skills(records: DataFrame) -> DataFrame:
+    """(request_id, skill_pos, skill): the must-have skills of each (request_id, job) record."""
+    return records.select("request_id", F.posexplode("job.must_have_skills").alias("skill_pos", "skill"))
+
+
+def encode_skills(requests: DataFrame, encoder=hash_encoder) -> DataFrame:
+    """(skill, vector) of the distinct skills that any request asks for."""
+    return encoder(requests.select(F.col("skill").alias("text")).distinct()).select(F.col("text").alias("skill"), "vector")
+
+
 def pref_filter(courses: DataFrame, preferences: dict | None = None) -> DataFrame:
     """Hours within both limits, rating high enough, language equal without case."""
     p = {**DEFAULT_PREFERENCES, **(preferences or {})}

@@ -66,13 +66,15 @@ def test_knn_with_few_courses_and_nulls(spark, data):
     assert similarity.knn(data[0], data[1].where("skill = 'none'")).count() == 0
 
 
-def test_matrix_and_wide(data):
+def test_matrix_and_wide(spark, data, tmp_path):
     courses, skills, cos = data
     matrix = similarity.similarity_matrix(courses, skills)
     for r in matrix.collect():
         assert np.allclose(r.similarities, np.round(cos[r._id], 6), atol=1e-9)
     wide = similarity.similarity_wide(matrix, [f"s{i}" for i in range(12)])
     assert wide.columns == ["_id"] + [f"s{i}" for i in range(12)] and wide.count() == 300
+    path = similarity.write_wide(wide, str(tmp_path / "wide"))
+    assert spark.read.option("header", True).csv(path).columns == wide.columns
 
 
 def test_matrix_in_tiles(data, monkeypatch):

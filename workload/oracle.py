@@ -265,6 +265,9 @@ ORACLE = {
     "json_extract(j, '$.employment_type') || ',\"key_responsibilities\":[],\"qualifications\":[],\"education_requirements\":"
     "[{\"degree\":\"BSc\",\"field_of_study\":null}],\"must_have_skills\":[\"' || array_to_string(skills, '\",\"') || "
     "'\"],\"bonus_skills\":[]}' AS parsed_jd FROM checked WHERE errors = ''",
+    "job_skills": JOB
+    + "SELECT doc_id AS request_id, CAST(unnest(range(len(skills))) AS INT) AS skill_pos, unnest(skills) AS skill "
+    "FROM checked WHERE errors = ''",
     "prompt_render": _with(JOBS, JOB_CHECKS, RESUMES)
     + f"SELECT doc_id AS request_id, {_prompt()} AS prompt FROM checked JOIN resumes ON o_custkey = c_custkey "
     "WHERE errors = '' AND year BETWEEN 1900 AND 2100",

@@ -302,6 +302,17 @@ def _pairs(spark, sf):
     return jobs.join(resumes, "o_custkey")
 
 
+@query
+def job_skills(spark, sf):
+    jobs = records.valid_records(_jobs(spark, sf))
+    return recommend.wanted_skills(jobs.select(F.col("doc_id").alias("request_id"), F.col("record").alias("job")))
+
+
+@query
+def skill_vectors(spark, sf):
+    return recommend.encode_skills(job_skills(spark, sf))
+
+
 @query
 def prompt_render(spark, sf):
     return improve.render_prompts(_pairs(spark, sf))
