@@ -38,13 +38,15 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def bounded_table(df: DataFrame, max_rows: int | None = None) -> pa.Table | None:
+def bounded_table(df: DataFrame, max_rows: int | None = None, rows: int | None = None) -> pa.Table | None:
     """The rows of a small table, or None when it has more than ``max_rows``.
 
-    Counted first: a limit would send that many rows of every task to one task.
+    Counted first, unless the caller knows the number of ``rows``: a limit would
+    send that many rows of every task to one task.
     """
     max_rows = MAX_BLOCK_ROWS if max_rows is None else max_rows
-    return df.toArrow() if df.count() <= max_rows else None
+    rows = df.count() if rows is None else rows
+    return df.toArrow() if rows <= max_rows else None
 
 
 def steps(batches, right_rows: int):
@@ -55,15 +57,18 @@ def steps(batches, right_rows: int):
             yield batch.slice(start, rows)
 
 
-def against_all(left: DataFrame, right: DataFrame, work, schema: str, held: pa.Table | None = None) -> DataFrame:
+def against_all(
+    left: DataFrame, right: DataFrame, work, schema: str, held: pa.Table | None = None, rows: int | None = None
+) -> DataFrame:
     """Run ``work(left batches, right table)`` for all left rows and all right rows.
 
     ``work`` is a generator over Arrow record batches. Rows of both sides need a
     non-null array column ``vector`` and a key to hash, their first column.
-    ``held`` is the right side when the caller has already fetched it.
+    ``held`` is the right side when the caller has already fetched it, ``rows`` its
+    row count when that is known.
     """
     if held is None:
-        held = bounded_table(right)
+        held = bounded_table(right, rows=rows)
     if held is not None:
         shared = left.sparkSession.sparkContext.broadcast(held)
         return left.mapInArrow(lambda batches: work(batches, shared.value), schema)

@@ -158,7 +158,7 @@ def _count_near(points: DataFrame, eps: float, digits: int) -> DataFrame:
     return against_all(points, points, count, "id bigint, near bigint").groupBy("id").agg(F.sum("near").alias("near"))
 
 
-def _smallest_near(points: DataFrame, core: DataFrame, eps: float, digits: int) -> DataFrame:
+def _smallest_near(points: DataFrame, core: DataFrame, rows: int, eps: float, digits: int) -> DataFrame:
     """Smallest label among the core points within ``eps`` of each point."""
 
     def smallest(batches, right):
@@ -175,7 +175,8 @@ def _smallest_near(points: DataFrame, core: DataFrame, eps: float, digits: int)
                 [batch.column("id").filter(pa.array(found)), pa.array(least[found], pa.int64())], names=["id", "label"]
             )
 
-    return against_all(points, core, smallest, "id bigint, label bigint").groupBy("id").agg(F.min("label").alias("label"))
+    found = against_all(points, core, smallest, "id bigint, label bigint", rows=rows)
+    return found.groupBy("id").agg(F.min("label").alias("label"))
 
 
 def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 2, digits: int = 9) -> DataFrame:
@@ -191,9 +192,10 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 2, digits: in
     rows = points.select("id", F.col("vector").cast("array<double>").alias("vector"))
     dense = _count_near(rows, eps, digits).where(F.col("near") >= min_samples).select("id")
     core = checkpointed(rows.join(dense, "id", "left_semi"))
+    rows_core = core.count()
     labels = core.select("id", F.col("id").alias("label"))
     while True:
-        near = _smallest_near(core, core.join(labels, "id"), eps, digits).withColumnRenamed("label", "near")
+        near = _smallest_near(core, core.join(labels, "id"), rows_core, eps, digits).withColumnRenamed("label", "near")
         # Each cluster so far is hooked to the smallest one it touches, then to that one's own hook.
         hooks = near.join(labels, "id").groupBy("label").agg(F.min("near").alias("parent"))
         further = hooks.select(F.col("label").alias("parent"), F.col("parent").alias("root"))
@@ -205,7 +207,7 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 2, digits: in
         labels = merged.drop("moved")
         if merged.where("moved").isEmpty():
             break
-    border = _smallest_near(rows.join(dense, "id", "left_anti"), core.join(labels, "id"), eps, digits)
+    border = _smallest_near(rows.join(dense, "id", "left_anti"), core.join(labels, "id"), rows_core, eps, digits)
     reached = labels.unionByName(border)
     numbers = rank_within(labels.select("label").distinct(), [], [F.col("label")], "number")
     named = reached.join(numbers, "label").select("id", (F.col("number") - 1).cast("int").alias("cluster"))

@@ -8,7 +8,7 @@ DURATIONS = [
     ("On-Demand", 0.0), ("4 weeks", 672.0), ("1-2 hours", 1.0), ("3-6 weeks, 5-8 hours a week", 678.0),
     ("1.5 hours", 5.0), ("90 minutes", 1.5), ("1 hour 30 minutes", 1.5), ("12 - 14 hours", 14.0), ("2days", 48.0),
     ("Self paced", 0.0), ("", 0.0), ("10-13 Hours", 0.0), ("1 day 2 hours", 26.0), ("6 weeks long, On-Demand", 0.0),
-    ("4 weeks", 672.0), (None, None),
+    ("4\u00a0weeks", 672.0), ("5\u2003hours", 5.0), (None, None),
 ]
 
 
@@ -33,12 +33,12 @@ def test_to_number(spark, given, want):
 
 
 def test_strip_knows_every_space(spark):
-    given = " \x1f\n a b \t"
-    assert one(spark, given, text.strip) == given.strip() == "a b"
+    given = "\u00a0\u2003 \x1f\x85\n a\u00a0b \t\u3000"
+    assert one(spark, given, text.strip) == given.strip() == "a\u00a0b"
 
 
 def test_clean_text(spark):
-    assert one(spark, "a\n\tb  c", text.clean_text) == "a b c"
+    assert one(spark, "a\n\tb\u00a0 c\x1fd", text.clean_text) == "a b c d"
 
 
 def test_blank_means_missing(spark):
