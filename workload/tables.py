@@ -13,9 +13,8 @@ BRAND_PROVIDERS = [
 ]
 BRAND_NO = "CAST(replace(p_brand, 'Brand#', '') AS INT)"
 PROVIDER = (
-    f"CASE {BRAND_NO} "
-    + " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(BRAND_PROVIDERS, 1))
-    + " ELSE p_brand END"
+    f"CASE WHEN {BRAND_NO} <= {len(BRAND_PROVIDERS)} THEN split_part('{'|'.join(BRAND_PROVIDERS)}', '|', {BRAND_NO}) "
+    "ELSE p_brand END"
 )
 SIZE = "CAST(p_size AS STRING)"
 DURATION = (
