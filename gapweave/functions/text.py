@@ -42,10 +42,13 @@ def nan_to_null(number: Column) -> Column:
 
 def to_number(text: Column) -> Column:
     """Text to double; anything that is not a number becomes null."""
-    bare = strip(text)
-    plain = F.when(bare.rlike(NUMBER), bare.try_cast("double"))
+    return bare_number(strip(text))
+
+
+def bare_number(bare: Column) -> Column:
+    """``to_number`` for text without outer white space."""
     endless = F.when(bare.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return F.when(bare.rlike(INFINITE), endless).otherwise(plain)
+    return F.when(bare.rlike(NUMBER), bare.try_cast("double")).when(bare.rlike(INFINITE), endless)
 
 
 def _amount(text: Column, unit: str) -> Column:

@@ -52,54 +52,74 @@ def hierarchical(points: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     return _fit(points, lambda n: BisectingKMeans(k=n, seed=seed), k)
 
 
-def silhouette_points(points: DataFrame) -> DataFrame:
-    """Exact Euclidean silhouette of each point of (id, vector, cluster).
+def silhouettes(points: DataFrame) -> DataFrame:
+    """Exact Euclidean silhouette of each point under several clusterings at once.
 
-    A task sends, per point, its summed distance to each cluster; never a pair.
+    ``points`` is (id, vector, labels), one label per clustering; gives (id,
+    clustering, cluster, silhouette). All clusterings share one pass over the
+    distances, and a task sends, per point, its summed distance to each cluster;
+    never a pair.
     """
-    rows = points.select("id", F.col("vector").cast("array<double>").alias("vector"), "cluster")
+    rows = points.select("id", F.col("vector").cast("array<double>").alias("vector"), F.col("labels").cast("array<int>").alias("labels"))
 
     def sums(batches, right):
-        clusters, codes = np.unique(right.column("cluster").to_numpy(), return_inverse=True)
         if right.num_rows == 0:
             return
         others = to_matrix(right.column("vector"))
         squares = (others * others).sum(axis=1)
-        member = np.zeros((len(codes), len(clusters)))
-        member[np.arange(len(codes)), codes] = 1.0
         other_ids = right.column("id").to_numpy()
-        for batch in steps(batches, len(codes)):
+        members = []
+        for column in to_matrix(right.column("labels")).T:
+            clusters, codes = np.unique(column, return_inverse=True)
+            member = np.zeros((len(codes), len(clusters)))
+            member[np.arange(len(codes)), codes] = 1.0
+            members.append((clusters.astype(np.int32), member))
+        for batch in steps(batches, len(others)):
             own = to_matrix(batch.column("vector"))
             gaps = (own * own).sum(axis=1)[:, None] - 2.0 * own @ others.T + squares
             ids = batch.column("id").to_numpy()
             gaps[ids[:, None] == other_ids[None, :]] = 0.0
-            totals = np.sqrt(np.maximum(gaps, 0.0)) @ member
-            n = len(own)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(ids, len(clusters))),
-                    pa.array(np.repeat(batch.column("cluster").to_numpy(), len(clusters)), pa.int32()),
-                    pa.array(np.tile(clusters, n), pa.int32()),
-                    pa.array(totals.ravel()),
-                ],
-                names=["id", "cluster", "other", "total"],
-            )
-
-    summed = against_all(rows, rows, sums, "id bigint, cluster int, other int, total double")
-    sizes = points.groupBy(F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("size"))
+            gaps = np.sqrt(np.maximum(gaps, 0.0))
+            labels = to_matrix(batch.column("labels")).astype(np.int32)
+            for i, (clusters, member) in enumerate(members):
+                n, width = len(own), len(clusters)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(ids, width)),
+                        pa.array(np.full(n * width, i, np.int32)),
+                        pa.array(np.repeat(labels[:, i], width)),
+                        pa.array(np.tile(clusters, n)),
+                        pa.array((gaps @ member).ravel()),
+                    ],
+                    names=["id", "clustering", "cluster", "other", "total"],
+                )
+
+    summed = against_all(rows, rows, sums, "id bigint, clustering int, cluster int, other int, total double")
+    sizes = (
+        rows.select(F.posexplode("labels").alias("clustering", "other"))
+        .groupBy("clustering", "other")
+        .agg(F.count(F.lit(1)).alias("size"))
+    )
     same = F.col("cluster") == F.col("other")
-    per_cluster = summed.groupBy("id", "cluster", "other").agg(F.sum("total").alias("total")).join(sizes, "other")
-    sides = per_cluster.groupBy("id", "cluster").agg(
+    per_cluster = (
+        summed.groupBy("id", "clustering", "cluster", "other")
+        .agg(F.sum("total").alias("total"))
+        .join(sizes, ["clustering", "other"])
+    )
+    sides = per_cluster.groupBy("id", "clustering", "cluster").agg(
         F.max(F.when(same, F.col("size"))).alias("own_size"),
         F.max(F.when(same, F.try_divide(F.col("total"), F.col("size") - 1))).alias("a"),
         F.min(F.when(~same, F.col("total") / F.col("size"))).alias("b"),
     )
     score = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
-    return sides.select(
-        "id",
-        "cluster",
-        F.when(F.col("own_size") == 1, F.lit(0.0)).otherwise(F.coalesce(score, F.lit(0.0))).alias("silhouette"),
-    )
+    value = F.when(F.col("own_size") == 1, F.lit(0.0)).otherwise(F.coalesce(score, F.lit(0.0)))
+    return sides.select("id", "clustering", "cluster", value.alias("silhouette"))
+
+
+def silhouette_points(points: DataFrame) -> DataFrame:
+    """Exact silhouette of each point of (id, vector, cluster)."""
+    one = points.select("id", "vector", F.array("cluster").alias("labels"))
+    return silhouettes(one).drop("clustering")
 
 
 def silhouette_exact(points: DataFrame) -> DataFrame:
@@ -112,14 +132,31 @@ def silhouette_fast(points: DataFrame) -> DataFrame:
     return points.sparkSession.range(1).select(F.lit(float(value)).alias("silhouette"))
 
 
-def sweep(points: DataFrame, max_clusters: int = 10, seed: int = 0, measure=silhouette_exact) -> list[tuple[int, float]]:
-    """(k, silhouette) for k = 2 .. max_clusters, at most one less than the points."""
-    top = min(max_clusters, points.limit(max_clusters + 1).count() - 1)
-    held = points.persist()
-    try:
-        return [(k, measure(kmeans(held, k, seed)).first()[0]) for k in range(2, top + 1)]
-    finally:
-        held.unpersist()
+def sweep(points: DataFrame, max_clusters: int = 10, seed: int = 0, fast: bool = False) -> list[tuple[int, float]]:
+    """(k, silhouette) for k = 2 .. max_clusters, at most one less than the points.
+
+    The exact silhouettes of all k come from one pass over the distances; ``fast``
+    uses squared distances, in linear time.
+    """
+    sizes = range(2, min(max_clusters, points.limit(max_clusters + 1).count() - 1) + 1)
+    if not sizes:
+        return []
+    features = _features(points.select("id", "vector"))
+    held = features.persist()
+    labelled = held
+    for k in sizes:
+        model = KMeans(k=k, seed=seed, solver="row", predictionCol=f"_k{k}").fit(held)
+        labelled = model.transform(labelled)
+    if fast:
+        scores = [(k, ClusteringEvaluator(predictionCol=f"_k{k}").evaluate(labelled)) for k in sizes]
+    else:
+        labels = F.array(*[F.col(f"_k{k}") for k in sizes]).alias("labels")
+        stored = checkpointed(labelled.select("id", "vector", labels))
+        means = silhouettes(stored).groupBy("clustering").agg(F.avg("silhouette").alias("mean")).collect()
+        found = {row.clustering: row["mean"] for row in means}
+        scores = [(k, found[i]) for i, k in enumerate(sizes)]
+    held.unpersist()
+    return scores
 
 
 def best_k(scores: list[tuple[int, float]]) -> int:
@@ -127,9 +164,9 @@ def best_k(scores: list[tuple[int, float]]) -> int:
     return max(scores, key=lambda s: (s[1], -s[0]))[0] if scores else 1
 
 
-def cluster_skills(skills: DataFrame, max_clusters: int = 10, seed: int = 0, measure=silhouette_exact) -> DataFrame:
+def cluster_skills(skills: DataFrame, max_clusters: int = 10, seed: int = 0, fast: bool = False) -> DataFrame:
     """Cluster (id, skill, vector) with the best k and list each cluster's members."""
-    k = best_k(sweep(skills.select("id", "vector"), max_clusters, seed, measure))
+    k = best_k(sweep(skills, max_clusters, seed, fast))
     return member_lists(kmeans(skills, k, seed), "skill", "id")
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from gapweave.functions.text import strip, to_number
+from gapweave.functions.text import bare_number, strip
 from gapweave.operators.lineage import once
 from gapweave.schemas import SKILL_HEADER
 
@@ -53,7 +53,7 @@ def parse_tables(docs: DataFrame, key: str = "request_id", text: str = "markdown
         "skill",
         (F.col("_at") + 1).alias("col_no"),
         "evidence",
-        to_number(F.get("_cells", F.col("_at") + 1)).alias("score"),
+        bare_number(F.get("_cells", F.col("_at") + 1)).alias("score"),
     )
 
 

@@ -48,6 +48,17 @@ def test_silhouette_equals_brute_force(spark, way):
     assert got == pytest.approx(brute_silhouette(rows), abs=1e-7)
 
 
+def test_sweep_equals_single_fits(spark):
+    points = frame(spark, blobs(5, 24, 3))
+    scores = clustering.sweep(points, 4)
+    assert [k for k, _ in scores] == [2, 3, 4] and clustering.best_k(scores) == 3
+    for k, score in scores[:2]:
+        alone = clustering.silhouette_exact(clustering.kmeans(points, k, 0)).first()[0]
+        assert score == pytest.approx(alone, abs=1e-9)
+    assert [k for k, _ in clustering.sweep(points, 3, fast=True)] == [2, 3]
+    assert clustering.sweep(frame(spark, FEW[:2])) == []
+
+
 def brute_dbscan(rows, eps, least):
     x = np.array([np.float32(r[1]).astype(float) for r in rows])
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
