@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gapweave.llm import archive, quality, rules, sharding, token_counts, toxicity
+from gapweave.llm import archive, jaccard_join, quality, rules, sharding, token_counts, toxicity
 
 QUERIES = {}
 
@@ -60,3 +60,8 @@ def op5_sharding(spark, sf_dir):
 def op6_archive(spark, sf_dir):
     records = archive.read(archive.write(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -79,17 +79,19 @@ def appended(df: DataFrame, text: str, fn: Callable[[pa.Array], dict[str, pa.Arr
     return map_batches(frame, add, whole)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """left JOIN right on key, where one key may hold most of left; right has few rows per key.
 
     Keys above 1 / HOT_SHARE of left's rows (fewer than HOT_SHARE keys, so their list
     is broadcast) are cut into as many pieces as their rows need, and right's rows for
-    them are repeated once per piece. left is read twice: store it first if it is costly.
+    them are repeated once per piece. left is read twice: store it first if it is costly, or
+    give a narrow table with the same keys in counted, whose columns then deal the pieces.
     """
-    total = left.count()
+    counted = left if counted is None else counted
+    total = counted.count()
     piece = total // PIECES + 1
     hot = (
-        left.where(F.col(key).isNotNull())
+        counted.where(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > total // HOT_SHARE + 1)
@@ -100,7 +102,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     marked = F.broadcast(hot)
     salted = (
         left.join(marked, F.col(key) == F.col("_hot"), "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), pieces).cast("int"))
+        .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in counted.columns]), pieces).cast("int"))
         .drop("_hot", "_pieces")
     )
     copies = (
