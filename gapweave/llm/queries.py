@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gapweave.llm import archive, jaccard_join, quality, rules, sharding, token_counts, toxicity
+from gapweave.llm import archive, decontaminate, jaccard_join, licences, packing, quality, rules, sharding, token_counts, toxicity
 
 QUERIES = {}
 
@@ -65,3 +65,24 @@ def op6_archive(spark, sf_dir):
 @query
 def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("doc_id", "item_id", "start", "n_words", "distance", "similarity")
+
+
+@query
+def op9_licences(spark, sf_dir):
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query
+def op10_packing(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))

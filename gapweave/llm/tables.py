@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 #: A join key with more than 1 / HOT_SHARE of the rows is split; there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 256
@@ -62,7 +63,7 @@ def appended(df: DataFrame, text: str, fn: Callable[[pa.Array], dict[str, pa.Arr
 
     An input column with the name of a new one is replaced.
     """
-    added = [f.strip().split()[0] for f in schema.split(",")]
+    added = StructType.fromDDL(schema).names
     kept = [f for f in df.schema.fields if f.name not in added]
     source = next(i for i, c in enumerate(df.columns) if c == text)
     replaced = text in added
