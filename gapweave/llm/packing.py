@@ -96,45 +96,50 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, length: int = LENGTH) ->
     return map_batches(docs.select("doc_id", "text"), cut, f"doc_id {kind}, start long, length long, doc_tokens long, marks binary")
 
 
-def _shift(crc: int, size: int) -> int:
-    """What a CRC-32 contributes to the CRC-32 of its bytes followed by size more: squaring of the shift by one zero byte."""
-
-    def times(matrix, vector):
-        total = 0
-        for row in matrix:
-            if not vector:
-                break
-            if vector & 1:
-                total ^= row
-            vector >>= 1
-        return total
-
-    matrix = _BYTE
-    while size:
-        if size & 1:
-            crc = times(matrix, crc)
-        matrix = [times(matrix, row) for row in matrix]
-        size >>= 1
-    return crc
-
-
-def _byte_shift() -> list[int]:
+def _times(matrix: list[int], vector: int) -> int:
+    """A 32 x 32 matrix over GF(2) (a number for each input bit) times a vector."""
+    total = 0
+    for row in matrix:
+        if not vector:
+            break
+        if vector & 1:
+            total ^= row
+        vector >>= 1
+    return total
+
+
+def _zero_bytes() -> list[list[int]]:
+    """What 1, 2, 4, ... zero bytes do to the state of a CRC-32, by squaring."""
     rows = []
     for bit in range(32):
         value = 1 << bit
         for _ in range(8):
             value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
         rows.append(value)
-    return rows
+    powers = [rows]
+    while len(powers) < 40:
+        powers.append([_times(powers[-1], row) for row in powers[-1]])
+    return powers
 
 
-_BYTE = _byte_shift()
+_ZERO_BYTES = _zero_bytes()
+
+
+def _shift(crc: int, size: int) -> int:
+    """What the CRC-32 of some bytes contributes to the CRC-32 of the same bytes followed by size more."""
+    for matrix in _ZERO_BYTES:
+        if not size:
+            return crc
+        if size & 1:
+            crc = _times(matrix, crc)
+        size >>= 1
+    return crc
 
 
 def part_crc(marks: np.ndarray, size: int, low: int, high: int) -> int:
     """CRC-32 of tokens low to high of a piece of size tokens; low and high are multiples of GRAIN or the ends."""
     upto = lambda n: 0 if n == 0 else int(marks[-1]) if n == size else int(marks[n // GRAIN - 1])
-    return upto(high) ^ _shift(upto(low), 4 * (high - low))
+    return upto(high) ^ _shift(upto(low), 4 * (high - low)) if low else upto(high)
 
 
 def pack_cell(sizes: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
