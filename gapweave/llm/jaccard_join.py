@@ -16,20 +16,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gapweave.llm.arrays import FOLD, SPACES, U64, mix, shingle_sets, words
 from gapweave.llm.components import components
-from gapweave.llm.tables import discard, map_batches, spread_join, store, text_or_empty
+from gapweave.llm.tables import map_batches, spread_join, store
 
 WORDS = 5
 PERCENT = 80
 #: Block keys that one task compares, and that are gathered before equal ones are merged.
-BUCKET_KEYS = 1 << 20
-SEGMENT_KEYS = 1 << 20
+BUCKET_KEYS = 1 << 19
+SEGMENT_KEYS = 1 << 19
 #: Words of the whole-set parity sketch that is compared before the sets themselves.
 SKETCH = [f"s{k}" for k in range(8)]
 #: Members of one block that are compared at once.
 TILE = 1_024
 #: Rows of tiles that one task compares.
 TASK_ROWS = 1 << 16
-#: Slots of the bitmap that tells which documents take part in a pair.
+#: Hash slots of documents that are broadcast to leave others out of a shuffle.
 SLOTS = 1 << 21
 
 
@@ -103,6 +103,11 @@ def _runs(keys: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, members, members[first][np.cumsum(first) - 1] if len(keys) else members, first
 
 
+def _name(bucket: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The number of a key in the whole join."""
+    return bucket.astype(np.int64) << 32 | rest.astype(np.int64)
+
+
 def _block_rows(bands: Bands, buckets: int, size: int):
     """Batches of (doc_id, text) -> rows of keys for each bucket, and local matches.
 
@@ -115,11 +120,14 @@ def _block_rows(bands: Bands, buckets: int, size: int):
         key, member = np.concatenate(keys), np.concatenate(members)
         sorted_key, sorted_member, center, first = _runs(key, member)
         again = ~first
-        yield _batch(np.array([-1 - int(member[0]) % 64]), [sorted_key[again]], [sorted_member[again]], [center[again]])
+        if again.any():
+            known = _name(sorted_key[again] % U64(buckets), sorted_key[again] >> U64(32))
+            yield _batch(np.array([-1 - int(member[0]) % 64]), [known], [sorted_member[again]], [center[again]])
         key, member = sorted_key[first], sorted_member[first]
         bucket = (key % U64(buckets)).astype(np.int64)
         order = np.lexsort((member, bucket))  # members in order pack well
-        bucket, key, member = bucket[order], key[order], member[order]
+        # within a bucket half of a key tells nearly all apart; the rest is left to the verification
+        bucket, key, member = bucket[order], (key >> U64(32)).astype(np.uint32)[order], member[order]
         at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         stops = np.concatenate([at[1:], [len(bucket)]])
         yield _batch(bucket[at], [key[a:b] for a, b in zip(at, stops, strict=True)], [member[a:b] for a, b in zip(at, stops, strict=True)], None)
@@ -167,16 +175,16 @@ def _match(table: pa.Table) -> pa.Table:
     out = []
     sent = []
     for keys, members, centers in zip(*(table[c].to_pylist() for c in ("keys", "members", "centers")), strict=True):
-        key, member = np.frombuffer(keys, U64), np.frombuffer(members, np.int64)
+        member = np.frombuffer(members, np.int64)
         if centers is not None:
-            out.append((key, member, np.frombuffer(centers, np.int64)))
+            out.append((np.frombuffer(keys, np.int64), member, np.frombuffer(centers, np.int64)))
         else:
-            sent.append((key, member))
+            sent.append((np.frombuffer(keys, np.uint32), member))
     if sent:
         key, member, center, first = _runs(np.concatenate([k for k, _ in sent]), np.concatenate([m for _, m in sent]))
-        out.append((key[~first], member[~first], center[~first]))
-    columns = [np.concatenate(x) if out else np.zeros(0, np.int64) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-    return pa.table({n: pa.array(np.ascontiguousarray(c).view(np.int64)) for n, c in zip(("key", "member", "center"), columns, strict=True)})
+        out.append((_name(table["bucket"].to_numpy()[:1], key[~first]), member[~first], center[~first]))
+    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+    return pa.table({n: pa.array(c) for n, c in zip(("key", "member", "center"), columns, strict=True)})
 
 
 def block_matches(docs: DataFrame, bands: Bands, keys: int, size: int = WORDS) -> DataFrame:
@@ -186,8 +194,7 @@ def block_matches(docs: DataFrame, bands: Bands, keys: int, size: int = WORDS) -
     """
     spark = docs.sparkSession
     buckets = max(keys // BUCKET_KEYS + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    sent = rows.mapInArrow(_block_rows(bands, buckets, size), "bucket long, keys binary, members binary, centers binary")
+    sent = docs.select("doc_id", "text").mapInArrow(_block_rows(bands, buckets, size), "bucket long, keys binary, members binary, centers binary")
     return sent.groupBy("bucket").applyInArrow(_match, "key long, member long, center long")
 
 
@@ -199,55 +206,60 @@ def _near(percent: int, left: str = "", right: str = "o_") -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (distance * (100 + percent) <= limit)
 
 
+def _slot(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(SLOTS)).alias("slot")
+
+
+def _in_slots(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs whose id's hash slot is (left_semi) or is not (left_anti) one of ids'. At most SLOTS numbers are broadcast."""
+    slots = F.broadcast(ids.select(_slot("doc_id")).distinct())
+    return docs.select("*", _slot("doc_id")).join(slots, "slot", how).drop("slot")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets reach the similarity."""
-    spark = docs.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    taken = np.zeros(SLOTS, bool)
-    taken[[r.slot for r in ends.select(slot("id").alias("slot")).distinct().collect()]] = True  # at most SLOTS numbers
-    bitmap = spark.sparkContext.broadcast(np.packbits(taken))
+    """The pairs (a, b) whose whole shingle sets reach the similarity. Of documents in no pair hardly any is shuffled."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        places = batch.column(2).to_numpy()
-        wanted = np.flatnonzero(bitmap.value[places >> 3] >> (7 - (places & 7)) & 1)
-        ids, texts = batch.column(0).take(pa.array(wanted)), batch.column(1).take(pa.array(wanted))
-        found = [s.tobytes() for part in words(texts, SPACES, FOLD) for s in shingle_sets(part, size)]
-        return pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary())], names=["id", "shingles"])
-
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text", slot(F.col("doc_id").cast("long")).alias("slot"))
-    held = map_batches(rows, sets, "id long, shingles binary").join(ends, "id", "left_semi")
-    held = store(held.where(F.octet_length("shingles") > 0))
-
-    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        linked = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            linked.append(100 * both >= percent * (len(p) + len(q) - both))
-        keep = pa.array(np.flatnonzero(linked))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+        found = [s.view(np.int64) for part in words(batch.column(1), SPACES, FOLD) for s in shingle_sets(part, size)]
+        offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
+        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "shingles"])
 
+    rows = _in_slots(_identified(docs), ends, "left_semi").join(ends, "doc_id", "left_semi")
+    held = store(map_batches(rows.select("doc_id", "text"), sets, "id long, shingles array<long>").where(F.size("shingles") > 0))
     first = spread_join(pairs, held.select(F.col("id").alias("b"), F.col("shingles").alias("q")), "b")
     # a (the smaller, often a center) may be in very many pairs
     both = spread_join(first, held.select(F.col("id").alias("a"), F.col("shingles").alias("p")), "a", counted=pairs.select("a", "b"))
-    return map_batches(both.select("a", "b", "p", "q"), compare, "a long, b long").distinct()
+    shared = F.size(F.array_intersect("p", "q"))
+    union = F.size("p") + F.size("q") - shared
+    return both.where(100 * shared >= percent * union).select("a", "b").distinct()
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
 
 
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _further(matches: DataFrame, labels: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _further(matches: DataFrame, met: DataFrame, labels: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs of one key's members that lie in different classes so far and that their sketches allow.
 
-    Keys whose members are in one class are dropped by counting. The members of the others
-    are compared tile by tile, so a popular key is spread over many tasks.
+    Members of a key hang together through their centers, so a key whose matches all lie in
+    one class is done. The members of the others are compared tile by tile, so a popular key
+    is spread over many tasks.
     """
-    members = matches.select("key", F.col("member").alias("id")).union(matches.select("key", F.col("center").alias("id"))).distinct()
-    classed = store(spread_join(members, labels, "id"))  # id, key, rep, class
-    open_keys = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("key")
-    some = store(classed.join(open_keys, "key").select("key", "rep", "class").distinct())
+    of = lambda name, label: labels.select(F.col("node").alias(name), F.col("component").alias(label))
+    left = store(spread_join(met, of("member", "x"), "member", "left"))
+    both = spread_join(left, of("center", "y"), "center", "left")
+    apart = store(both.where(F.coalesce("x", "member") != F.coalesce("y", "center")).select("member", "center"))
+    open_keys = matches.join(apart, ["member", "center"]).select("key").distinct()
+    still = store(matches.join(open_keys, "key"))
+    members = still.select("key", F.col("member").alias("rep")).union(still.select("key", F.col("center").alias("rep"))).distinct()
+    classed = spread_join(store(members), of("rep", "class"), "rep", "left")
+    some = store(classed.select("key", "rep", F.coalesce("class", "rep").alias("class")))
     sized = some.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     tiled = (
         some.join(sized, "key")
@@ -309,44 +321,40 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     real = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     totals = rows.agg(F.max("n_shingles"), F.sum("n_shingles")).first()
     bands = Bands(percent, int(totals[0] or 0))
-    reps = real.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    key = F.xxhash64("set_a", "set_b", "n_shingles")
-    # the two sums and the size are compared again after the join on their hash
-    keyed = real.select("doc_id", "set_a", "set_b", "n_shingles", key.alias("set"))
-    found = spread_join(keyed, reps.select(key.alias("set"), *[F.col(c).alias(f"r_{c}") for c in ("set_a", "set_b", "n_shingles")], "rep"), "set")
-    same = (F.col("set_a") == F.col("r_set_a")) & (F.col("set_b") == F.col("r_set_b")) & (F.col("n_shingles") == F.col("r_n_shingles"))
-    owner = store(found.where(same).select("doc_id", "rep").distinct())
-    known = store(
-        real.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), *[F.first(s).alias(s) for s in SKETCH]).drop("set_a", "set_b")
-    )
-
-    matches = store(block_matches(docs, bands, int(totals[1] or 0), size))
-    met = matches.select("member", "center").distinct()
-    by_member = spread_join(store(met), owner.select(F.col("doc_id").alias("member"), F.col("rep").alias("x")), "member").select("x", "center")
-    by_center = spread_join(store(by_member), owner.select(F.col("doc_id").alias("center"), F.col("rep").alias("y")), "center")
-    pairs = store(by_center.where("x != y").select(*_ordered("x", "y")).distinct())
-    verified = store(_verified(docs, store(_allowed(pairs, known, percent)), percent, size))
+    of_set = ["set_a", "set_b", "n_shingles"]
+    sets = store(real.groupBy(*of_set).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(s).alias(s) for s in SKETCH]))
+    known = sets.select("rep", "n_shingles", *SKETCH)
+    # copies of a set, each with the smallest document of the set; the sums and the size are compared after the join on their hash
+    several = sets.where("copies > 1").select(F.xxhash64(*of_set).alias("set"), *[F.col(c).alias(f"r_{c}") for c in of_set], "rep")
+    found = spread_join(real.select("doc_id", *of_set, F.xxhash64(*of_set).alias("set")), several, "set")
+    equal = [F.col(c) == F.col(f"r_{c}") for c in of_set]
+    owner = store(found.where(equal[0] & equal[1] & equal[2] & (F.col("doc_id") != F.col("rep"))).select("doc_id", "rep").distinct())
     # rows of one doc_id with different sets hang together
-    several = owner.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high")
-    joint = owner.join(several, "doc_id").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    repeated = store(real.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    joint = owner.join(repeated, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    extra = store(owner.join(repeated, "doc_id", "left_anti").select("doc_id").distinct())
+
+    # one document of each set goes on
+    texts = _identified(docs)
+    chosen = _in_slots(texts, extra, "left_anti").union(_in_slots(texts, extra, "left_semi").join(extra, "doc_id", "left_anti"))
+    matches = store(block_matches(chosen, bands, int(totals[1] or 0), size))
+    met = store(matches.select("member", "center").distinct())
+    pairs = store(met.select(*_ordered("member", "center")).where("a != b").distinct())
+    verified = _verified(docs, store(_allowed(pairs, known, percent)), percent, size)
     edges = store(verified.union(joint))
     labels = components(edges)
-
-    def classes(labels: DataFrame) -> DataFrame:
-        """id, rep, class for every document with a set."""
-        return spread_join(owner, labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-            F.col("doc_id").alias("id"), "rep", F.coalesce("component", "rep").alias("class")
-        )
-
-    lowest = lambda labels: classes(labels).groupBy("id").agg(F.min("rep").alias("rep"), F.min("class").alias("class"))
-    more = store(_further(matches, store(lowest(labels)), known, percent).join(pairs, ["a", "b"], "left_anti"))
+    more = store(_further(matches, met, labels, known, percent).join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         links = store(_verified(docs, more, percent, size))
         if links.limit(1).count():
             labels = components(store(edges.union(links)))
-    label = store(classes(labels).groupBy("id").agg(F.min("class").alias("component_id")))
-    out = rows.select("doc_id", "n_shingles").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+    # a document's class is that of its set's smallest document, or its own
+    nodes = rows.select("doc_id").where(F.col("doc_id").isNotNull()).join(owner, "doc_id", "left")
+    nodes = store(nodes.select("doc_id", F.coalesce("rep", "doc_id").alias("node")).distinct())
+    classed = spread_join(nodes, labels, "node", "left")
+    label = store(classed.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id")))
+    return rows.select("doc_id", "n_shingles").join(label, "doc_id", "left")
 
 
 def _allowed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
