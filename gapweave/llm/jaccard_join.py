@@ -25,10 +25,14 @@ BUCKET_KEYS = 1 << 19
 SEGMENT_KEYS = 1 << 19
 #: Words of the whole-set parity sketch that is compared before the sets themselves.
 SKETCH = [f"s{k}" for k in range(8)]
+#: A byte for each block of the sketch, in a set's own band and in the next one.
+CODES = ["own", "following"]
+#: Rounds with other centers at most, before the rest is compared pair by pair.
+TURNS = 8
 #: Members of one block that are compared at once.
 TILE = 1_024
 #: Rows of tiles that one task compares.
-TASK_ROWS = 1 << 16
+TASK_ROWS = 1 << 15
 #: Hash slots of documents that are broadcast to leave others out of a shuffle.
 SLOTS = 1 << 21
 
@@ -38,34 +42,50 @@ class Bands:
 
     def __init__(self, percent: int, largest: int):
         self.percent = percent
+        self.largest = 0
+        self.reach(largest)
+
+    def reach(self, largest: int) -> Bands:
+        """Extend the bands to sets of so many shingles."""
+        if largest <= self.largest:
+            return self
+        self.largest = 2 * largest
         edges = [1]
-        while edges[-1] <= 2 * largest * 100 // percent + 2:
-            edges.append(max(edges[-1] + 1, -(-edges[-1] * 100 // percent)))
+        while edges[-1] <= 2 * self.largest * 100 // self.percent + 2:
+            edges.append(max(edges[-1] + 1, -(-edges[-1] * 100 // self.percent)))
         self.edges = np.array(edges)
         # sets of at most h shingles that reach the similarity differ in at most 2 h (100 - p) / (100 + p)
         high = self.edges[1:] - 1
-        self.differ = 2 * high * (100 - percent) // (100 + percent)
+        self.differ = 2 * high * (100 - self.percent) // (100 + self.percent)
         # blocks beyond differ + 1 are spare: so many empty ones may go unused
         self.spare = -(-(self.differ + 1) // 5) + 3
         self.blocks = self.differ + 1 + self.spare
+        return self
 
     def of(self, size: int) -> int:
         return int(np.searchsorted(self.edges, size, "right")) - 1
 
 
+def _blocks(shingles: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number, code) of the blocks of the sketch that hold something.
+
+    A block is a stretch of 2**40 sketch bits, one per shingle hash, written as the XOR of a
+    code per set bit: equal blocks have equal codes.
+    """
+    block = ((shingles >> U64(32)) * U64(count) >> U64(32)).astype(np.int64)  # the hashes are sorted, so blocks are
+    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    return block[starts], np.bitwise_xor.reduceat(mix(shingles ^ U64(0x5BD1E995)), starts)
+
+
 def block_keys(shingles: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     """A 64-bit key for each block of the sketch that must be joined in this band.
 
-    A block is a stretch of 2**40 sketch bits, one per shingle hash, written as the XOR of a
-    code per set bit: equal blocks have equal codes. Of k blocks at least k - differ are equal
-    in a linked pair. Empty blocks go unused unless they are more than spare: one of the
-    equal blocks of a pair is then neither empty nor unused, in the member with fewer.
+    Of k blocks at least k - differ are equal in a linked pair. Empty blocks go unused unless
+    they are more than spare: one of the equal blocks of a pair is then neither empty nor
+    unused, in the member with fewer.
     """
     k = int(bands.blocks[band])
-    block = ((shingles >> U64(32)) * U64(k) >> U64(32)).astype(np.int64)  # the hashes are sorted, so blocks are
-    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    code = np.bitwise_xor.reduceat(mix(shingles ^ U64(0x5BD1E995)), starts)
-    number = block[starts]
+    number, code = _blocks(shingles, k)
     if k - len(number) > bands.spare[band]:
         full = np.zeros(k, U64)
         full[number] = code
@@ -73,11 +93,22 @@ def block_keys(shingles: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     return mix(code ^ mix(number.astype(U64) + U64((band + 1) << 32)))
 
 
-def sketches(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128 bits that equal sets share), and the parity sketch, for every row."""
+def block_bytes(shingles: np.ndarray, band: int, bands: Bands) -> bytes:
+    """A byte of every block's code: a linked pair differs in at most differ of them."""
+    out = np.zeros(int(bands.blocks[band]), np.uint8)
+    number, code = _blocks(shingles, len(out))
+    out[number] = (code >> U64(56)).astype(np.uint8)
+    return out.tobytes()
+
+
+def sketches(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """For every row doc_id, n_shingles, set_a, set_b (128 bits that equal sets share), a short parity sketch, and a
+    byte per block of the sketches of its own band and of the next."""
+    bands = Bands(percent, 1)
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = batch.num_rows
+        codes = [[b""] * rows, [b""] * rows]
         n, sets, parity = np.zeros(rows, np.int64), np.zeros((rows, 2), U64), np.zeros((rows, len(SKETCH)), np.int64)
         r = 0
         for part in words(batch.column(1), SPACES, FOLD):
@@ -86,12 +117,16 @@ def sketches(docs: DataFrame, size: int = WORDS) -> DataFrame:
                 sets[r] = mix(shingles ^ U64(1)).sum(dtype=U64), mix(shingles ^ U64(2)).sum(dtype=U64)
                 bits = np.bincount((shingles & U64(511)).astype(np.int64), minlength=512) & 1
                 parity[r] = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                if len(shingles):
+                    band = bands.reach(len(shingles)).of(len(shingles))
+                    codes[0][r], codes[1][r] = (block_bytes(shingles, b, bands) for b in (band, band + 1))
                 r += 1
         columns = [batch.column(0), pa.array(n), *(pa.array(sets[:, k].view(np.int64)) for k in (0, 1))]
         columns += [pa.array(np.ascontiguousarray(parity[:, k])) for k in range(len(SKETCH))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", *SKETCH])
+        columns += [pa.array(x, pa.binary()) for x in codes]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", *SKETCH, *CODES])
 
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, " + ", ".join(f"{s} long" for s in SKETCH)
+    schema = "doc_id long, n_shingles long, set_a long, set_b long, " + ", ".join([f"{s} long" for s in SKETCH] + [f"{c} binary" for c in CODES])
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), sketch, schema)
 
 
@@ -244,12 +279,11 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _further(matches: DataFrame, met: DataFrame, labels: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one key's members that lie in different classes so far and that their sketches allow.
+def _open(matches: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, rep, class: the members of keys whose members lie in several classes.
 
     Members of a key hang together through their centers, so a key whose matches all lie in
-    one class is done. The members of the others are compared tile by tile, so a popular key
-    is spread over many tasks.
+    one class is done.
     """
     of = lambda name, label: labels.select(F.col("node").alias(name), F.col("component").alias(label))
     left = store(spread_join(met, of("member", "x"), "member", "left"))
@@ -259,7 +293,21 @@ def _further(matches: DataFrame, met: DataFrame, labels: DataFrame, known: DataF
     still = store(matches.join(open_keys, "key"))
     members = still.select("key", F.col("member").alias("rep")).union(still.select("key", F.col("center").alias("rep"))).distinct()
     classed = spread_join(store(members), of("rep", "class"), "rep", "left")
-    some = store(classed.select("key", "rep", F.coalesce("class", "rep").alias("class")))
+    return store(classed.select("key", "rep", F.coalesce("class", "rep").alias("class")))
+
+
+def _stars(some: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each open key's members with one of them, chosen by a hash, where their classes differ."""
+    chosen = F.min_by(F.struct(F.col("rep").alias("center"), F.col("class").alias("at")), F.xxhash64("rep", F.lit(turn)))
+    centers = some.groupBy("key").agg(chosen.alias("c")).select("key", "c.*")
+    return some.join(centers, "key").where("class != at").select(*_ordered("rep", "center")).distinct()
+
+
+def _further(some: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of open members of one key that lie in different classes and that their short sketches allow.
+
+    The members are compared tile by tile, so a popular key is spread over many tasks.
+    """
     sized = some.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     tiled = (
         some.join(sized, "key")
@@ -269,7 +317,7 @@ def _further(matches: DataFrame, met: DataFrame, labels: DataFrame, known: DataF
     )
     tiled = store(tiled)
     full = spread_join(tiled, known.select("rep", "n_shingles", *SKETCH), "rep")
-    parts = max(tiled.count() // TASK_ROWS + 1, int(full.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = tiled.count() // TASK_ROWS + 1
 
     def compare(table: pa.Table) -> pa.Table:
         rep, group, tile, n, x, y = (table[c].to_numpy() for c in ("rep", "class", "tile", "n_shingles", "x", "y"))
@@ -312,18 +360,18 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
 
     Steps: equal sets are found by their 128-bit sums. Blocks of the parity sketches are
     joined (see block_keys); every member of a shared block is paired with the smallest one,
-    pairs that the whole sketches allow are verified on the whole sets, and classes are
-    formed. Blocks whose members are still in different classes are then compared pair by
-    pair, so no link is missed; blocks inside one class, such as those of thousands of near
-    copies, need no more pairs.
+    pairs that the sketches allow are verified on the whole sets, and classes are formed.
+    Members of blocks that still lie in different classes are paired with other centers, as
+    long as that joins many; what is then left open is compared pair by pair, so no link is
+    missed. Blocks inside one class, such as those of thousands of near copies, need no more.
     """
-    rows = store(sketches(docs, size))
+    rows = store(sketches(docs, size, percent))
     real = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     totals = rows.agg(F.max("n_shingles"), F.sum("n_shingles")).first()
     bands = Bands(percent, int(totals[0] or 0))
     of_set = ["set_a", "set_b", "n_shingles"]
-    sets = store(real.groupBy(*of_set).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(s).alias(s) for s in SKETCH]))
-    known = sets.select("rep", "n_shingles", *SKETCH)
+    sets = store(real.groupBy(*of_set).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(s).alias(s) for s in SKETCH + CODES]))
+    known = sets.select("rep", "n_shingles", *SKETCH, *CODES)
     # copies of a set, each with the smallest document of the set; the sums and the size are compared after the join on their hash
     several = sets.where("copies > 1").select(F.xxhash64(*of_set).alias("set"), *[F.col(c).alias(f"r_{c}") for c in of_set], "rep")
     found = spread_join(real.select("doc_id", *of_set, F.xxhash64(*of_set).alias("set")), several, "set")
@@ -340,14 +388,24 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     matches = store(block_matches(chosen, bands, int(totals[1] or 0), size))
     met = store(matches.select("member", "center").distinct())
     pairs = store(met.select(*_ordered("member", "center")).where("a != b").distinct())
-    verified = _verified(docs, store(_allowed(pairs, known, percent)), percent, size)
-    edges = store(verified.union(joint))
+    edges = store(_verified(docs, store(_allowed(pairs, known, percent)), percent, size).union(joint))
     labels = components(edges)
-    more = store(_further(matches, met, labels, known, percent).join(pairs, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        links = store(_verified(docs, more, percent, size))
-        if links.limit(1).count():
-            labels = components(store(edges.union(links)))
+    turn, going = 0, True
+    while going:  # other centers, while they still join many classes; then all that is left
+        turn += 1
+        some = _open(matches, met, labels)
+        going = turn <= TURNS
+        tried = (_stars(some, turn) if going else _further(some, known, percent)).join(pairs, ["a", "b"], "left_anti")
+        tried = store(tried)
+        links = store(_verified(docs, store(_allowed(tried, known, percent)), percent, size))
+        found = links.count()
+        if found:
+            edges = store(edges.union(links))
+            labels = components(edges)
+        if going:
+            pairs = store(pairs.union(tried))
+            if found * 50 < some.select("rep").distinct().count():
+                turn = TURNS
 
     # a document's class is that of its set's smallest document, or its own
     nodes = rows.select("doc_id").where(F.col("doc_id").isNotNull()).join(owner, "doc_id", "left")
@@ -358,11 +416,35 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
 
 
 def _allowed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs of representatives whose sketches allow the similarity."""
+    """The pairs (a, b) whose sketches allow the similarity, first the short ones, then block by block.
+
+    Two sets in one band compare their bytes of that band, in neighbouring bands the smaller
+    set's of the following one. Blocks that differ are at most as many as differing shingles.
+    """
     wide = ["n_shingles", *SKETCH]
     left = spread_join(pairs, known.select(F.col("rep").alias("a"), *wide), "a")
     right = spread_join(store(left), known.select(F.col("rep").alias("b"), *[F.col(c).alias(f"o_{c}") for c in wide]), "b")
-    return right.where(_near(percent)).select("a", "b")
+    near = store(right.where(_near(percent)).select("a", "b").distinct())
+    bands = Bands(percent, 1)
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = np.zeros(batch.num_rows, bool)
+        columns = [batch.column(i) for i in range(2, 8)]
+        for r, (n, own, following, m, other, beyond) in enumerate(zip(*columns, strict=True)):
+            n, m = n.as_py(), m.as_py()
+            bands.reach(max(n, m))
+            x, y = bands.of(n), bands.of(m)
+            if abs(x - y) <= 1:
+                p, q = (own if x >= y else following), (other if y >= x else beyond)
+                p, q = np.frombuffer(p.as_buffer(), np.uint8), np.frombuffer(q.as_buffer(), np.uint8)
+                keep[r] = np.count_nonzero(p != q) * (100 + percent) <= (n + m) * (100 - percent)
+        chosen = pa.array(np.flatnonzero(keep))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen)], names=["a", "b"])
+
+    parts = ["n_shingles", *CODES]
+    first = spread_join(near, known.select(F.col("rep").alias("a"), *parts), "a")
+    both = spread_join(first, known.select(F.col("rep").alias("b"), *[F.col(c).alias(f"o_{c}") for c in parts]), "b", counted=near)
+    return map_batches(both.select("a", "b", *parts, *[f"o_{c}" for c in parts]), compare, "a long, b long").distinct()
 
 
 def first_of_class(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
