@@ -16,8 +16,10 @@ from gapweave.llm.tables import appended
 SAMPLE_ROWS = 4_000
 FREQUENT = 1 << 16
 #: Pieces a worker remembers besides; when full it starts anew. Longer pieces are not remembered.
-CACHE = 1 << 19
-LONGEST = 64
+CACHE = 1 << 17
+LONGEST = 48
+#: Rows that are looked up together.
+ROWS = 256
 
 _tokenizers: dict = {}
 _tables: dict = {}
@@ -45,7 +47,7 @@ def frequent_pieces(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS,
     counted = (
         docs.select("text")
         .sample(fraction=share, seed=1)
-        .select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("piece"))
+        .select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("piece"))
         .where((F.col("piece") != "") & (F.octet_length("piece") <= LONGEST))
         .groupBy("piece")
         .count()
@@ -77,30 +79,24 @@ def token_counts(docs: DataFrame, path: str, longest: int = 2048, sample_rows: i
             blob, sizes = table.value
             _tables[name] = dict(zip(blob.split(b" "), sizes.tolist(), strict=True)) if blob else {}
         frequent = _tables[name]
-        data, offsets = column_bytes(column)
-        data = data.tobytes()
-        out = np.zeros(len(column), np.int64)
-        low = 0
-        while low < len(column):
-            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + (1 << 21), "right")) - 1)
+        sizes, out = [], []
+        for low in range(0, len(column), ROWS):
+            data, offsets = column_bytes(column.slice(low, ROWS))
+            data = data.tobytes().lower()  # the tokenizer folds case, so this changes no count
+            rows = [data[a:b].split() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             if len(_cache) > CACHE:
                 _cache.clear()
-            rows = [data[offsets[r] : offsets[r + 1]].split() for r in range(low, high)]
-            missing = list(set().union(*rows).difference(frequent, _cache))
-            known = frequent
-            if missing:
-                found = dict(zip(missing, lengths(path, missing), strict=True))
-                long = {k: n for k, n in found.items() if len(k) > LONGEST}
-                _cache.update((k, n) for k, n in found.items() if len(k) <= LONGEST)
-            else:
-                long = {}
-            for r, pieces in enumerate(rows, low):
-                out[r] = sum(known[p] if p in known else _cache[p] if p in _cache else long[p] for p in pieces)
-            low = high
+            missing = [p for p in set().union(*rows) if p not in frequent and p not in _cache]
+            found = dict(zip(missing, lengths(path, missing), strict=True)) if missing else {}
+            _cache.update((p, n) for p, n in found.items() if len(p) <= LONGEST)
+            for pieces in rows:
+                out.append(sum(frequent[p] if p in frequent else _cache[p] if p in _cache else found[p] for p in pieces))
+            sizes.append(np.diff(offsets))
+        n_tokens = np.array(out, np.int64)
         return {
-            "n_bytes": pa.array(np.diff(offsets)),
-            "n_tokens": pa.array(out),
-            "over_limit": pa.array(out > longest),
+            "n_bytes": pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64)),
+            "n_tokens": pa.array(n_tokens),
+            "over_limit": pa.array(n_tokens > longest),
         }
 
     return appended(docs, "text", count, "n_bytes long, n_tokens long, over_limit boolean")
