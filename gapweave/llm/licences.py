@@ -176,8 +176,8 @@ SCHEMA = (
 )
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, share: float = COVERED) -> DataFrame:
-    """docs with the licence phrases and templates of each text.
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, share: float = COVERED, carry: list[str] | None = None) -> DataFrame:
+    """docs (its columns in carry; None: all) with the licence phrases and templates of each text.
 
     Words are runs of digits, ASCII letters (A-Z lower-cased) and non-ASCII bytes. n_base
     counts the places where a phrase's words stand consecutively, first_word and last_word
@@ -239,4 +239,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
             "spans": pa.array(spans, kind),
         }
 
-    return appended(docs, "text", look, SCHEMA)
+    return appended(docs, "text", look, SCHEMA, carry)

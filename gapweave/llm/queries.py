@@ -33,14 +33,14 @@ def op2_token_counts(spark, sf_dir):
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    found = token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"])
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 @query
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = toxicity.toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    found = toxicity.toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), carry=["doc_id"])
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
@@ -48,7 +48,7 @@ def op3_toxicity(spark, sf_dir):
 def op4_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rules.cascade(docs, complete=rules.BASE).select("doc_id", *rules.BASE, failed.alias("base_failed"), "kept")
+    return rules.cascade(docs, complete=rules.BASE, carry=["doc_id"]).select("doc_id", *rules.BASE, failed.alias("base_failed"), "kept")
 
 
 @query
@@ -76,7 +76,7 @@ def op8_decontaminate(spark, sf_dir):
 
 @query
 def op9_licences(spark, sf_dir):
-    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 

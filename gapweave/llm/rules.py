@@ -164,8 +164,10 @@ def estimate(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_R
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-worth.get(k, 0.0), k))]
 
 
-def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, complete: Sequence[str] = ()) -> DataFrame:
-    """docs with kept (no rule rejects the text), and the numbers named in complete.
+def cascade(
+    docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, complete: Sequence[str] = (), carry: list[str] | None = None
+) -> DataFrame:
+    """docs (its columns in carry; None: all) with kept (no rule rejects the text), and the numbers named in complete.
 
     The rules run in the order of estimate(); each sees only the rows that all earlier ones
     passed, and a number is measured only for rows whose rules ask for it. The order changes
@@ -188,4 +190,4 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = S
         kept[alive] = True
         return out | {"kept": pa.array(kept)}
 
-    return appended(docs, "text", judge, ", ".join([f"{name} long" for name in complete] + ["kept boolean"]))
+    return appended(docs, "text", judge, ", ".join([f"{name} long" for name in complete] + ["kept boolean"]), carry)

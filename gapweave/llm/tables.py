@@ -58,24 +58,24 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
-def appended(df: DataFrame, text: str, fn: Callable[[pa.Array], dict[str, pa.Array]], schema: str) -> DataFrame:
-    """df with the columns of schema added, computed from a text column batch by batch.
+def appended(df: DataFrame, text: str, fn: Callable[[pa.Array], dict[str, pa.Array]], schema: str, carry: list[str] | None = None) -> DataFrame:
+    """df's columns named in carry (None: all) with those of schema, computed from a text column batch by batch.
 
-    An input column with the name of a new one is replaced.
+    A column of df with the name of a new one is replaced. Columns that are not carried do
+    not travel back from the Python workers.
     """
     added = StructType.fromDDL(schema).names
-    kept = [f for f in df.schema.fields if f.name not in added]
-    source = next(i for i, c in enumerate(df.columns) if c == text)
-    replaced = text in added
-    frame = df.select(*[F.col(f"`{f.name}`") for f in kept], *([F.col(f"`{text}`").alias("_text")] if replaced else []))
-    place = len(kept) if replaced else next(i for i, f in enumerate(kept) if f.name == df.columns[source])
+    kept = [f for f in df.schema.fields if f.name not in added and (carry is None or f.name in carry)]
+    frame = df.select(F.col(f"`{text}`").alias("_text"), *[F.col(f"`{f.name}`") for f in kept if f.name != text])
     whole = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [schema])
-    width = len(kept)
+    # the text comes first; each carried column's place in the batch
+    rest = [f.name for f in kept if f.name != text]
+    places = [0 if f.name == text else 1 + rest.index(f.name) for f in kept]
+    names = [f.name for f in kept] + added
 
     def add(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = fn(batch.column(place))
-        arrays = [batch.column(i) for i in range(width)] + [found[name] for name in added]
-        return pa.RecordBatch.from_arrays(arrays, names=[batch.schema.names[i] for i in range(width)] + added)
+        found = fn(batch.column(0))
+        return pa.RecordBatch.from_arrays([batch.column(i) for i in places] + [found[name] for name in added], names=names)
 
     return map_batches(frame, add, whole)
 

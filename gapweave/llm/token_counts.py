@@ -58,8 +58,8 @@ def frequent_pieces(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS,
     return b" ".join(pieces), np.array(lengths(path, pieces), np.uint16)
 
 
-def token_counts(docs: DataFrame, path: str, longest: int = 2048, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs with n_bytes, n_tokens and over_limit (more than longest tokens).
+def token_counts(docs: DataFrame, path: str, longest: int = 2048, sample_rows: int = SAMPLE_ROWS, carry: list[str] | None = None) -> DataFrame:
+    """docs (its columns in carry; None: all) with n_bytes, n_tokens and over_limit (more than longest tokens).
 
     The tokenizer drops white space and never joins what it separates, so a text's count
     is the sum over its pieces between ASCII white space. Pieces are looked up in a
@@ -99,4 +99,4 @@ def token_counts(docs: DataFrame, path: str, longest: int = 2048, sample_rows: i
             "over_limit": pa.array(n_tokens > longest),
         }
 
-    return appended(docs, "text", count, "n_bytes long, n_tokens long, over_limit boolean")
+    return appended(docs, "text", count, "n_bytes long, n_tokens long, over_limit boolean", carry)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gapweave.llm.arrays import FOLD, NOT_ALNUM, column_bytes
-from gapweave.llm.tables import appended, bounded_sample, store, text_or_empty
+from gapweave.llm.tables import appended, bounded_sample, store
 
 #: Bytes of an n-gram, the discount, and the bytes of the window whose mean is compared.
 ORDER = 5
@@ -151,16 +151,16 @@ def fit(grams: DataFrame) -> Model:
     return Model(gram, logs[1] - logs[0], contexts, unseen[1] - unseen[0])
 
 
-def _features(docs: DataFrame, model: Model) -> DataFrame:
+def _features(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(column: pa.Array) -> dict[str, pa.Array]:
         data, offsets = column_bytes(column)
         rows = [shared.value.features(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         mean, top = (np.array(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0), np.zeros(0))
-        return {"mean_ratio": pa.array(mean), "top_ratio": pa.array(top)}
+        return {"mean_ratio": pa.array(mean), "top_ratio": pa.array(top), "log_size": pa.array(np.log1p(np.diff(offsets)))}
 
-    return appended(docs, "text", measure, "mean_ratio double, top_ratio double")
+    return appended(docs, "text", measure, "mean_ratio double, top_ratio double, log_size double", carry)
 
 
 def calibrate(rows: np.ndarray, steps: int = 50) -> np.ndarray:
@@ -185,8 +185,8 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, threshold: float = 0.7) -> DataFrame:
-    """docs with held_out, score (0 to 1) and predicted (1 if score >= threshold).
+def toxicity(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, threshold: float = 0.7, carry: list[str] | None = None) -> DataFrame:
+    """docs (its columns in carry, doc_id among them; None: all) with held_out, score (0 to 1) and predicted (1 if score >= threshold).
 
     Texts are compared as byte n-grams of ORDER bytes. Each class has a Kneser-Ney model
     from at most class_rows labelled rows that are not held out (those with the smallest
@@ -217,14 +217,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, t
     checked = frame([r for v in (0, 1) for k, r in enumerate(turn[v]) if not k % CALIBRATE])
     model = fit(store(gram_counts(docs, learned)))
 
-    size = F.log1p(F.octet_length(text_or_empty()).cast("double"))
     wanted = docs.select("doc_id", "text").join(F.broadcast(checked), "doc_id")
-    sample = _features(wanted, model).select("mean_ratio", "top_ratio", size.alias("size"), F.col("toxic").cast("double")).toPandas()
+    sample = _features(wanted, model, ["toxic"]).select("mean_ratio", "top_ratio", "log_size", F.col("toxic").cast("double")).toPandas()
     constant, mean, top, length = (float(w) for w in calibrate(sample.to_numpy()))
-    level = F.lit(constant) + mean * F.col("mean_ratio") + top * F.col("top_ratio") + length * size
+    level = F.lit(constant) + mean * F.col("mean_ratio") + top * F.col("top_ratio") + length * F.col("log_size")
     score = 1 / (1 + F.exp(-F.least(F.greatest(level, F.lit(-30.0)), F.lit(30.0))))
     return (
-        _features(docs, model)
+        _features(docs, model, carry)
         .withColumn("held_out", held_out())
         .withColumn("score", score)
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
