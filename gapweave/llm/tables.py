@@ -54,6 +54,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
                 yield out
             else:
                 yield from out
+            del batch, out
+            pa.default_memory_pool().release_unused()  # a worker lives on and would keep its largest batch
 
     return df.mapInArrow(run, schema)
 

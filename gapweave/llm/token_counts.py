@@ -19,7 +19,8 @@ FREQUENT = 1 << 16
 CACHE = 1 << 17
 LONGEST = 48
 #: Rows that are looked up together.
-ROWS = 256
+ROWS = 128
+LOT = 512
 
 _tokenizers: dict = {}
 _tables: dict = {}
@@ -36,9 +37,12 @@ def _tokenizer(path: str):
 
 
 def lengths(path: str, pieces: list[bytes]) -> list[int]:
-    """Tokens of each piece as the library counts them."""
-    texts = [p.decode("utf-8", "replace") for p in pieces]
-    return [len(e.ids) for e in _tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+    """Tokens of each piece as the library counts them; LOT pieces at a time, as encodings are large."""
+    tokenizer, out = _tokenizer(path), []
+    for low in range(0, len(pieces), LOT):
+        texts = [p.decode("utf-8", "replace") for p in pieces[low : low + LOT]]
+        out += [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return out
 
 
 def frequent_pieces(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS, size: int = FREQUENT) -> tuple[bytes, np.ndarray]:
@@ -58,27 +62,19 @@ def frequent_pieces(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS,
     return b" ".join(pieces), np.array(lengths(path, pieces), np.uint16)
 
 
-def token_counts(docs: DataFrame, path: str, longest: int = 2048, sample_rows: int = SAMPLE_ROWS, carry: list[str] | None = None) -> DataFrame:
-    """docs (its columns in carry; None: all) with n_bytes, n_tokens and over_limit (more than longest tokens).
+class _Lookup:
+    """The counts of a text column. A class of this module, so that all tasks of a worker share the module's caches."""
 
-    The tokenizer drops white space and never joins what it separates, so a text's count
-    is the sum over its pieces between ASCII white space. Pieces are looked up in a
-    broadcast table of frequent ones (size entries), then in the worker's own cache;
-    the rest are encoded by the library, a batch at a time. Nothing is shuffled.
+    def __init__(self, table, name: str, path: str, longest: int):
+        self.table, self.name, self.path, self.longest = table, name, path, longest
 
-    Null text counts as empty: 0 bytes, 0 tokens. Special strings inside texts count as
-    the library counts them. Rows are independent, so repeated rows get equal counts.
-    """
-    table = docs.sparkSession.sparkContext.broadcast(frequent_pieces(docs, path, sample_rows))
-    name = uuid.uuid4().hex
-
-    def count(column: pa.Array) -> dict[str, pa.Array]:
-        if name not in _tables:
+    def __call__(self, column: pa.Array) -> dict[str, pa.Array]:
+        if self.name not in _tables:
             _tables.clear()
             _cache.clear()
-            blob, sizes = table.value
-            _tables[name] = dict(zip(blob.split(b" "), sizes.tolist(), strict=True)) if blob else {}
-        frequent = _tables[name]
+            blob, sizes = self.table.value
+            _tables[self.name] = dict(zip(blob.split(b" "), sizes.tolist(), strict=True)) if blob else {}
+        frequent = _tables[self.name]
         sizes, out = [], []
         for low in range(0, len(column), ROWS):
             data, offsets = column_bytes(column.slice(low, ROWS))
@@ -87,7 +83,7 @@ def token_counts(docs: DataFrame, path: str, longest: int = 2048, sample_rows: i
             if len(_cache) > CACHE:
                 _cache.clear()
             missing = [p for p in set().union(*rows) if p not in frequent and p not in _cache]
-            found = dict(zip(missing, lengths(path, missing), strict=True)) if missing else {}
+            found = dict(zip(missing, lengths(self.path, missing), strict=True)) if missing else {}
             _cache.update((p, n) for p, n in found.items() if len(p) <= LONGEST)
             for pieces in rows:
                 out.append(sum(frequent[p] if p in frequent else _cache[p] if p in _cache else found[p] for p in pieces))
@@ -96,7 +92,22 @@ def token_counts(docs: DataFrame, path: str, longest: int = 2048, sample_rows: i
         return {
             "n_bytes": pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64)),
             "n_tokens": pa.array(n_tokens),
-            "over_limit": pa.array(n_tokens > longest),
+            "over_limit": pa.array(n_tokens > self.longest),
         }
 
+
+def token_counts(docs: DataFrame, path: str, longest: int = 2048, sample_rows: int = SAMPLE_ROWS, carry: list[str] | None = None) -> DataFrame:
+    """docs (its columns in carry; None: all) with n_bytes, n_tokens and over_limit (more than longest tokens).
+
+    The tokenizer drops white space and never joins what it separates, so a text's count
+    is the sum over its pieces between ASCII white space. Pieces are looked up in a
+    broadcast table of frequent ones (size entries), then in the worker's own cache;
+    the rest are encoded by the library, a batch at a time. Nothing is shuffled.
+
+    Null text counts as empty: 0 bytes, 0 tokens. Special strings inside texts count as
+    the library counts them. Rows are independent, so repeated rows get equal counts.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(frequent_pieces(docs, path, sample_rows))
+    count = _Lookup(table, uuid.uuid4().hex, path, longest)
+
     return appended(docs, "text", count, "n_bytes long, n_tokens long, over_limit boolean", carry)
