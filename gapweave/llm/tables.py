@@ -68,7 +68,7 @@ def appended(df: DataFrame, text: str, fn: Callable[[pa.Array], dict[str, pa.Arr
     """
     added = StructType.fromDDL(schema).names
     kept = [f for f in df.schema.fields if f.name not in added and (carry is None or f.name in carry)]
-    frame = df.select(F.col(f"`{text}`").alias("_text"), *[F.col(f"`{f.name}`") for f in kept if f.name != text])
+    frame = df.select(F.col(f"`{text}`"), *[F.col(f"`{f.name}`") for f in kept if f.name != text])
     whole = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [schema])
     # the text comes first; each carried column's place in the batch
     rest = [f.name for f in kept if f.name != text]
