@@ -25,7 +25,11 @@ _LETTER[128:] = True
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many flags are set between neighbouring offsets."""
-    return np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
+    out = np.zeros(len(offsets) - 1, np.int64)
+    full = offsets[1:] > offsets[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(flags[: offsets[-1]], offsets[:-1][full], dtype=np.int64)
+    return out
 
 
 def _per_part(column: pa.Array, names: Sequence[str], measure: Callable[[Words], Sequence[np.ndarray]]) -> dict[str, np.ndarray]:

@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 HOT_SHARE = 256
 #: A hot key is cut into pieces of about 1 / PIECES of all rows.
 PIECES = 4096
+#: Rows of a text column that are worked on together.
+LOT_ROWS = 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -75,9 +77,11 @@ def appended(df: DataFrame, text: str, fn: Callable[[pa.Array], dict[str, pa.Arr
     places = [0 if f.name == text else 1 + rest.index(f.name) for f in kept]
     names = [f.name for f in kept] + added
 
-    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = fn(batch.column(0))
-        return pa.RecordBatch.from_arrays([batch.column(i) for i in places] + [found[name] for name in added], names=names)
+    def add(batch: pa.RecordBatch):
+        for low in range(0, batch.num_rows, LOT_ROWS):  # the arrays of a whole batch would be many times its size
+            lot = batch.slice(low, LOT_ROWS)
+            found = fn(lot.column(0))
+            yield pa.RecordBatch.from_arrays([lot.column(i) for i in places] + [found[name] for name in added], names=names)
 
     return map_batches(frame, add, whole)
 
