@@ -15,6 +15,7 @@ Both ways give the same summaries; callers merge them with an aggregate.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 MAX_BLOCK_ROWS = 8192
@@ -28,6 +29,9 @@ def to_matrix(column) -> np.ndarray:
         column = column.combine_chunks()
     if len(column) == 0:
         return np.zeros((0, 0))
+    sizes = np.unique(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    if len(sizes) != 1 or np.isnan(float(sizes[0])):
+        raise ValueError(f"vectors of unequal lengths: {sizes.tolist()}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 

@@ -171,14 +171,15 @@ def cluster_skills(skills: DataFrame, max_clusters: int = 10, seed: int = 0, fas
 
 
 def member_lists(labelled: DataFrame, member: str, position: str, rows: int = LIST_ROWS) -> DataFrame:
-    """Members of each cluster in order, as lists of at most ``rows`` positions.
+    """Members of each cluster in the order of ``position``, as lists of at most ``rows`` members.
 
-    Part p holds the positions p*rows .. p*rows + rows - 1; a small cluster of
-    consecutive positions is a single list, a huge one never sits in one row.
+    Part p holds the members at places p*rows .. p*rows + rows - 1 of the cluster, whatever
+    their positions are; only a cluster of more than ``rows`` members has several parts.
     """
-    part = F.floor(F.col(position) / rows).alias("part")
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(position), F.col(member).alias("member"))))
-    return labelled.groupBy("cluster", part).agg(F.transform(ordered, lambda r: r.getField("member")).alias("members"))
+    ranked = rank_within(labelled.select("cluster", position, member), ["cluster"], [F.col(position), F.col(member)], "_place")
+    part = F.floor((F.col("_place") - 1) / rows).alias("part")
+    ordered = F.sort_array(F.collect_list(F.struct("_place", F.col(member).alias("member"))))
+    return ranked.groupBy("cluster", part).agg(F.transform(ordered, lambda r: r.getField("member")).alias("members"))
 
 
 def _count_near(points: DataFrame, eps: float, digits: int) -> DataFrame:

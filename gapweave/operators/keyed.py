@@ -76,36 +76,55 @@ def id_collisions(table: DataFrame, key: str = KEY) -> DataFrame:
     return table.groupBy(key).count().where(F.col("count") > 1)
 
 
+def _merged(changes: DataFrame, key: str, position: str | None, carried: str | None) -> tuple[DataFrame, list[str]]:
+    """One row per key: for each field ``_new_field``, a struct of the last value given, or null if none was."""
+    fields = [c for c in changes.columns if c not in (key, position, carried)]
+
+    def given(name):
+        return F.col(name).isNotNull() if carried is None else F.array_contains(carried, name)
+
+    value = {c: F.struct(F.col(c).alias("v")) for c in fields}
+    if position is None:
+        merged = changes.select(key, *[F.when(given(c), value[c]).alias(f"_new_{c}") for c in fields])
+    else:
+        last = [F.max_by(value[c], F.when(given(c), F.col(position))).alias(f"_new_{c}") for c in fields]
+        merged = changes.groupBy(key).agg(F.lit(True).alias("_one"), *last).drop("_one")
+    return merged.withColumn("_hit", F.lit(True)), fields
+
+
 def update_rows(
     old: DataFrame,
     changes: DataFrame,
     position: str | None = None,
     run_at: Column | None = None,
     key: str = KEY,
+    carried: str | None = None,
 ) -> DataFrame:
-    """Set the non-null fields of ``changes`` on the rows that have their key.
+    """Set the fields that ``changes`` give on the rows that have their key.
 
-    Adds ``changed``: the row had a change set that altered at least one field.
-    With ``run_at``, rows that were matched also get ``last_modified``.
+    Several changes of a key (in the order of ``position``) are merged field by field:
+    the last one that gives a field sets it. A field is given when it is not null, or,
+    if ``carried`` names an array column, when that holds the field's name, so that a
+    null can be set. Adds ``changed``: the row had a change set that altered at least
+    one field. With ``run_at``, rows that were matched also get ``last_modified``.
     """
-    latest = changes if position is None else last_per_group(changes, [key], position).drop(position)
-    fields = [c for c in latest.columns if c != key]
-    marked = latest.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in fields])
+    marked, fields = _merged(changes, key, position, carried)
     joined = old.join(marked, key, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
 
     changed, out = F.lit(False), []
     for name in old.columns:
         if name in fields:
-            value = F.coalesce(F.col(f"_new_{name}"), F.col(name))
+            new = F.col(f"_new_{name}")
+            value = F.when(new.isNotNull(), new["v"]).otherwise(F.col(name))
             changed = changed | ~value.eqNullSafe(F.col(name))
             out.append(value.alias(name))
         elif name != "last_modified":
             out.append(F.col(name))
     for name in fields:
         if name not in old.columns:
-            changed = changed | F.col(f"_new_{name}").isNotNull()
-            out.append(F.col(f"_new_{name}").alias(name))
+            changed = changed | F.col(f"_new_{name}.v").isNotNull()
+            out.append(F.col(f"_new_{name}.v").alias(name))
     if run_at is not None:
         before = F.col("last_modified") if "last_modified" in old.columns else F.lit(None).cast("string")
         out.append(F.when(hit, epoch_text(run_at)).otherwise(before).alias("last_modified"))
@@ -119,20 +138,19 @@ def not_found(old: DataFrame, changes: DataFrame, key: str = KEY) -> DataFrame:
     return changes.select(key).distinct().join(old.select(key), key, "left_anti")
 
 
-def upsert_rows(old: DataFrame, new: DataFrame, position: str | None = None, key: str = KEY) -> DataFrame:
-    """Set the fields ``new`` carries, keep all others, create absent rows."""
-    latest = new if position is None else last_per_group(new, [key], position).drop(position)
-    fields = [c for c in latest.columns if c != key]
-    marked = latest.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in fields])
+def upsert_rows(old: DataFrame, new: DataFrame, position: str | None = None, key: str = KEY, carried: str | None = None) -> DataFrame:
+    """Set the fields ``new`` gives (as in ``update_rows``), keep all others, create absent rows."""
+    marked, fields = _merged(new, key, position, carried)
     joined = old.join(marked, key, "full")
     out = [F.col(key)]
     for name in [c for c in old.columns if c != key] + [c for c in fields if c not in old.columns]:
         if name not in fields:
             out.append(F.col(name))
         elif name in old.columns:
-            out.append(F.when(F.col("_hit"), F.col(f"_new_{name}")).otherwise(F.col(name)).alias(name))
+            given = F.col(f"_new_{name}")
+            out.append(F.when(given.isNotNull(), given["v"]).otherwise(F.col(name)).alias(name))
         else:
-            out.append(F.col(f"_new_{name}").alias(name))
+            out.append(F.col(f"_new_{name}.v").alias(name))
     return joined.select(*out)
 
 

@@ -30,14 +30,18 @@ def _grids(docs: DataFrame, text: str) -> DataFrame:
     return once(parsed, "_error", error)
 
 
-def parse_tables(docs: DataFrame, key: str = "request_id", text: str = "markdown") -> DataFrame:
+def parse_tables(docs: DataFrame, key: str = "request_id", text: str = "markdown", first_column: str | None = None) -> DataFrame:
     """One row per cell right of the skill: (key, row_no, skill, col_no, evidence, score).
 
     Blank cells are dropped, so later cells of that row shift left; missing cells
-    at the end of a row and cells that are not numbers have a null score.
+    at the end of a row and cells that are not numbers have a null score. A table
+    with the skill column only gives one row per skill, without evidence or score.
+    With ``first_column`` tables whose first column has another name give no rows.
     Documents without a valid table give no rows; see ``table_errors``.
     """
     grid = _grids(docs.select(key, text), text).where(F.col("_error").isNull())
+    if first_column is not None:
+        grid = grid.where(F.get("_header", F.lit(0)).eqNullSafe(first_column))
     rows = grid.select(key, "_header", F.posexplode("_body").alias("row_no", "_cells"))
     columns = F.filter("_header", lambda name, i: i >= 1)
     cells = rows.select(
@@ -45,7 +49,7 @@ def parse_tables(docs: DataFrame, key: str = "request_id", text: str = "markdown
         "row_no",
         F.get("_cells", F.lit(0)).alias("skill"),
         "_cells",
-        F.posexplode(columns).alias("_at", "evidence"),
+        F.posexplode_outer(columns).alias("_at", "evidence"),
     )
     return cells.select(
         key,

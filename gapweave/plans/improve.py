@@ -77,7 +77,7 @@ def render_course_prompts(requests: DataFrame, certifications: DataFrame) -> Dat
 
 def response_cells(responses: DataFrame, match_certificate: bool = False) -> DataFrame:
     """Weighted cells of all valid answers (request_id, markdown)."""
-    return penalize(parse_tables(responses), match_certificate)
+    return penalize(parse_tables(responses, first_column=SKILL_HEADER), match_certificate)
 
 
 def response_errors(responses: DataFrame) -> DataFrame:

@@ -7,21 +7,46 @@ from gapweave.operators.lineage import once
 from gapweave.schemas import CATALOG_COLUMNS, RAW_COURSE_SCHEMA
 
 
-def read_courses(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
-    """CSV (or TSV with ``sep``) with a header and the declared schema.
+def read_course_texts(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """The declared columns of a CSV (or TSV with ``sep``), found by their header names, as text.
 
+    A missing column and files whose headers differ are errors; other columns are ignored.
     ``multi_line`` allows line breaks inside quoted cells, which keeps a file in
     one task: give many files, or turn it off for exports without such breaks.
     """
-    return (
-        spark.read.schema(RAW_COURSE_SCHEMA)
-        .option("header", True)
+    read = (
+        spark.read.option("header", True)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
-        .csv(path)
     )
+    header = read.csv(path).schema
+    found = read.schema(header).option("enforceSchema", False).csv(path)
+    return found.select(*[F.col(f"`{f.name}`") for f in RAW_COURSE_SCHEMA])
+
+
+def _typed(field):
+    value = F.trim(F.col(field.name))
+    if field.dataType.simpleString() in ("bigint", "int"):
+        value = value.try_cast("double")  # 12.0 is a whole number
+    return value.try_cast(field.dataType) if field.dataType.simpleString() != "string" else F.col(field.name)
+
+
+def read_courses(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """Courses with the declared schema; a cell that is not of its type is null (see ``bad_cells``)."""
+    texts = read_course_texts(spark, path, sep, multi_line)
+    return texts.select(*[_typed(f).alias(f.name) for f in RAW_COURSE_SCHEMA])
+
+
+def bad_cells(texts: DataFrame) -> DataFrame:
+    """``column`` and ``value`` of the cells of ``read_course_texts`` that are not of their declared type."""
+    checks = [
+        F.when(F.col(f.name).isNotNull() & _typed(f).isNull(), F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("value")))
+        for f in RAW_COURSE_SCHEMA
+        if f.dataType.simpleString() != "string"
+    ]
+    return texts.select(F.inline(F.array_compact(F.array(*checks))))
 
 
 def normalize(raw: DataFrame, language: str | None = "English") -> DataFrame:

@@ -139,3 +139,14 @@ def test_weighted_score_terms(spark):
     args = [F.col(c) for c in "srdq"]
     assert df.select(weighted_score(*args)).first()[0] == 0.4
     assert df.select(weighted_score(*args, terms="all")).first()[0] == pytest.approx(0.4 + 1.2 + 0.05 + 0.1)
+
+
+def test_tables_without_evidence_or_skill_column(spark):
+    from gapweave.plans.improve import response_errors, score_responses
+    from gapweave.schemas import SKILL_HEADER
+
+    bare = f"| {SKILL_HEADER} |\n|---|\n| a |\n| b |"
+    nohead = "| x | p |\n|---|---|\n| a | 0.7 |"
+    answers = spark.createDataFrame([("bare", bare), ("nohead", nohead)], "request_id string, markdown string")
+    assert {(r.request_id, r.skill, r.gap_score) for r in score_responses(answers).collect()} == {("bare", "a", 0.0), ("bare", "b", 0.0)}
+    assert [r.request_id for r in response_errors(answers).collect()] == ["nohead"]

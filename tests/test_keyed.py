@@ -131,3 +131,13 @@ def test_interactions(spark, tmp_path):
     assert got[("a", 0)].jd_url == "u" and got[("a", 1)].jd_url is None
     json_path = interactions.write_interactions(records, str(tmp_path / "j"), "json")
     assert spark.read.json(json_path).count() == 5
+
+
+def test_changes_of_a_key_are_merged_field_by_field(spark, old):
+    changes = spark.createDataFrame([(1, "A", None, 0), (1, None, 5.0, 1)], "_id bigint, s string, x double, at int")
+    for apply in (keyed.update_rows, keyed.upsert_rows):
+        got = {r._id: (r.s, r.x) for r in apply(old, changes, "at").collect()}
+        assert got == {1: ("A", 5.0), 2: ("b", None), 3: (None, 3.0)}
+    given = spark.createDataFrame([(1, None, None, 0, ["s"]), (1, "no", 7.0, 1, ["x"])], "_id bigint, s string, x double, at int, has array<string>")
+    for apply in (keyed.update_rows, keyed.upsert_rows):
+        assert {r._id: (r.s, r.x) for r in apply(old, given, "at", carried="has").collect()}[1] == (None, 7.0)

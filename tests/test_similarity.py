@@ -161,3 +161,12 @@ def test_recommend(spark, limit, monkeypatch):
     assert ids(k=1, prefilter=True, preferences={"language": "english"}) == [("q", 2, 1.0, 0.5), ("r", 1, 1.0, 0.5), ("r", 2, 1.0, 0.5)]
     top = recommend.recommend(requests, skills, catalog, vectors, on_duplicate="max", top_n=1).collect()
     assert sorted((r.request_id, r._id, r["rank"]) for r in top) == [("q", 2, 1), ("r", 1, 1)]
+
+
+def test_vectors_of_unequal_length_are_an_error():
+    import pyarrow as pa
+
+    from gapweave.operators.blocks import to_matrix
+
+    with pytest.raises(ValueError):
+        to_matrix(pa.array([[1.0, 2.0], [1.0, 2.0, 3.0, 4.0]]))

@@ -105,3 +105,18 @@ def test_record_of_json_sink_is_readable(spark, tmp_path):
     path = str(tmp_path / "x")
     spark.createDataFrame([(1, [("a", 0.5)])], "_id int, rows array<struct<s:string,x:double>>").write.json(path)
     assert json.loads(spark.read.text(path).first()[0]) == {"_id": 1, "rows": [{"s": "a", "x": 0.5}]}
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    from gapweave.schemas import RAW_COURSE_SCHEMA
+    from gapweave.sources import catalog
+
+    names = [f.name for f in RAW_COURSE_SCHEMA]
+    cells = {f.name: f"v {f.name}" if f.dataType.simpleString() == "string" else "12.0" for f in RAW_COURSE_SCHEMA}
+    numbers = [f.name for f in RAW_COURSE_SCHEMA if f.dataType.simpleString() != "string"]
+    order = names[::-1] + ["other"]
+    lines = [",".join(order), ",".join([cells.get(n, "?") for n in order]), ",".join(["bad" if n == numbers[0] else cells.get(n, "?") for n in order])]
+    (tmp_path / "c.csv").write_text("\n".join(lines))
+    good, bad = sorted(catalog.read_courses(spark, str(tmp_path / "c.csv")).collect(), key=lambda r: r[numbers[0]] is None)
+    assert all(good[n] == (12 if n in numbers else cells[n]) for n in names) and bad[numbers[0]] is None
+    assert catalog.bad_cells(catalog.read_course_texts(spark, str(tmp_path / "c.csv"))).collect() == [(numbers[0], "bad")]

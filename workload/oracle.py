@@ -305,8 +305,9 @@ ORACLE = {
     "argmax_per_group": CATALOG
     + "SELECT subject, _id, avg_rating FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY avg_rating DESC, _id) AS n "
     "FROM courses WHERE avg_rating IS NOT NULL) WHERE n = 1",
-    "cluster_members": "SELECT label AS cluster, CAST(vec_id // 1000 AS BIGINT) AS part, "
-    "string_agg('v' || vec_id, '|' ORDER BY vec_id) AS members FROM embeddings GROUP BY 1, 2",
+    "cluster_members": "SELECT label AS cluster, CAST((place - 1) // 1000 AS BIGINT) AS part, "
+    "string_agg('v' || vec_id, '|' ORDER BY vec_id) AS members FROM "
+    "(SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings) GROUP BY 1, 2",
     "silhouette_exact": _with(
         ("totals", "SELECT a.vec_id AS id, a.label AS own, b.label AS other, "
          "sum(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS total, count(*) AS size "
