@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes scanned at once; a longer text is scanned in pieces cut between words.
-PIECE = 1 << 20
+PIECE = 1 << 18
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -21,8 +21,8 @@ from gapweave.llm.tables import map_batches, spread_join, store
 WORDS = 5
 PERCENT = 80
 #: Block keys that one task compares, and that are gathered before equal ones are merged.
-BUCKET_KEYS = 1 << 19
-SEGMENT_KEYS = 1 << 19
+BUCKET_KEYS = 1 << 18
+SEGMENT_KEYS = 1 << 18
 #: Words of the whole-set parity sketch that is compared before the sets themselves.
 SKETCH = [f"s{k}" for k in range(8)]
 #: A byte for each block of the sketch, in a set's own band and in the next one.
@@ -32,7 +32,7 @@ TURNS = 8
 #: Members of one block that are compared at once.
 TILE = 1_024
 #: Rows of tiles that one task compares.
-TASK_ROWS = 1 << 15
+TASK_ROWS = 1 << 14
 #: Hash slots of documents that are broadcast to leave others out of a shuffle.
 SLOTS = 1 << 21
 
