@@ -19,8 +19,9 @@ WINDOW = 16
 CLASS_ROWS = 20_000
 #: One labelled row in so many calibrates the score and is kept from the models.
 CALIBRATE = 4
+#: Ridge of the calibration.
+RIDGE = 0.05
 
-_SUFFIX = (1 << (8 * (ORDER - 1))) - 1
 _BYTES = np.where(NOT_ALNUM[FOLD], 32, FOLD).astype(np.uint8)
 
 
@@ -89,21 +90,29 @@ def gram_counts(docs: DataFrame, learned: DataFrame) -> DataFrame:
 def with_backoff(grams: DataFrame) -> DataFrame:
     """The grams of the labelled classes with shared, their backoff probability.
 
-    shared is the Kneser-Ney continuation probability of the gram's last byte after the
-    inner bytes: distinct left contexts of the suffix over those of all suffixes with the
-    same inner bytes, counted over the grams of all documents.
+    shared is the interpolated Kneser-Ney probability of the gram's last byte after its inner
+    bytes. On every level below the grams a suffix counts its distinct left contexts in the
+    level above, discounted, with the rest given to the suffix one byte shorter; the counts
+    start from the grams of all documents. Without the lower levels a suffix that occurs in
+    one word only would have probability 1, and the word would tell nothing.
     """
-    suffix = F.col("gram").bitwiseAND(F.lit(_SUFFIX))
-    suffixes = grams.groupBy(suffix.alias("suffix")).agg(F.count(F.lit(1)).alias("contexts"))
-    inner = suffixes.groupBy(F.shiftright("suffix", 8).alias("inner")).agg(F.sum("contexts").alias("all_contexts"))
-    return (
-        grams.where(F.col("ordinary") + F.col("toxic") > 0)
-        .withColumn("suffix", suffix)
-        .join(suffixes, "suffix")
-        .withColumn("inner", F.shiftright("suffix", 8))
-        .join(inner, "inner")
-        .select("gram", "ordinary", "toxic", (F.col("contexts") / F.col("all_contexts")).alias("shared"))
-    )
+    tail = lambda size: F.col("gram").bitwiseAND(F.lit((1 << (8 * size)) - 1))
+    levels, level = [], grams
+    for size in range(ORDER - 1, 0, -1):
+        level = store(level.groupBy(tail(size).alias("gram")).agg(F.count(F.lit(1)).alias("contexts")))
+        levels.append((size, level))
+    lower = None
+    for size, level in reversed(levels):
+        inner = F.shiftright("gram", 8).alias("inner")
+        sums = level.groupBy(inner).agg(F.sum("contexts").alias("all_contexts"), F.count(F.lit(1)).alias("kinds"))
+        found = level.select("gram", "contexts", inner).join(sums, "inner")
+        share = F.col("contexts") / F.col("all_contexts")
+        if lower is not None:
+            found = found.withColumn("tail", tail(size - 1)).join(lower, "tail")
+            share = (F.col("contexts") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("shared")) / F.col("all_contexts")
+        lower = found.select(F.col("gram").alias("tail"), share.alias("shared"))
+    labelled = grams.where(F.col("ordinary") + F.col("toxic") > 0)
+    return labelled.withColumn("tail", tail(ORDER - 1)).join(lower, "tail").select("gram", "ordinary", "toxic", "shared")
 
 
 @dataclass
@@ -165,18 +174,23 @@ def _features(docs: DataFrame, model: Model, carry: list[str] | None = None) ->
 
 def calibrate(rows: np.ndarray, steps: int = 50) -> np.ndarray:
     """Weights (constant, mean, top, log bytes) of a logistic curve; the last column of rows is the label."""
-    x, y = np.column_stack([np.ones(len(rows)), rows[:, :-1]]), rows[:, -1]
-    weights = np.zeros(x.shape[1])
+    x, y = rows[:, :-1], rows[:, -1]
+    weights = np.zeros(x.shape[1] + 1)
     if not 0 < y.sum() < len(y):
         weights[0] = 20.0 if len(y) and y.all() else -20.0
         return weights
-    penalty = np.diag([0.0] + [0.05] * (x.shape[1] - 1))
+    # centred and in units of their spread, so that the ridge weighs all features alike
+    middle, spread = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    x = np.column_stack([np.ones(len(x)), (x - middle) / spread])
+    penalty = np.diag([0.0] + [RIDGE] * (x.shape[1] - 1))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty + 1e-9 * np.eye(x.shape[1]), x.T @ (y - p) - penalty @ weights)
-        weights += np.clip(step, -5, 5)
+        weights += step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))  # shortened as a whole, so its direction stays
         if np.abs(step).max() < 1e-8:
             break
+    weights[1:] /= spread
+    weights[0] -= middle @ weights[1:]
     return weights
 
 
