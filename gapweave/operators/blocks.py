@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from gapweave.operators.lineage import checkpointed
+
 MAX_BLOCK_ROWS = 8192
 GRID_LEFT_ROWS = 65536
 CELLS_PER_STEP = 4_000_000
@@ -69,19 +71,23 @@ def against_all(
     ``work`` is a generator over Arrow record batches. Rows of both sides need a
     non-null array column ``vector`` and a key to hash, their first column.
     ``held`` is the right side when the caller has already fetched it, ``rows`` its
-    row count when that is known.
+    row count when that is known; otherwise the right side is stored first, so that
+    counting, fetching and copying it does not compute (or encode) it again.
     """
     if held is None:
+        if rows is None:
+            right = checkpointed(right)
+            rows = right.count()
         held = bounded_table(right, rows=rows)
     if held is not None:
         shared = left.sparkSession.sparkContext.broadcast(held)
         return left.mapInArrow(lambda batches: work(batches, shared.value), schema)
-    return _grid(left, right, work, schema)
+    return _grid(left, right, rows, work, schema)
 
 
-def _grid(left: DataFrame, right: DataFrame, work, schema: str) -> DataFrame:
+def _grid(left: DataFrame, right: DataFrame, rows: int, work, schema: str) -> DataFrame:
     left_blocks = -(-left.count() // GRID_LEFT_ROWS) or 1
-    right_blocks = -(-right.count() // MAX_BLOCK_ROWS) or 1
+    right_blocks = -(-rows // MAX_BLOCK_ROWS) or 1
 
     def spread(df, own, own_blocks, other, other_blocks):
         return df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(own_blocks))).withColumn(

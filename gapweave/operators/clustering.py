@@ -13,6 +13,7 @@ from gapweave.operators.ranking import rank_within
 from gapweave.operators.similarity import knn
 
 LIST_ROWS = 1000
+NO_LABEL = -(1 << 63)
 
 
 def _features(points: DataFrame) -> DataFrame:
@@ -197,7 +198,7 @@ def _count_near(points: DataFrame, eps: float, digits: int) -> DataFrame:
 
 
 def _smallest_near(points: DataFrame, core: DataFrame, rows: int, eps: float, digits: int) -> DataFrame:
-    """Smallest label among the core points within ``eps`` of each point."""
+    """Smallest other label among the core points within ``eps`` of each point (id, vector, label)."""
 
     def smallest(batches, right):
         if right.num_rows == 0:
@@ -207,7 +208,8 @@ def _smallest_near(points: DataFrame, core: DataFrame, rows: int, eps: float, di
         none = np.iinfo(np.int64).max
         for batch in steps(batches, len(others)):
             gaps = np.round(1.0 - unit_rows(to_matrix(batch.column("vector"))) @ others.T, digits)
-            least = np.where(gaps <= eps, labels[None, :], none).min(axis=1)
+            other = batch.column("label").to_numpy()[:, None] != labels[None, :]
+            least = np.where((gaps <= eps) & other, labels[None, :], none).min(axis=1)
             found = least != none
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").filter(pa.array(found)), pa.array(least[found], pa.int64())], names=["id", "label"]
@@ -217,13 +219,31 @@ def _smallest_near(points: DataFrame, core: DataFrame, rows: int, eps: float, di
     return found.groupBy("id").agg(F.min("label").alias("label"))
 
 
+def _roots(hooks: DataFrame) -> DataFrame:
+    """(label, root) from (label, parent), where each cluster names its smallest neighbour.
+
+    Such names form trees whose only cycles are two clusters naming each other; the
+    smaller of the two, which is the smallest of its tree, becomes the root. Each step doubles the way up, on one row per cluster.
+    """
+    up = lambda df: df.select(F.col("label").alias("parent"), F.col("parent").alias("above"))
+    pairs = hooks.join(up(hooks), "parent", "left")
+    root = (F.col("above") == F.col("label")) & (F.col("label") < F.col("parent"))
+    hooks = checkpointed(pairs.select("label", F.when(root, F.col("label")).otherwise(F.col("parent")).alias("parent")))
+    while True:
+        jumped = hooks.join(up(hooks), "parent", "left").select("label", F.coalesce("above", "parent").alias("above"), "parent")
+        jumped = checkpointed(jumped)
+        hooks = jumped.select("label", F.col("above").alias("parent"))
+        if jumped.where("above <> parent").isEmpty():
+            return hooks.withColumnRenamed("parent", "root")
+
+
 def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 2, digits: int = 9) -> DataFrame:
     """Density clusters by cosine distance over (id, vector): (id, cluster), noise -1.
 
-    A point counts itself. Clusters of core points start as single points and are
-    hooked to the smallest cluster they touch until nothing changes, which halves
-    their number or better each round; rounds are written to the checkpoint
-    folder. Neighbour pairs are never stored.
+    A point counts itself. Clusters of core points start as single points. In each round
+    every cluster is hooked to the smallest other one it touches, and all that hang
+    together become one, so that at most half of those that touch any remain; rounds are
+    written to the checkpoint folder. Neighbour pairs are never stored.
     Clusters are numbered by their smallest core id, and a border point joins the
     first cluster that reaches it.
     """
@@ -233,29 +253,25 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 2, digits: in
     rows_core = core.count()
     labels = core.select("id", F.col("id").alias("label"))
     while True:
-        near = _smallest_near(core, core.join(labels, "id"), rows_core, eps, digits).withColumnRenamed("label", "near")
-        # Each cluster so far is hooked to the smallest one it touches, then to that one's own hook.
-        hooks = near.join(labels, "id").groupBy("label").agg(F.min("near").alias("parent"))
-        further = hooks.select(F.col("label").alias("parent"), F.col("parent").alias("root"))
-        roots = hooks.join(further, "parent").select("label", "root")
-        merged = labels.join(roots, "label").select(
-            "id", F.col("root").alias("label"), (F.col("root") < F.col("label")).alias("moved")
-        )
-        merged = checkpointed(merged)
-        labels = merged.drop("moved")
-        if merged.where("moved").isEmpty():
+        marked = core.join(labels, "id")
+        near = _smallest_near(marked, marked, rows_core, eps, digits).withColumnRenamed("label", "near")
+        hooks = checkpointed(near.join(labels, "id").groupBy("label").agg(F.min("near").alias("parent")))
+        if hooks.isEmpty():
             break
-    border = _smallest_near(rows.join(dense, "id", "left_anti"), core.join(labels, "id"), rows_core, eps, digits)
-    reached = labels.unionByName(border)
+        merged = labels.join(_roots(hooks), "label", "left")
+        labels = checkpointed(merged.select("id", F.coalesce("root", "label").alias("label")))
+    outside = rows.join(core.select("id"), "id", "left_anti").withColumn("label", F.lit(NO_LABEL))
+    border = _smallest_near(outside, core.join(labels, "id"), rows_core, eps, digits)
     numbers = rank_within(labels.select("label").distinct(), [], [F.col("label")], "number")
-    named = reached.join(numbers, "label").select("id", (F.col("number") - 1).cast("int").alias("cluster"))
+    named = labels.unionByName(border).join(numbers, "label").select("id", (F.col("number") - 1).cast("int").alias("cluster"))
     return rows.select("id").join(named, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def spectral(points: DataFrame, k: int = 5, neighbors: int = 10) -> DataFrame:
     """Power-iteration clustering of the symmetric nearest-neighbour graph.
 
-    Gives (id, cluster). Every point is searched against all others exactly.
+    Gives (id, cluster) for every point; -1 for one without a neighbour of positive
+    score or without a vector. Every point is searched against all others exactly.
     """
     courses = points.select(F.col("id").alias("_id"), "vector")
     asked = points.select(F.col("id").cast("string").alias("skill"), "vector")
@@ -267,4 +283,4 @@ def spectral(points: DataFrame, k: int = 5, neighbors: int = 10) -> DataFrame:
     edges = pairs.groupBy("src", "dst").agg((F.sum("score") / 2).alias("weight"))
     held = checkpointed(edges)
     out = PowerIterationClustering(k=k, weightCol="weight").assignClusters(held)
-    return out.select("id", "cluster")
+    return points.select("id").join(out.select("id", "cluster"), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))

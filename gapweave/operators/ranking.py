@@ -31,10 +31,12 @@ def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int)
 def best_per_group(df: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
     """Row with the highest score per group, the smallest ``tie`` among equals.
 
-    A max_by aggregate, so each task sends one row per group to the shuffle.
+    A max_by aggregate, so each task sends one row per group to the shuffle. A NaN
+    score counts as none: it loses to every number.
     """
     rest = [c for c in df.columns if c not in keys]
-    order = F.struct(F.col(score), -F.col(tie))
+    number = F.when(~F.isnan(F.col(score).cast("double")), F.col(score))
+    order = F.struct(number, -F.col(tie))
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_best"))
     return best.select(*keys, "_best.*").select(*df.columns)
 

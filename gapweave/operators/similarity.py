@@ -126,7 +126,9 @@ def build_index(vectors: DataFrame, lists: int = 256, seed: int = 0) -> tuple[Da
         Normalizer(inputCol="_raw", outputCol="_unit"),
         KMeans(k=lists, seed=seed, featuresCol="_unit", predictionCol="list", solver="row"),
     ]
-    model = Pipeline(stages=stages).fit(features)
+    held = features.persist()  # k-means reads it in every round
+    model = Pipeline(stages=stages).fit(held)
+    held.unpersist()
     centres = [[float(x) for x in c] for c in model.stages[-1].clusterCenters()]
     return model.transform(features).select("_id", "vector", "list"), centres
 
@@ -171,7 +173,8 @@ def similarity_matrix(
 
     ``skills`` is (skill_pos, skill, vector) with positions 0, 1, ...; tile t holds
     positions t*4096 .. t*4096+4095 in order, so up to 4,096 skills are one row per
-    course. The matrix is never spread into (skill, course) rows.
+    course. A skill without a vector keeps its place, with null. The matrix is never
+    spread into (skill, course) rows.
     """
     _check(score_mode)
 
@@ -181,14 +184,19 @@ def similarity_matrix(
         pos = right.column("skill_pos").to_numpy()
         order = np.argsort(pos, kind="stable")
         others = unit_rows(to_matrix(right.column("vector")))[order]
-        tiles = pos[order] // TILE
+        tiles, places = np.divmod(pos[order], TILE)
         for batch in steps(batches, len(order)):
             scores = _scores(to_matrix(batch.column("vector")), others, score_mode, digits)
             for tile in np.unique(tiles):
-                part = np.ascontiguousarray(scores[:, tiles == tile])
-                n, width = part.shape
+                own = places[tiles == tile]
+                n, width = len(scores), int(own.max()) + 1
+                part = np.zeros((n, width))
+                part[:, own] = scores[:, tiles == tile]
+                absent = np.ones(width, dtype=bool)
+                absent[own] = False
                 lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, n * width + 1, width), pa.int32()), pa.array(part.ravel())
+                    pa.array(np.arange(0, n * width + 1, width), pa.int32()),
+                    pa.array(part.ravel(), mask=np.tile(absent, n)),
                 )
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id"), pa.array(np.full(n, tile), pa.int32()), lists],
@@ -214,9 +222,12 @@ def similarity_matrix(
 
 
 def similarity_wide(matrix: DataFrame, skill_names: list[str]) -> DataFrame:
-    """Export shape: one column per skill, for the skills of tile 0 in order."""
-    return matrix.where(F.col("tile") == 0).select(
-        "_id", *[F.col("similarities")[i].alias(name) for i, name in enumerate(skill_names)]
+    """Export shape: one column per skill, named by position; null for a skill without a vector."""
+    tiles = F.map_from_entries(F.collect_list(F.struct("tile", "similarities"))).alias("tiles")
+    gathered = matrix.groupBy("_id").agg(tiles)
+    return gathered.select(
+        "_id",
+        *[F.get(F.try_element_at("tiles", F.lit(i // TILE)), F.lit(i % TILE)).alias(name) for i, name in enumerate(skill_names)],
     )
 
 

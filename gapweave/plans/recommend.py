@@ -1,6 +1,6 @@
 """Recommending courses for the skills of many requests in one plan."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gapweave.functions.scores import quality_score, weighted_score
 from gapweave.operators.lineage import checkpointed
@@ -11,6 +11,7 @@ from gapweave.sources.vectors import hash_encoder
 
 MAX_BROADCAST_HITS = 500_000
 SALTS = 32
+LIMITS = ("min_duration", "max_duration", "min_rating", "language")
 
 
 def wanted_skills(records: DataFrame) -> DataFrame:
@@ -26,13 +27,28 @@ def encode_skills(requests: DataFrame, encoder=hash_encoder) -> DataFrame:
 def pref_filter(courses: DataFrame, preferences: dict | None = None) -> DataFrame:
     """Hours within both limits, rating high enough, language equal without case."""
     p = {**DEFAULT_PREFERENCES, **(preferences or {})}
-    return courses.where(
-        F.col("duration_hrs").between(p["min_duration"], p["max_duration"])
-        & (F.col("avg_rating") >= p["min_rating"])
-        & (F.lower("language") == p["language"].lower())
+    return courses.where(_fits({c: F.lit(p[c]) for c in LIMITS}))
+
+
+def _fits(limit: dict[str, Column]) -> Column:
+    return (
+        F.col("duration_hrs").between(limit["min_duration"], limit["max_duration"])
+        & (F.col("avg_rating") >= limit["min_rating"])
+        & (F.lower("language") == F.lower(limit["language"]))
     )
 
 
+def pref_filter_per_request(found: DataFrame, preferences: DataFrame) -> DataFrame:
+    """``pref_filter`` with a row of limits per request_id, which has one row at most.
+
+    A limit that is null, a column that is absent and a request without a row take the default.
+    """
+    given = [c for c in LIMITS if c in preferences.columns]
+    own = preferences.select("request_id", *[F.col(c).alias(f"_{c}") for c in given])
+    limits = {c: F.coalesce(f"_{c}", F.lit(DEFAULT_PREFERENCES[c])) if c in given else F.lit(DEFAULT_PREFERENCES[c]) for c in LIMITS}
+    return found.join(own, "request_id", "left").where(_fits(limits)).drop(*[f"_{c}" for c in given])
+
+
 def with_quality(courses: DataFrame) -> DataFrame:
     return courses.withColumn("quality_score", quality_score(F.col("provider")))
 
@@ -81,7 +97,7 @@ def recommend(
     skills: DataFrame,
     catalog: DataFrame,
     vectors: DataFrame,
-    preferences: dict | None = None,
+    preferences: dict | DataFrame | None = None,
     k: int = DEFAULT_K,
     min_score: float = 0.5,
     score_mode: str = "atlas_cosine",
@@ -94,10 +110,14 @@ def recommend(
 
     Each distinct skill is searched once. Preferences apply after the search, as
     the search knows nothing of them; ``prefilter`` searches only courses that
-    meet them. Add the order with ``best_first`` and the near-duplicate removal
+    meet them. ``preferences`` is one set for all requests, or a table with limits
+    for each request_id (see ``pref_filter_per_request``). Add the order with ``best_first`` and the near-duplicate removal
     with ``operators.dedup.deduplicate``.
     """
-    fitting = pref_filter(catalog, preferences)
+    per_request = isinstance(preferences, DataFrame)
+    if per_request and prefilter:
+        raise ValueError("prefilter needs one set of preferences")
+    fitting = catalog if per_request else pref_filter(catalog, preferences)
     if prefilter:
         vectors = vectors.join(fitting.select("_id"), "_id", "left_semi")
     # The hits are used twice below; stored, the search runs once and their number is known.
@@ -112,7 +132,10 @@ def recommend(
     if small:
         # Reduce the catalogue to the courses found in its own scan.
         courses = fitting.join(F.broadcast(hits.select("_id").distinct()), "_id", "left_semi")
-    scored = with_weighted_score(union.join(courses, "_id"), terms)
+    found = union.join(courses, "_id")
+    if per_request:
+        found = pref_filter_per_request(found, preferences)
+    scored = with_weighted_score(found, terms)
     if top_n is None:
         return scored
     return top_k_per_group(scored, ["request_id"], [F.desc("weighted_score"), F.asc("_id")], top_n)

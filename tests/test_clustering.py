@@ -94,6 +94,30 @@ def test_dbscan_over_a_chain_in_blocks(spark, way):
     assert got.pop(99) == -1 and set(got.values()) == {0}
 
 
+def test_dbscan_needs_few_rounds_for_a_chain_in_order(spark, monkeypatch):
+    passes = []
+    work = clustering._smallest_near
+    monkeypatch.setattr(clustering, "_smallest_near", lambda *a: passes.append(1) or work(*a))
+    angles = np.linspace(0, 3.0, 200)
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angles)]
+    got = clustering.dbscan(frame(spark, rows), 0.0002, 2).collect()
+    # the last round finds nothing to merge, and the border takes one pass
+    assert {r.cluster for r in got} == {0} and len(got) == 200 and len(passes) <= int(np.ceil(np.log2(200))) + 2
+
+
+def test_dbscan_merges_by_the_smallest_other_cluster(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(np.cos(a)), float(np.sin(a)), 0.1]) for i, a in zip(rng.permutation(300), rng.uniform(0, 6, 300), strict=True)]
+    got = {r.id: r.cluster for r in clustering.dbscan(frame(spark, rows), 0.0004, 3).collect()}
+    assert got == brute_dbscan(sorted(rows), 0.0004, 3)
+
+
+def test_spectral_labels_points_without_a_neighbour(spark):
+    points = frame(spark, [*blobs(), (500, None)])
+    labels = {r.id: r.cluster for r in clustering.spectral(points, 3, neighbors=5).collect()}
+    assert len(labels) == 61 and labels[500] == -1
+
+
 @pytest.mark.parametrize("n", [0, 1, 3])
 def test_kmeans_with_fewer_points_than_clusters(spark, n):
     got = clustering.kmeans(frame(spark, FEW[:n]), 10).collect()

@@ -77,6 +77,37 @@ def test_matrix_and_wide(spark, data, tmp_path):
     assert spark.read.option("header", True).csv(path).columns == wide.columns
 
 
+@pytest.mark.parametrize("tile", [2, 4096])
+def test_wide_columns_keep_their_skill(spark, monkeypatch, tile):
+    monkeypatch.setattr(similarity, "TILE", tile)
+    courses = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "_id long, vector array<double>")
+    skills = [(0, "a", [1.0, 0.0]), (1, "b", None), (2, "c", [0.0, 1.0]), (3, "d", [1.0, 0.0]), (4, "e", None)]
+    matrix = similarity.similarity_matrix(courses, spark.createDataFrame(skills, "skill_pos long, skill string, vector array<double>"))
+    wide = similarity.similarity_wide(matrix, ["a", "b", "c", "d", "e"]).orderBy("_id").collect()
+    assert [tuple(r) for r in wide] == [(1, 1.0, None, 0.0, 1.0, None), (2, 0.0, None, 1.0, 0.0, None)]
+
+
+def test_right_side_is_computed_once(spark, data):
+    courses, _, _ = data
+    count = spark.sparkContext.accumulator(0)
+
+    def encoded(batches):
+        for batch in batches:
+            count.add(batch.num_rows)
+            yield batch
+
+    skills = spark.createDataFrame([(f"s{i}", [float(i == k) for k in range(len(courses.first().vector))]) for i in range(3)], "skill string, vector array<double>")
+    similarity.knn(courses, skills.mapInArrow(encoded, skills.schema), 2).collect()
+    assert count.value == 3
+
+
+def test_a_nan_score_does_not_win(spark):
+    from gapweave.operators.ranking import best_per_group
+
+    rows = spark.createDataFrame([(1, 1, float("nan")), (1, 2, 0.5), (1, 3, None)], "g int, _id long, score double")
+    assert [r._id for r in best_per_group(rows, ["g"], "score", "_id").collect()] == [2]
+
+
 def test_matrix_in_tiles(data, monkeypatch):
     monkeypatch.setattr(similarity, "TILE", 5)
     monkeypatch.setattr(blocks, "MAX_BLOCK_ROWS", 6)

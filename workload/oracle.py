@@ -193,7 +193,7 @@ NEAR = (
 )
 
 ORACLE = {
-    "catalog_load": CATALOG + "SELECT * EXCLUDE (description) FROM courses WHERE language = 'English'",
+    "catalog_load": CATALOG + "SELECT * FROM courses WHERE language = 'English'",
     "duration_hours": CATALOG + "SELECT _id AS course_id, duration, duration_hrs FROM courses",
     "encode_text": CATALOG
     + "SELECT _id, coalesce(name, 'nan') || chr(9) || coalesce(description, 'nan') AS text FROM courses",
@@ -202,7 +202,11 @@ ORACLE = {
     + " UNION ALL ".join(
         f"SELECT {i} AS position, '{c}' AS \"column\", '{kind}' AS type, count({c}) AS non_null, count(*) AS rows FROM courses"
         for i, (c, kind) in enumerate(
-            [("_id", "bigint"), ("description", "string"), ("avg_rating", "double"), ("language", "string")]
+            [("_id", "bigint")]
+            + [(c, "string") for c in ("name", "description", "duration", "pricing", "level", "provider")]
+            + [("num_rating", "bigint"), ("avg_rating", "double")]
+            + [(c, "string") for c in ("rating", "language", "certificate", "subject", "type")]
+            + [("duration_hrs", "double")]
         )
     ),
     "drop_all_null": CATALOG
@@ -218,8 +222,7 @@ ORACLE = {
     "similarity_matrix": MATRIX + "SELECT _id, 0 AS tile, " + TEN.replace("%s", "s") + " FROM cosines GROUP BY _id",
     "similarity_wide": MATRIX + "SELECT _id, " + TEN.replace("%s", "skill_") + " FROM cosines GROUP BY _id",
     "knn_topk": SEARCH
-    + "SELECT skill, rank, _id, score, name, provider, pricing, level, duration, language, subject "
-    "FROM hits JOIN courses USING (_id)",
+    + "SELECT * FROM hits JOIN courses USING (_id)",
     "skill_topn": MATRIX
     + "SELECT * FROM (SELECT skill, _id, score, CAST(row_number() OVER (PARTITION BY skill ORDER BY score DESC, _id) AS INT) "
     "AS rank FROM (SELECT skill, _id, round(cos, 6) AS score FROM cosines)) WHERE rank <= 5",
@@ -231,6 +234,11 @@ ORACLE = {
     + "SELECT request_id, _id, min(skill_pos) AS skill_pos, max(score) AS score "
     "FROM requests JOIN hits USING (skill) GROUP BY request_id, _id",
     "recommend_all": SEARCH + "SELECT * EXCLUDE (description, level) FROM recommended",
+    "recommend_per_request": SEARCH
+    + "SELECT request_id, _id, score, 0.5e0 * score AS weighted_score FROM found JOIN courses USING (_id) JOIN "
+    "(SELECT source AS request_id, CASE WHEN min(doc_id) % 2 = 0 THEN 3.5e0 ELSE 4e0 END AS min_rating, "
+    "min(doc_id) % 40 + 10 AS max_duration FROM documents GROUP BY 1) USING (request_id) "
+    "WHERE score > 0.5 AND duration_hrs BETWEEN 1 AND max_duration AND avg_rating >= min_rating AND lower(language) = 'english'",
     "recommend_prefilter": NARROW + "SELECT request_id, _id, score, weighted_score FROM recommended",
     "recommend_topn": SEARCH
     + "SELECT * FROM (SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY weighted_score DESC, _id) "

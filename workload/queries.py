@@ -40,7 +40,7 @@ def _all_courses(spark, sf):
 
 @query
 def catalog_load(spark, sf):
-    return _catalog(spark, sf).drop("description")
+    return _catalog(spark, sf)
 
 
 @query
@@ -61,7 +61,7 @@ def distinct_providers(spark, sf):
 
 @query
 def table_profile(spark, sf):
-    return catalogs.profile(_all_courses(spark, sf).select("_id", "description", "avg_rating", "language"))
+    return catalogs.profile(_all_courses(spark, sf))
 
 
 @query
@@ -119,15 +119,14 @@ def similarity_matrix(spark, sf):
 @query
 def similarity_wide(spark, sf):
     matrix = similarity.similarity_matrix(t.vectors(spark, sf), t.skills(spark, sf))
-    return similarity.similarity_wide(matrix, [f"skill_{i}" for i in range(10)])
+    names = [r.skill for r in t.skills(spark, sf).select("skill_pos", "skill").orderBy("skill_pos").collect()]
+    return similarity.similarity_wide(matrix, names)
 
 
 @query
 def knn_topk(spark, sf):
     hits = similarity.knn(t.vectors(spark, sf), t.skills(spark, sf))
-    return hits.join(_all_courses(spark, sf), "_id").select(
-        "skill", "rank", "_id", "score", "name", "provider", "pricing", "level", "duration", "language", "subject"
-    )
+    return hits.join(_all_courses(spark, sf), "_id")
 
 
 @query
@@ -177,6 +176,11 @@ def recommend_prefilter(spark, sf):
     return _recommended(spark, sf, prefilter=True).select("request_id", "_id", "score", "weighted_score")
 
 
+@query
+def recommend_per_request(spark, sf):
+    return _recommended(spark, sf, preferences=t.preferences(spark, sf)).select("request_id", "_id", "score", "weighted_score")
+
+
 @query
 def recommend_topn(spark, sf):
     return _recommended(spark, sf, top_n=5).select("request_id", "rank", "_id", "weighted_score")

@@ -147,6 +147,16 @@ def requests(spark, sf_dir) -> DataFrame:
     )
 
 
+def preferences(spark, sf_dir) -> DataFrame:
+    """Limits of each request; the lower hours and the language are left to the defaults."""
+    first = F.min("doc_id")
+    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("request_id")).agg(
+        F.when(first % 2 == 0, 3.5).otherwise(4.0).alias("min_rating"),
+        (first % 40 + 10).cast("double").alias("max_duration"),
+        F.lit(None).cast("string").alias("language"),
+    )
+
+
 def labelled(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("cluster")
