@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gapweave.llm.arrays import FOLD, SPACES, U64, mix, shingle_sets, words
 from gapweave.llm.components import components
-from gapweave.llm.tables import map_batches, spread_join, store
+from gapweave.llm.tables import give_back, map_batches, spread_join, store
 
 WORDS = 5
 PERCENT = 80
@@ -199,8 +199,11 @@ def _block_rows(bands: Bands, buckets: int, size: int):
                     if count >= SEGMENT_KEYS:
                         yield from flush(keys, members)
                         keys, members, count, seen = [], [], 0, {}
+            give_back()
         if keys:
             yield from flush(keys, members)
+        del keys, members, seen
+        give_back()
 
     return run
 
@@ -219,6 +222,8 @@ def _match(table: pa.Table) -> pa.Table:
         key, member, center, first = _runs(np.concatenate([k for k, _ in sent]), np.concatenate([m for _, m in sent]))
         out.append((_name(table["bucket"].to_numpy()[:1], key[~first]), member[~first], center[~first]))
     columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+    del out, sent
+    give_back()
     return pa.table({n: pa.array(c) for n, c in zip(("key", "member", "center"), columns, strict=True)})
 
 

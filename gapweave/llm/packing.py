@@ -29,14 +29,19 @@ def _encoder(path: str):
     """text -> token ids, as the tokenizers library gives them for this file.
 
     The same vocabulary and merges run in tiktoken when its rank file lies beside (three to
-    four times as fast); texts that it refuses go to the library.
+    four times as fast); texts that it refuses go to the library, which is loaded for the first of them.
     """
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        library = []
+
+        def slow(text: str) -> np.ndarray:
+            if not library:
+                from tokenizers import Tokenizer
+
+                library.append(Tokenizer.from_file(path))
+            return np.array(library[0].encode(text, add_special_tokens=False).ids, "<u4")
 
-        library = Tokenizer.from_file(path)
-        slow = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
         _encoders[path] = slow
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):

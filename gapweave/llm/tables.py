@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,6 +47,14 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a Python worker lives on and would keep its largest batch."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
     """Run fn over Arrow batches; it returns one batch or yields some."""
 
@@ -57,7 +66,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
             else:
                 yield from out
             del batch, out
-            pa.default_memory_pool().release_unused()  # a worker lives on and would keep its largest batch
+            give_back()
 
     return df.mapInArrow(run, schema)
 
