@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gapweave.llm.tables import spread_join, store, text_or_empty
 
-#: A group with more than 1 / HEAVY of a shard in any dimension is placed on its own, before all others.
+#: A group with more than 1 / HEAVY of a shard in any dimension is placed by the driver, before all others.
 HEAVY = 256
+#: A group stays whole where a shard has room for it but for this share of a shard; smaller groups always do.
+SLACK = 1 / 16
 #: Rows that one task places at a time.
 PART_ROWS = 8_192
 SIZES = ("size", "tokens", "members")
@@ -18,18 +20,27 @@ SIZES = ("size", "tokens", "members")
 WEIGHTS = np.array([4.0, 1.0, 1.0])
 
 
-def place(units: np.ndarray, total: np.ndarray, capacity: np.ndarray) -> np.ndarray:
+def place(units: np.ndarray, total: np.ndarray, capacity: np.ndarray, slack: float | None = None) -> np.ndarray:
     """The shard of each unit (rows of bytes, tokens, rows); capacity: per shard, what it should still get of each.
 
     Units go in falling order of their largest share of total. Each goes to the shard with
     the highest dot product (by WEIGHTS) of the unit and the shard's residual capacity, both
     as shares of total; residual capacity may become negative. The lowest shard wins ties.
+    With slack (a share of total) a unit of several rows and more than slack goes only where
+    it exceeds the residual capacity by at most slack in each dimension, to none (-1) otherwise.
     """
     whole = np.maximum(total, 1.0)
     shares, residual = units / whole, capacity / whole
     out = np.zeros(len(units), np.int32)
     for k in np.argsort(-shares.max(axis=1, initial=0.0), kind="stable"):
-        shard = int(np.argmax(residual @ (WEIGHTS * shares[k])))
+        gain = residual @ (WEIGHTS * shares[k])
+        if slack is not None and units[k, 2] > 1 and shares[k].max() > slack:
+            room = (shares[k] <= residual + slack).all(axis=1)
+            if not room.any():
+                out[k] = -1
+                continue
+            gain = np.where(room, gain, -np.inf)
+        shard = int(np.argmax(gain))
         residual[shard] -= shares[k]
         out[k] = shard
     return out
@@ -39,11 +50,15 @@ def shards(docs: DataFrame, count: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every document, under the law bytes.
 
     size is the text's UTF-8 bytes plus 8 (null text: empty); tokens are estimated by words
-    between white space. Equal texts form a group. Groups above 1 / HEAVY of a shard in
-    bytes, tokens or rows, cut into pieces of about that size, are fewer than 3 * HEAVY *
-    count pieces: the driver places them first. The rest is dealt by hash to parts of about
-    PART_ROWS rows, each with an equal part of every shard's residual capacity, and one task
-    places the groups of a part one by one. slot counts the rows of a shard by part, from 0.
+    between white space. Equal texts form a group, and a group lies in one shard. Only a group
+    that no shard has room for is cut: one above a shard in bytes, tokens or rows, or above
+    SLACK of a shard where larger groups have left less than that.
+
+    Groups above 1 / HEAVY of a shard are fewer than 3 * HEAVY * count: the driver places
+    them first, then the pieces, of about 1 / HEAVY of a shard, of those that are cut. The
+    rest is dealt by hash to parts of about PART_ROWS rows, each with an equal part of every
+    shard's residual capacity, and one task places the groups of a part one by one. slot
+    counts the rows of a shard by part, from 0.
 
     grown_shard is null under this law. A null doc_id is a row like any other; repeated rows
     are members of their text's group. An empty table gives an empty result.
@@ -66,29 +81,34 @@ def shards(docs: DataFrame, count: int = 24) -> DataFrame:
     groups = rows.groupBy("group_a", "group_b").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("members"))
     largest = F.greatest(*[F.col(c) / float(x) for c, x in zip(SIZES, limit, strict=True)])
     # of every dimension fewer than HEAVY * count groups can pass the limit
-    heavy = groups.where(largest > 1).select(F.col("group_a").alias("heavy_a"), F.col("group_b").alias("heavy_b"), F.least(F.ceil(largest), F.col("members")).alias("pieces"))
-    spark = docs.sparkSession
-    heavy = spark.createDataFrame(heavy.collect(), heavy.schema)
-    marked = rows.join(F.broadcast(heavy), (F.col("group_a") == F.col("heavy_a")) & (F.col("group_b") == F.col("heavy_b")), "left").withColumn(
-        "piece", F.when(F.col("pieces").isNull(), -1).otherwise(F.pmod(F.xxhash64("row"), "pieces")).cast("long")
-    )
-    marked = store(marked.select(*rows.columns, "piece"))
-    placed = (
-        marked.where("piece >= 0")
-        .groupBy("group_a", "group_b", "piece")
-        .agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("members"))
-        .orderBy("group_a", "group_b", "piece")
-        .toPandas()
-    )
-    units = placed[list(SIZES)].to_numpy(float)
+    heavy = groups.where(largest > 1).withColumn("pieces", F.least(F.ceil(largest), F.col("members"))).orderBy("group_a", "group_b").toPandas()
     capacity = np.tile(total / count, (count, 1))
-    heavy_shard = place(units, total, capacity)
+    units = heavy[list(SIZES)].to_numpy(float)
+    heavy["heavy_shard"] = place(units, total, capacity, SLACK / count)
+    whole = heavy[heavy["heavy_shard"] >= 0]
+    heavy.loc[whole.index, "pieces"] = 1
     residual = capacity
-    np.subtract.at(residual, heavy_shard, units)
-    placed["heavy_shard"] = heavy_shard
-    fixed = spark.createDataFrame(
-        placed[["group_a", "group_b", "piece", "heavy_shard"]].values.tolist(), "group_a long, group_b long, piece long, heavy_shard int"
+    np.subtract.at(residual, whole["heavy_shard"].to_numpy(), units[whole.index])
+    spark = docs.sparkSession
+    named = spark.createDataFrame(heavy[["group_a", "group_b", "pieces"]].values.tolist(), "heavy_a long, heavy_b long, pieces long")
+    marked = rows.join(F.broadcast(named), (F.col("group_a") == F.col("heavy_a")) & (F.col("group_b") == F.col("heavy_b")), "left").withColumn(
+        "piece", F.when(F.col("pieces").isNull(), -1).otherwise(F.pmod(F.xxhash64("row"), "pieces")).cast("long")
     )
+    marked = store(marked.select(*rows.columns, "piece", (F.col("pieces") > 1).alias("cut")))
+    fixed = whole.assign(piece=0)[["group_a", "group_b", "piece", "heavy_shard"]].values.tolist()
+    if len(whole) < len(heavy):
+        placed = (
+            marked.where("cut")
+            .groupBy("group_a", "group_b", "piece")
+            .agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("members"))
+            .orderBy("group_a", "group_b", "piece")
+            .toPandas()
+        )
+        units = placed[list(SIZES)].to_numpy(float)
+        placed["heavy_shard"] = place(units, total, residual)
+        np.subtract.at(residual, placed["heavy_shard"].to_numpy(), units)
+        fixed += placed[["group_a", "group_b", "piece", "heavy_shard"]].values.tolist()
+    fixed = spark.createDataFrame(fixed, "group_a long, group_b long, piece long, heavy_shard int")
     parts = int(total[2] // PART_ROWS) + 1
     dealt = marked.join(F.broadcast(fixed), ["group_a", "group_b", "piece"], "left").withColumn(
         "part",

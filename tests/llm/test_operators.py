@@ -108,6 +108,19 @@ def test_sharding(spark, docs, none):
     assert all(sorted(s) == list(range(len(s))) for _, s in by["slot"])
 
 
+def test_equal_texts_share_a_shard(spark):
+    rows, texts = [], 0
+    for members in [60, 25, 9, 5] + [2] * 300 + [1] * 800:  # a shard has 62 or 63 of the 1,499 rows
+        rows += [f"text {texts} " + "word " * (10 + texts % 10)] * members
+        texts += 1
+    rows += ["hot"] * 700  # more than a shard
+    found = sharding.shards(spark.createDataFrame(list(enumerate(rows)), SCHEMA)).toPandas()
+    by = found.assign(text=[rows[i] for i in found["doc_id"]]).groupby("text")["shard"].nunique()
+    assert by["hot"] > 1 and by.drop("hot").max() == 1 and len(found) == len(rows)
+    size = found.groupby("shard")["size"].sum()
+    assert size.max() <= 1.1 * size.min()
+
+
 def test_archive(spark, tmp_path):
     big, other = "<p>" + "é" * 100, "x" * 100
     rows = [(3, "u3", big), (1, "u\r\n1", big), (2, None, big), (None, "u", big), (4, "u", "tiny"), (5, "u", "tiny"), (6, "u", None), (7, "u", ""), (8, "u", other), (8, "u", other), (None, "v", "only" * 40)]
