@@ -209,6 +209,18 @@ def test_dedup_cuts_a_large_request_into_pieces(spark, monkeypatch):
     assert sorted(map(tuple, groups.values())) == [(0,), (1,), (2,), (3,)]
 
 
+def test_dedup_has_one_answer_below_and_above_the_piece_size(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(r, i, [float(x) for x in rng.normal(size=6)], float(rng.random())) for r in "ab" for i in range(400)]
+    rows += [("c", i, v, 0.1) for i, v in blobs(2, 12, 3)]
+    df = recommended(spark, rows).repartition(3)
+    found = []
+    for piece in (8192, 100):
+        monkeypatch.setattr(dedup, "PIECE", piece)
+        found.append({(r.request_id, r._id, r.cluster) for r in dedup.deduplicate(df).collect()})
+    assert found[0] == found[1] and sum(r == "a" for r, _, _ in found[0]) == 10
+
+
 def test_same_result_in_any_partitioning(spark):
     rows = [("a", i, v, i / 100) for i, v in blobs(7, 50, 6)]
     df = recommended(spark, rows)
