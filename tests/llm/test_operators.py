@@ -62,6 +62,19 @@ def test_token_counts(docs, none):
     assert token_counts.token_counts(none, path).count() == 0
 
 
+def test_token_counts_keep_the_case_of_special_strings(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["<|ENDOFTEXT|>", "a<|EndOfText|>b", "A<|endoftext|>B <|endoftext|>", "Plain WORDS <|StartOfText|> Plain", "<|EndOf Text|> ÉTÉ İ"] * 3
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):  # folds case, does not
+        path = public_tokenizers.path(name)
+        library = Tokenizer.from_file(path)
+        for frequent in (4_000, 0):  # by the frequent table, by the worker's cache
+            found = token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), SCHEMA), path, sample_rows=frequent)
+            got = {r.doc_id: r.n_tokens for r in found.collect()}
+            assert got == {i: sum(len(library.encode(p, add_special_tokens=False).ids) for p in t.split()) for i, t in enumerate(texts)}
+
+
 def test_toxicity(spark, docs, none, labels):
     found = toxicity.toxicity(docs, labels).collect()
     assert len(found) == len(TEXTS) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in found)
