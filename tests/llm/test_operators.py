@@ -240,6 +240,32 @@ def test_decontaminate(spark, docs, none):
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
 
 
+def test_decontaminate_finds_similar_windows_beyond_the_radius(spark):
+    random = np.random.default_rng(11)
+    items, rows, want = [], [], set()
+    for j in range(60):
+        n = (50, 60, 150)[j % 3]
+        words = [f"v{random.integers(10**6)}" for _ in range(n)]
+        items.append((j, " ".join(words)))
+        for _ in range(20):  # documents as long as the item: one window each
+            copy = list(words)
+            for place in random.integers(0, n, n // 50):
+                copy[place] = f"n{random.integers(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+            p, q = multiset(copy), multiset(words)
+            if sum((p & q).values()) >= 0.8 * sum((p | q).values()):
+                want.add((rows[-1][0], j))
+    # a shingle of many occurrences weighs much in a fingerprint
+    items.append((60, " ".join(f"u{k}" for k in range(200)) + " again" * 24))
+    rows.append((len(rows), " ".join(f"u{k}" for k in range(200)) + " " + " ".join(f"o{k}" for k in range(24))))
+    p, q = multiset(rows[-1][1].split()), multiset(items[-1][1].split())
+    assert sum((p & q).values()) >= 0.8 * sum((p | q).values())
+    want.add((rows[-1][0], 60))
+    found = decontaminate.contaminated(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want)
+    assert sum(r.distance > decontaminate.RADIUS for r in found) > 1
+
+
 def test_licences(spark, docs, none):
     mit = licences.TEMPLATES["mit"]
     rows = TEXTS + [
