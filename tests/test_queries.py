@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, rows
+from gapweave.operators import similarity
+from workload import tables
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -61,3 +63,11 @@ def test_no_python_and_no_cross_join(spark, name):
 def test_scan_reads_only_used_columns(spark):
     plan = entry.queries()["pref_filter"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "text:string" not in plan and "p_retailprice" not in plan
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_approximate_search_finds_nine_tenths_of_the_exact(spark, folder):
+    folder = f"/root/testdata/{folder}"
+    exact = similarity.knn(tables.vectors(spark, folder), tables.skills(spark, folder))
+    found, exact = ({(r.skill, r._id) for r in df.collect()} for df in (entry.queries()["knn_approx"](spark, folder), exact))
+    assert len(found) == len(exact) and len(found & exact) >= 0.9 * len(exact)

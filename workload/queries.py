@@ -132,7 +132,7 @@ def knn_topk(spark, sf):
 @query
 def knn_approx(spark, sf):
     indexed, centres = similarity.build_index(t.vectors(spark, sf), lists=16)
-    return similarity.knn_approx(indexed, centres, t.skills(spark, sf), probes=4)
+    return similarity.knn_approx(indexed, centres, t.skills(spark, sf), probes=13)
 
 
 @query
