@@ -51,6 +51,16 @@ def test_quality(docs, none, labels):
     assert all(r.selected for r in quality.resample(docs, labels.limit(0)).collect())
 
 
+def test_quality_cut_does_not_hang_on_two_odd_rows(spark):
+    random = np.random.default_rng(7)
+    draw = lambda kind: " ".join(f"{kind}{random.integers(60)}" for _ in range(80))
+    rows = [(i, draw("good" if i < 800 else "zzq")) for i in range(1200)]
+    rows[795:800] = [(i, draw("zzq")) for i in range(795, 800)]  # labelled good by mistake
+    good = spark.range(800).withColumnRenamed("id", "doc_id")
+    kept = {r.doc_id for r in quality.resample(spark.createDataFrame(rows, SCHEMA), good).where("selected").collect()}
+    assert len(kept & set(range(795))) >= 0.95 * 795 and len(kept & set(range(800, 1200))) <= 0.05 * 400
+
+
 def test_token_counts(docs, none):
     from tokenizers import Tokenizer
 
