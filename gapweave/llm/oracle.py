@@ -47,3 +47,66 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha256(payload) AS payload_digest,
   CASE WHEN n >= 100 AND page_id > first_id THEN first_id END AS refers_to
 FROM seen
 """
+
+# Tree by tree, then over the sources. crc is the CRC-32 of the decimal doc_id: a step per bit (-1) after each byte.
+ORACLE["op11_manifest"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, *, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda s, b: CASE WHEN b >= 0 THEN xor(s, b) ELSE xor(s >> 1, 3988292384 * (s & 1)) END) AS crc
+  FROM documents
+),
+leaves AS (
+  SELECT r, doc_id, source, xor(crc, 4294967295) % 2 = 0 AS tampered,
+    list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text], lambda x: coalesce(strlen(x)::VARCHAR || ':' || x, '-')) AS f,
+    list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, replace(text, chr(10), '')], lambda x: coalesce(strlen(x)::VARCHAR || ':' || x, '-')) AS g
+  FROM docs
+),
+placed AS (
+  SELECT r, doc_id, source, sha256(array_to_string(f, '')) AS leaf,
+    CASE WHEN tampered THEN sha256(array_to_string(g, '')) ELSE sha256(array_to_string(f, '')) END AS presented,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, sha256(array_to_string(f, ''))) - 1 AS i,
+    count(*) OVER (PARTITION BY source) AS n
+  FROM leaves
+),
+nodes AS (
+  SELECT 0 AS level, source, i, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT level + 1, source, i // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY level, source, i // 3, (n + 2) // 3
+),
+subroots AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+),
+tops AS (
+  SELECT 0 AS level, i, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 3, (n + 2) // 3
+),
+inner_sides AS (
+  SELECT a.level, a.source, a.i, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before,
+    coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+  FROM nodes a JOIN nodes b ON a.level = b.level AND a.source IS NOT DISTINCT FROM b.source AND a.i // 3 = b.i // 3 AND a.n > 1 GROUP BY 1, 2, 3
+),
+outer_sides AS (
+  SELECT a.level, a.i, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before,
+    coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+  FROM tops a JOIN tops b ON a.level = b.level AND a.i // 3 = b.i // 3 AND a.n > 1 GROUP BY 1, 2
+),
+sides AS (
+  SELECT p.r, s.level, s.before, s.after FROM placed p JOIN inner_sides s ON p.source IS NOT DISTINCT FROM s.source AND p.i // (3 ** s.level)::BIGINT = s.i
+  UNION ALL
+  SELECT p.r, 100 + s.level, s.before, s.after FROM placed p JOIN subroots t ON p.source IS NOT DISTINCT FROM t.source
+  JOIN outer_sides s ON t.i // (3 ** s.level)::BIGINT = s.i
+),
+proofs AS (
+  SELECT p.r, p.presented, coalesce(string_agg(before || after, '' ORDER BY level), '') AS proof,
+    list(before || '|' || after ORDER BY level) FILTER (before IS NOT NULL) AS path
+  FROM placed p LEFT JOIN sides USING (r) GROUP BY 1, 2
+),
+folded AS (
+  SELECT r, proof, list_reduce(list_concat([presented], coalesce(path, [])),
+    lambda d, s: sha256(split_part(s, '|', 1) || d || split_part(s, '|', 2))) AS folded_root FROM proofs
+)
+SELECT p.doc_id, p.leaf, t.subroot, o.digest AS root, sha256(f.proof) AS proof_sha256, f.folded_root, f.folded_root = o.digest AS verified
+FROM placed p JOIN subroots t ON p.source IS NOT DISTINCT FROM t.source JOIN folded f USING (r) JOIN tops o ON o.n = 1
+"""

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gapweave.llm import archive, decontaminate, jaccard_join, licences, packing, quality, rules, sharding, token_counts, toxicity
+from gapweave.llm import archive, bytepair, decontaminate, jaccard_join, licences, manifest, packing, periodic, quality, rules, sharding, token_counts, toxicity
 
 QUERIES = {}
 
@@ -86,3 +86,52 @@ def op10_packing(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op11_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    columns = ["doc_id", "source", "lang", "n_chars"]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    shorter = manifest.leaf_digest(*columns, F.replace("text", F.lit("\n"), F.lit("")))
+    presented = F.when(tampered & F.contains("text", F.lit("\n")), shorter).alias("presented")
+    found = manifest.manifest(docs.select("doc_id", "source", manifest.leaf_digest(*columns, "text").alias("leaf"), presented))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query
+def op12_bytepair(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = bytepair.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, carry=["doc_id"])
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def planted(docs):
+    """docs with a periodic end in about one text of ten, chosen and cut by the checksum of doc_id."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    held = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g"))
+    n = F.size("w").cast("long")
+    cut = held.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    cut = cut.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    left = (n - F.col("a")).cast("int")
+    period = F.slice("w", F.col("a") + 1, F.col("p"))
+    again = F.slice(F.flatten(F.array_repeat(period, F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left)
+    whole = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), whole).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic(spark, sf_dir):
+    found = periodic.periodic_runs(planted(table(spark, sf_dir, "documents").select("doc_id", "text")), carry=["doc_id"])
+    # the largest length / period, compared exactly; of equals the first by start, then period
+    best = F.expr(
+        "aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>), "
+        "(b, r) -> CASE WHEN b IS NULL OR r.length * b.period > b.length * r.period THEN r ELSE b END)"
+    )
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(1000 * F.col("b.length") / F.col("b.period")).cast("long").alias("exponent_milli")
+    return told.select("doc_id", "n_runs", "b.start", "b.length", "b.period", milli, "runs_sha256", "collapsed_sha256")

@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -71,11 +73,26 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
-def appended(df: DataFrame, text: str, fn: Callable[[pa.Array], dict[str, pa.Array]], schema: str, carry: list[str] | None = None) -> DataFrame:
+def lots(column: pa.Array, size: int | None = None) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of at most LOT_ROWS rows and, unless a row alone has more, size bytes."""
+    ends = None if size is None else np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(column):
+        high = min(low + LOT_ROWS, len(column))
+        if ends is not None:
+            before = int(ends[low - 1]) if low else 0
+            high = max(low + 1, min(high, int(np.searchsorted(ends, before + size, "right"))))
+        yield low, high
+        low = high
+
+
+def appended(
+    df: DataFrame, text: str, fn: Callable[[pa.Array], dict[str, pa.Array]], schema: str, carry: list[str] | None = None, size: int | None = None
+) -> DataFrame:
     """df's columns named in carry (None: all) with those of schema, computed from a text column batch by batch.
 
     A column of df with the name of a new one is replaced. Columns that are not carried do
-    not travel back from the Python workers.
+    not travel back from the Python workers. size: bytes of text that are worked on together.
     """
     added = StructType.fromDDL(schema).names
     kept = [f for f in df.schema.fields if f.name not in added and (carry is None or f.name in carry)]
@@ -87,8 +104,8 @@ def appended(df: DataFrame, text: str, fn: Callable[[pa.Array], dict[str, pa.Arr
     names = [f.name for f in kept] + added
 
     def add(batch: pa.RecordBatch):
-        for low in range(0, batch.num_rows, LOT_ROWS):  # the arrays of a whole batch would be many times its size
-            lot = batch.slice(low, LOT_ROWS)
+        for low, high in lots(batch.column(0), size):  # the arrays of a whole batch would be many times its size
+            lot = batch.slice(low, high - low)
             found = fn(lot.column(0))
             yield pa.RecordBatch.from_arrays([lot.column(i) for i in places] + [found[name] for name in added], names=names)
 
