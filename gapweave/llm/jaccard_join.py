@@ -31,8 +31,13 @@ CODES = ["own", "following"]
 TURNS = 8
 #: Members of one block that are compared at once.
 TILE = 1_024
-#: Rows of tiles that one task compares.
+#: Rows of tiles that one task compares, and bytes of their long sketches.
 TASK_ROWS = 1 << 14
+TASK_BYTES = 1 << 25
+#: Sets of bands above so many shingles also compare a long parity sketch: so many bits a shingle, and at most so many.
+LONG_SET = 512
+LONG_BITS = 8
+MOST_BITS = 1 << 16
 #: Hash slots of documents that are broadcast to leave others out of a shuffle.
 SLOTS = 1 << 21
 
@@ -157,7 +162,9 @@ def _block_rows(bands: Bands, buckets: int, size: int):
         again = ~first
         if again.any():
             known = _name(sorted_key[again] % U64(buckets), sorted_key[again] >> U64(32))
-            yield _batch(np.array([-1 - int(member[0]) % 64]), [known], [sorted_member[again]], [center[again]])
+            # a group of their own: as large as a segment, whatever the table's size
+            own = int((mix(key ^ member.view(U64)).sum(dtype=U64)) >> U64(2))
+            yield _batch(np.array([-1 - own]), [known], [sorted_member[again]], [center[again]])
         key, member = sorted_key[first], sorted_member[first]
         bucket = (key % U64(buckets)).astype(np.int64)
         order = np.lexsort((member, bucket))  # members in order pack well
@@ -294,8 +301,10 @@ def _open(matches: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
     left = store(spread_join(met, of("member", "x"), "member", "left"))
     both = spread_join(left, of("center", "y"), "center", "left")
     apart = store(both.where(F.coalesce("x", "member") != F.coalesce("y", "center")).select("member", "center"))
-    open_keys = matches.join(apart, ["member", "center"]).select("key").distinct()
-    still = store(matches.join(open_keys, "key"))
+    if not apart.limit(1).count():
+        return apart.select(F.col("member").alias("key"), F.col("member").alias("rep"), F.col("member").alias("class"))
+    open_keys = store(matches.join(apart, ["member", "center"]).select("key").distinct())
+    still = store(spread_join(matches, open_keys, "key"))
     members = still.select("key", F.col("member").alias("rep")).union(still.select("key", F.col("center").alias("rep"))).distinct()
     classed = spread_join(store(members), of("rep", "class"), "rep", "left")
     return store(classed.select("key", "rep", F.coalesce("class", "rep").alias("class")))
@@ -304,29 +313,78 @@ def _open(matches: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
 def _stars(some: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of each open key's members with one of them, chosen by a hash, where their classes differ."""
     chosen = F.min_by(F.struct(F.col("rep").alias("center"), F.col("class").alias("at")), F.xxhash64("rep", F.lit(turn)))
-    centers = some.groupBy("key").agg(chosen.alias("c")).select("key", "c.*")
-    return some.join(centers, "key").where("class != at").select(*_ordered("rep", "center")).distinct()
+    centers = store(some.groupBy("key").agg(chosen.alias("c")).select("key", "c.*"))
+    return spread_join(some, centers, "key").where("class != at").select(*_ordered("rep", "center")).distinct()
 
 
-def _further(some: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of open members of one key that lie in different classes and that their short sketches allow.
+def _long_bits(band: int, bands: Bands) -> int:
+    """Bits of the long parity sketch in this band; 0 where the short one tells enough."""
+    high = int(bands.edges[band + 1]) - 1
+    return 0 if high <= LONG_SET else min(-(-LONG_BITS * high // 64) * 64, MOST_BITS)
 
-    The members are compared tile by tile, so a popular key is spread over many tasks.
+
+def long_sketch(shingles: np.ndarray, band: int, bands: Bands) -> bytes:
+    """A parity sketch with bits in proportion to the sets of the band, so that distances stay near the differences."""
+    bits = _long_bits(band, bands)
+    if not bits:
+        return b""
+    place = ((shingles >> U64(32)) * U64(bits) >> U64(32)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _long_sketches(docs: DataFrame, known: DataFrame, some: DataFrame, size: int, percent: int) -> DataFrame:
+    """rep, long_own, long_following: the long sketches of the open members, in a set's own band and in the next one."""
+    least = LONG_SET * percent // 100 - 1  # smaller sets lie two bands below the first with long sketches at least
+    wanted = some.select(F.col("rep").alias("doc_id")).distinct()
+    large = known.where(F.col("n_shingles") >= least).select(F.col("rep").alias("doc_id"))
+    ids = store(wanted.join(large, "doc_id"))
+    bands = Bands(percent, 1)
+
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, following = [], []
+        for part in words(batch.column(1), SPACES, FOLD):
+            for shingles in shingle_sets(part, size):
+                band = bands.reach(len(shingles)).of(len(shingles)) if len(shingles) else 0
+                own.append(long_sketch(shingles, band, bands) if len(shingles) else b"")
+                following.append(long_sketch(shingles, band + 1, bands) if len(shingles) else b"")
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(own, pa.binary()), pa.array(following, pa.binary())], names=["rep", "long_own", "long_following"]
+        )
+
+    rows = _in_slots(_identified(docs), ids, "left_semi").join(ids, "doc_id", "left_semi")
+    found = map_batches(rows.select("doc_id", "text"), sketch, "rep long, long_own binary, long_following binary")
+    # a document of several texts: its set is that of the text that known was made of only if there is one
+    one = found.groupBy("rep").agg(F.count(F.lit(1)).alias("texts"), F.first("long_own").alias("long_own"), F.first("long_following").alias("long_following"))
+    return store(one.where("texts = 1").drop("texts"))
+
+
+def _further(docs: DataFrame, some: DataFrame, known: DataFrame, percent: int, size: int, every: bool) -> DataFrame:
+    """Pairs of open members of one key that lie in different classes and that their sketches allow.
+
+    The members are compared tile by tile, so a popular key is spread over many tasks. Of two
+    classes that meet in a task the most alike members are paired, or all (every).
     """
-    sized = some.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    sized = store(some.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")))
     tiled = (
-        some.join(sized, "key")
+        spread_join(some, sized, "key")
         .withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select("key", "rep", "class", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
     )
     tiled = store(tiled)
-    full = spread_join(tiled, known.select("rep", "n_shingles", *SKETCH), "rep")
-    parts = tiled.count() // TASK_ROWS + 1
+    longer = _long_sketches(docs, known, some, size, percent)
+    facts = store(known.select("rep", "n_shingles", *SKETCH).join(some.select("rep").distinct(), "rep", "left_semi").join(longer, "rep", "left"))
+    full = spread_join(tiled, facts, "rep")
+    held = tiled.join(facts.select("rep", (F.octet_length("long_own") + F.octet_length("long_following")).alias("size")), "rep")
+    weight = held.agg(F.count(F.lit(1)), F.sum("size")).first()
+    parts = max(weight[0] // TASK_ROWS, (weight[1] or 0) // TASK_BYTES) + 1
+    bands = Bands(percent, 1)
 
     def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         rep, group, tile, n, x, y = (table[c].to_numpy() for c in ("rep", "class", "tile", "n_shingles", "x", "y"))
         bits = np.column_stack([table[s].to_numpy() for s in SKETCH]).view(U64)
+        far = _LongSketches(table, n, bands)
         order = np.lexsort((y, x, table["key"].to_numpy()))
         key = table["key"].to_numpy()[order]
         new = np.ones(len(order) + 1, bool)
@@ -342,17 +400,66 @@ def _further(some: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             open_ = (group[i] != group[j]) & ((x[i] == y[i]) | (tile[i] != tile[j]))
             open_ &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
             i, j = i[open_], j[open_]
-            distance = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-            near = distance * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
-            found.append(np.column_stack([rep[i[near]], rep[j[near]]]))
+            limit = (n[i] + n[j]) * (100 - percent)
+            distance = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) * (100 + percent)
+            near = distance <= limit
+            i, j, limit = i[near], j[near], limit[near]
+            distance = np.maximum(distance[near], far.distances(i, j) * (100 + percent))
+            near = distance <= limit
+            i, j = i[near], j[near]
+            found.append(np.column_stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]), np.minimum(group[i], group[j]), np.maximum(group[i], group[j]), 1_000_000 * distance[near] // np.maximum(limit[near], 1)]))
             step += 1
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
+        pairs = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
+        if every:
+            pairs = np.unique(pairs[:, :2], axis=0)
+        else:
+            pairs = pairs[np.lexsort(pairs.T[[1, 0, 4, 3, 2]])]
+            first = np.ones(len(pairs), bool)
+            first[1:] = (pairs[1:, 2] != pairs[:-1, 2]) | (pairs[1:, 3] != pairs[:-1, 3])
+            pairs = pairs[first]
         return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
 
     part = F.pmod(F.xxhash64("key", "x", "y"), F.lit(parts)).alias("part")
     return full.withColumn("part", part).groupBy("part").applyInArrow(compare, "a long, b long").distinct()
 
 
+class _LongSketches:
+    """Distances of the long sketches of a table's rows, where both have one in the higher of their bands."""
+
+    def __init__(self, table: pa.Table, n: np.ndarray, bands: Bands):
+        self.bands = bands.reach(int(n.max(initial=1)))
+        self.band = np.searchsorted(self.bands.edges, n, "right") - 1
+        self.own, self.following = table["long_own"], table["long_following"]
+        self.matrices: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _matrix(self, band: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row -> its line or -1, lines) of the sketches in a band."""
+        if band not in self.matrices:
+            line = np.full(len(self.band), -1)
+            parts, width = [], _long_bits(band, self.bands) // 8
+            for r in np.flatnonzero((self.band == band) | (self.band == band - 1)).tolist():
+                data = (self.own if self.band[r] == band else self.following)[r].as_py()
+                if data is not None and len(data) == width:
+                    line[r] = len(parts)
+                    parts.append(data)
+            self.matrices[band] = line, np.frombuffer(b"".join(parts), np.uint64).reshape(len(parts), -1)
+        return self.matrices[band]
+
+    def distances(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """0 where a pair has no long sketches."""
+        out = np.zeros(len(i), np.int64)
+        higher = np.maximum(self.band[i], self.band[j])
+        for band in np.unique(higher).tolist():
+            if not _long_bits(band, self.bands):
+                continue
+            line, lines = self._matrix(band)
+            at = np.flatnonzero((higher == band) & (line[i] >= 0) & (line[j] >= 0))
+            for low in range(0, len(at), 1024):
+                some = at[low : low + 1024]
+                out[some] = np.bitwise_count(lines[line[i[some]]] ^ lines[line[j[some]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
 
@@ -367,8 +474,10 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     joined (see block_keys); every member of a shared block is paired with the smallest one,
     pairs that the sketches allow are verified on the whole sets, and classes are formed.
     Members of blocks that still lie in different classes are paired with other centers, as
-    long as that joins many; what is then left open is compared pair by pair, so no link is
-    missed. Blocks inside one class, such as those of thousands of near copies, need no more.
+    long as that joins many. What is then left open is compared pair by pair in the workers, by
+    sketches whose bits follow the size of the sets: first the most alike members of any two
+    classes are verified, then all pairs of classes that stayed apart, so no link is missed.
+    Blocks inside one class, such as those of thousands of near copies, need no more.
     """
     rows = store(sketches(docs, size, percent))
     real = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -395,22 +504,23 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     pairs = store(met.select(*_ordered("member", "center")).where("a != b").distinct())
     edges = store(_verified(docs, store(_allowed(pairs, known, percent)), percent, size).union(joint))
     labels = components(edges)
-    turn, going = 0, True
-    while going:  # other centers, while they still join many classes; then all that is left
-        turn += 1
-        some = _open(matches, met, labels)
-        going = turn <= TURNS
-        tried = (_stars(some, turn) if going else _further(some, known, percent)).join(pairs, ["a", "b"], "left_anti")
-        tried = store(tried)
+    # other centers, while they still join many classes; then the most alike of any two classes, then all that is left
+    turn = 1
+    some = _open(matches, met, labels)
+    while turn <= TURNS + 2 and some.limit(1).count():
+        tried = _stars(some, turn) if turn <= TURNS else _further(docs, some, known, percent, size, turn > TURNS + 1)
+        tried = store(tried.join(pairs, ["a", "b"], "left_anti"))
         links = store(_verified(docs, store(_allowed(tried, known, percent)), percent, size))
         found = links.count()
+        few = turn <= TURNS and found * 50 < some.select("rep").distinct().count()
+        if turn <= TURNS + 1:
+            pairs = store(pairs.union(tried))
         if found:
             edges = store(edges.union(links))
             labels = components(edges)
-        if going:
-            pairs = store(pairs.union(tried))
-            if found * 50 < some.select("rep").distinct().count():
-                turn = TURNS
+            if turn <= TURNS + 1:
+                some = _open(matches, met, labels)
+        turn = TURNS + 1 if few else turn + 1
 
     # a document's class is that of its set's smallest document, or its own
     nodes = rows.select("doc_id").where(F.col("doc_id").isNotNull()).join(owner, "doc_id", "left")
@@ -453,13 +563,25 @@ def _allowed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
 
 def first_of_class(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs without near duplicates: of each class the row with the smallest doc_id.
+    """The rows of docs without near duplicates: of each class of rows that with the smallest doc_id.
 
-    Of several rows with that doc_id one stays. Rows with a null doc_id or an empty text stay
-    (but repeated rows without text and with one doc_id leave one).
+    The rule holds row by row: a row goes only if its own text is equal to, or linked with (also through
+    others), that of a row that stays, whatever other rows have its doc_id. Of rows in one class with the
+    same doc_id one stays. Rows with a null doc_id and rows without words all stay.
     """
-    classes = jaccard_classes(docs.select("doc_id", "text"), size, percent)
-    extra = store(classes.where("doc_id != component_id").select(F.col("doc_id").alias("_extra")).distinct())
     named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(extra, F.col("doc_id") == F.col("_extra"), "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    if not named.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        classes = jaccard_classes(docs.select("doc_id", "text"), size, percent)
+        extra = store(classes.where("doc_id != component_id").select(F.col("doc_id").alias("_extra")))
+        return docs.join(extra, docs["doc_id"] == extra["_extra"], "left_anti")
+    # ids repeat: the rows get numbers, so that each is a document of its own
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    rows = store(docs.withColumn(number, F.monotonically_increasing_id()))
+    known = rows.where(F.col("doc_id").isNotNull())
+    classes = store(jaccard_classes(known.select(F.col(number).alias("doc_id"), "text"), size, percent))
+    own = classes.join(known.select(F.col("doc_id").alias("id"), F.col(number).alias("doc_id")), "doc_id")
+    first = store(own.groupBy("component_id").agg(F.min(F.struct("id", "doc_id")).alias("first")).select(F.col("first.doc_id").alias("_kept")))
+    kept = known.join(first, known[number] == first["_kept"], "left_semi")
+    return kept.unionByName(rows.where(F.col("doc_id").isNull())).drop(number)
