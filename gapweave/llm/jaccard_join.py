@@ -34,9 +34,8 @@ TILE = 1_024
 #: Rows of tiles that one task compares, and bytes of their long sketches.
 TASK_ROWS = 1 << 14
 TASK_BYTES = 1 << 25
-#: Sets of bands above so many shingles also compare a long parity sketch: so many bits a shingle, and at most so many.
+#: Sets above so many shingles also compare a long parity sketch: a bit a shingle at least, and at most so many.
 LONG_SET = 512
-LONG_BITS = 8
 MOST_BITS = 1 << 16
 #: Hash slots of documents that are broadcast to leave others out of a shuffle.
 SLOTS = 1 << 21
@@ -295,7 +294,7 @@ def _open(matches: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
     """key, rep, class: the members of keys whose members lie in several classes.
 
     Members of a key hang together through their centers, so a key whose matches all lie in
-    one class is done.
+    one class is done. Of keys with the same members one is enough.
     """
     of = lambda name, label: labels.select(F.col("node").alias(name), F.col("component").alias(label))
     left = store(spread_join(met, of("member", "x"), "member", "left"))
@@ -307,7 +306,10 @@ def _open(matches: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
     still = store(spread_join(matches, open_keys, "key"))
     members = still.select("key", F.col("member").alias("rep")).union(still.select("key", F.col("center").alias("rep"))).distinct()
     classed = spread_join(store(members), of("rep", "class"), "rep", "left")
-    return store(classed.select("key", "rep", F.coalesce("class", "rep").alias("class")))
+    classed = store(classed.select("key", "rep", F.coalesce("class", "rep").alias("class")))
+    told = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit("again"))).alias("y")]
+    kept = store(classed.groupBy("key").agg(*told).groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"))
+    return store(spread_join(classed, kept, "key"))
 
 
 def _stars(some: DataFrame, turn: int) -> DataFrame:
@@ -317,44 +319,30 @@ def _stars(some: DataFrame, turn: int) -> DataFrame:
     return spread_join(some, centers, "key").where("class != at").select(*_ordered("rep", "center")).distinct()
 
 
-def _long_bits(band: int, bands: Bands) -> int:
-    """Bits of the long parity sketch in this band; 0 where the short one tells enough."""
-    high = int(bands.edges[band + 1]) - 1
-    return 0 if high <= LONG_SET else min(-(-LONG_BITS * high // 64) * 64, MOST_BITS)
+def long_sketch(shingles: np.ndarray) -> bytes:
+    """A parity sketch with bits in proportion to the set (a power of two), so that distances stay near the differences.
 
-
-def long_sketch(shingles: np.ndarray, band: int, bands: Bands) -> bytes:
-    """A parity sketch with bits in proportion to the sets of the band, so that distances stay near the differences."""
-    bits = _long_bits(band, bands)
-    if not bits:
-        return b""
-    place = ((shingles >> U64(32)) * U64(bits) >> U64(32)).astype(np.int64)
+    Its two halves, XORed, are the sketch of half the size.
+    """
+    bits = min(1 << max(6, (len(shingles) - 1).bit_length()), MOST_BITS)
+    place = (shingles & U64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def _long_sketches(docs: DataFrame, known: DataFrame, some: DataFrame, size: int, percent: int) -> DataFrame:
-    """rep, long_own, long_following: the long sketches of the open members, in a set's own band and in the next one."""
-    least = LONG_SET * percent // 100 - 1  # smaller sets lie two bands below the first with long sketches at least
+    """rep, sketch: the long sketches of the open members that may be compared with a set above LONG_SET."""
+    least = LONG_SET * percent // 100
     wanted = some.select(F.col("rep").alias("doc_id")).distinct()
-    large = known.where(F.col("n_shingles") >= least).select(F.col("rep").alias("doc_id"))
-    ids = store(wanted.join(large, "doc_id"))
-    bands = Bands(percent, 1)
+    ids = store(wanted.join(known.where(F.col("n_shingles") >= least).select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, following = [], []
-        for part in words(batch.column(1), SPACES, FOLD):
-            for shingles in shingle_sets(part, size):
-                band = bands.reach(len(shingles)).of(len(shingles)) if len(shingles) else 0
-                own.append(long_sketch(shingles, band, bands) if len(shingles) else b"")
-                following.append(long_sketch(shingles, band + 1, bands) if len(shingles) else b"")
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(own, pa.binary()), pa.array(following, pa.binary())], names=["rep", "long_own", "long_following"]
-        )
+        found = [long_sketch(s) if len(s) else b"" for part in words(batch.column(1), SPACES, FOLD) for s in shingle_sets(part, size)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "sketch"])
 
     rows = _in_slots(_identified(docs), ids, "left_semi").join(ids, "doc_id", "left_semi")
-    found = map_batches(rows.select("doc_id", "text"), sketch, "rep long, long_own binary, long_following binary")
-    # a document of several texts: its set is that of the text that known was made of only if there is one
-    one = found.groupBy("rep").agg(F.count(F.lit(1)).alias("texts"), F.first("long_own").alias("long_own"), F.first("long_following").alias("long_following"))
+    found = map_batches(rows.select("doc_id", "text"), sketch, "rep long, sketch binary")
+    # several texts of one document may differ: it then goes without
+    one = found.groupBy("rep").agg(F.count(F.lit(1)).alias("texts"), F.first("sketch").alias("sketch"))
     return store(one.where("texts = 1").drop("texts"))
 
 
@@ -375,16 +363,15 @@ def _further(docs: DataFrame, some: DataFrame, known: DataFrame, percent: int, s
     longer = _long_sketches(docs, known, some, size, percent)
     facts = store(known.select("rep", "n_shingles", *SKETCH).join(some.select("rep").distinct(), "rep", "left_semi").join(longer, "rep", "left"))
     full = spread_join(tiled, facts, "rep")
-    held = tiled.join(facts.select("rep", (F.octet_length("long_own") + F.octet_length("long_following")).alias("size")), "rep")
+    held = spread_join(tiled, facts.select("rep", F.octet_length("sketch").alias("size")), "rep")
     weight = held.agg(F.count(F.lit(1)), F.sum("size")).first()
     parts = max(weight[0] // TASK_ROWS, (weight[1] or 0) // TASK_BYTES) + 1
-    bands = Bands(percent, 1)
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         rep, group, tile, n, x, y = (table[c].to_numpy() for c in ("rep", "class", "tile", "n_shingles", "x", "y"))
         bits = np.column_stack([table[s].to_numpy() for s in SKETCH]).view(U64)
-        far = _LongSketches(table, n, bands)
+        far = _LongSketches(table.column("sketch"))
         order = np.lexsort((y, x, table["key"].to_numpy()))
         key = table["key"].to_numpy()[order]
         new = np.ones(len(order) + 1, bool)
@@ -424,36 +411,32 @@ def _further(docs: DataFrame, some: DataFrame, known: DataFrame, percent: int, s
 
 
 class _LongSketches:
-    """Distances of the long sketches of a table's rows, where both have one in the higher of their bands."""
-
-    def __init__(self, table: pa.Table, n: np.ndarray, bands: Bands):
-        self.bands = bands.reach(int(n.max(initial=1)))
-        self.band = np.searchsorted(self.bands.edges, n, "right") - 1
-        self.own, self.following = table["long_own"], table["long_following"]
-        self.matrices: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _matrix(self, band: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row -> its line or -1, lines) of the sketches in a band."""
-        if band not in self.matrices:
-            line = np.full(len(self.band), -1)
-            parts, width = [], _long_bits(band, self.bands) // 8
-            for r in np.flatnonzero((self.band == band) | (self.band == band - 1)).tolist():
-                data = (self.own if self.band[r] == band else self.following)[r].as_py()
-                if data is not None and len(data) == width:
-                    line[r] = len(parts)
-                    parts.append(data)
-            self.matrices[band] = line, np.frombuffer(b"".join(parts), np.uint64).reshape(len(parts), -1)
-        return self.matrices[band]
+    """Distances of the long sketches of a table's rows."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        self.data = column.to_pylist()
+        self.width = np.array([len(x) if x else 0 for x in self.data], np.int64)
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _lines(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row -> its line or -1, lines) of the sketches of this width and, folded, of twice the width."""
+        if width not in self.held:
+            line, parts = np.full(len(self.data), -1), []
+            for r in np.flatnonzero((self.width == width) | (self.width == 2 * width)).tolist():
+                bits = np.frombuffer(self.data[r], np.uint64)
+                line[r] = len(parts)
+                parts.append(bits if 8 * len(bits) == width else bits[: width // 8] ^ bits[width // 8 :])
+            self.held[width] = line, np.array(parts)
+        return self.held[width]
 
     def distances(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """0 where a pair has no long sketches."""
+        """At most the numbers of shingles that differ; 0 where a row has no sketch."""
         out = np.zeros(len(i), np.int64)
-        higher = np.maximum(self.band[i], self.band[j])
-        for band in np.unique(higher).tolist():
-            if not _long_bits(band, self.bands):
-                continue
-            line, lines = self._matrix(band)
-            at = np.flatnonzero((higher == band) & (line[i] >= 0) & (line[j] >= 0))
+        width = np.minimum(self.width[i], self.width[j])
+        near = (width > 0) & (np.maximum(self.width[i], self.width[j]) <= 2 * width)
+        for each in np.unique(width[near]).tolist():
+            line, lines = self._lines(each)
+            at = np.flatnonzero(near & (width == each))
             for low in range(0, len(at), 1024):
                 some = at[low : low + 1024]
                 out[some] = np.bitwise_count(lines[line[i[some]]] ^ lines[line[j[some]]]).sum(axis=1, dtype=np.int64)

@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gapweave.llm import jaccard_join
@@ -39,15 +40,13 @@ def test_long_texts_and_a_common_line(spark, monkeypatch, turns):
 
 def test_long_sketches_bound_the_differences_and_tell_unrelated_sets_apart():
     random = np.random.default_rng(6)
-    bands = jaccard_join.Bands(80, 40_000)
-    for size in (600, 1_160, 3_000, 20_000):
+    for size in (600, 1_030, 3_000, 20_000):
         p, q, base = (np.unique(random.integers(0, 2**63, size, np.int64).view(U64)) for _ in range(3))
-        near = np.unique(np.concatenate([base[size // 20 :], p[: size // 20]]))
-        band = max(bands.of(len(base)), bands.of(len(near)))
-        sketch = [np.frombuffer(jaccard_join.long_sketch(s, band, bands), np.uint8) for s in (base, near, p, q)]
-        distance = lambda x, y: int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
-        assert distance(sketch[0], sketch[1]) <= len(np.setxor1d(base, near))
-        assert distance(sketch[2], sketch[3]) * 180 > 2 * size * 20
+        near = np.unique(np.concatenate([base[size // 20 :], p[: size // 10]]))  # a power of two may lie between the sizes
+        far = jaccard_join._LongSketches(pa.chunked_array([[jaccard_join.long_sketch(s) for s in (base, near, p, q)] + [None]]))
+        found = far.distances(np.array([0, 2, 0]), np.array([1, 3, 4]))
+        assert 0 < found[0] <= len(np.setxor1d(base, near)) and found[2] == 0
+        assert found[1] * 180 > (len(p) + len(q)) * 20
 
 
 def test_rows_that_share_an_id_are_told_apart(spark):
