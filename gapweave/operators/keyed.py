@@ -8,7 +8,8 @@ broadcast hint: Spark broadcasts a change set when its measured size allows it.
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from gapweave.functions.text import epoch_text, moment_text
-from gapweave.operators.ranking import first_per_group, last_per_group
+from gapweave.operators.lineage import checkpointed
+from gapweave.operators.ranking import first_per_group
 
 KEY = "_id"
 # Letters of a generated id, and its usual length.
@@ -84,11 +85,10 @@ def _merged(changes: DataFrame, key: str, position: str | None, carried: str | N
         return F.col(name).isNotNull() if carried is None else F.array_contains(carried, name)
 
     value = {c: F.struct(F.col(c).alias("v")) for c in fields}
-    if position is None:
-        merged = changes.select(key, *[F.when(given(c), value[c]).alias(f"_new_{c}") for c in fields])
-    else:
-        last = [F.max_by(value[c], F.when(given(c), F.col(position))).alias(f"_new_{c}") for c in fields]
-        merged = changes.groupBy(key).agg(F.lit(True).alias("_one"), *last).drop("_one")
+    # without an order, that of a hash of the whole change: some change sets the field, the same on every run
+    order = F.col(position) if position is not None else F.xxhash64(*[F.col(c) for c in changes.columns])
+    last = [F.max_by(value[c], F.when(given(c), order)).alias(f"_new_{c}") for c in fields]
+    merged = changes.groupBy(key).agg(F.lit(True).alias("_one"), *last).drop("_one")
     return merged.withColumn("_hit", F.lit(True)), fields
 
 
@@ -103,7 +103,8 @@ def update_rows(
     """Set the fields that ``changes`` give on the rows that have their key.
 
     Several changes of a key (in the order of ``position``) are merged field by field:
-    the last one that gives a field sets it. A field is given when it is not null, or,
+    the last one that gives a field sets it. Without ``position`` the order is that of a
+    hash of the change, so a repeated key never multiplies rows. A field is given when it is not null, or,
     if ``carried`` names an array column, when that holds the field's name, so that a
     null can be set. Adds ``changed``: the row had a change set that altered at least
     one field. With ``run_at``, rows that were matched also get ``last_modified``.
@@ -154,6 +155,29 @@ def upsert_rows(old: DataFrame, new: DataFrame, position: str | None = None, key
     return joined.select(*out)
 
 
+def insert_run(old: DataFrame, new: DataFrame, position: str, run_at: Column, path: str, run_id: str, key: str = KEY) -> int:
+    """Put the table with the absent rows in the place of ``path``; return the number of rows inserted."""
+    rows = rows_to_insert(old, new, position, run_at, key)
+    seen = Observation("inserted")
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
+    swap_in(old.unionByName(counted, allowMissingColumns=True), path, run_id)
+    return seen.get["rows"]
+
+
+def insert_generated_run(old: DataFrame, new: DataFrame, stable_key: str, run_id: str, path: str, length: int = ID_LENGTH) -> int:
+    """Append rows with generated keys to the table and put it in the place of ``path``; return their number.
+
+    A key that the table or another new row holds is an error, and nothing is replaced: ask for a longer id.
+    """
+    rows = checkpointed(insert_generated(new, stable_key, run_id, length))
+    twice = rows.select(KEY).unionByName(old.select(KEY).join(rows.select(KEY), KEY, "left_semi"))
+    first = id_collisions(twice).orderBy(KEY).first()
+    if first is not None:
+        raise ValueError(f"generated id {first[KEY]!r} is held by {first['count']} rows")
+    swap_in(old.unionByName(rows, allowMissingColumns=True), path, run_id)
+    return rows.count()
+
+
 def delete_rows(old: DataFrame, ids: DataFrame, key: str = KEY) -> DataFrame:
     """The table without the given keys."""
     return old.join(ids.select(key).distinct(), key, "left_anti")

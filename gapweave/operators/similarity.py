@@ -1,5 +1,7 @@
 """Cosine similarity between skills and catalogue vectors."""
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
@@ -16,6 +18,8 @@ HITS = "skill string, _id bigint, score double"
 DEFAULT_K = 50
 DIGITS = 6
 TILE = 4096
+#: A catalogue whose plan is estimated at so many bytes is searched with score floors.
+FLOOR_BYTES = 1 << 32
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -35,7 +39,7 @@ def _scores(matrix, others, mode, digits):
     return np.round((1.0 + cos) / 2.0 if mode == "atlas_cosine" else cos, digits)
 
 
-def _check(mode):
+def check_mode(mode):
     if mode not in ("atlas_cosine", "cosine"):
         raise ValueError(f"unknown score mode {mode!r}")
 
@@ -46,27 +50,93 @@ def knn(
     k: int = DEFAULT_K,
     score_mode: str = "atlas_cosine",
     digits: int = DIGITS,
+    floors: bool | None = None,
 ) -> DataFrame:
     """Exact ``k`` nearest catalogue rows of every skill.
 
     ``vectors`` is (_id, vector), ``skills`` is (skill, vector) with one row per
     distinct skill: a skill asked for by many requests is searched once. Each
     task keeps its own best k per skill, so a task sends at most k rows a skill.
+    With ``floors`` a first pass over the first batch of every task finds a score per skill
+    that k rows reach, and tasks send only rows that reach it as well: then the rows sent
+    hardly grow with the number of tasks. None: where the plan's size estimate is FLOOR_BYTES
+    or more. The answer is the same.
     Returns (skill, _id, score, rank); equal scores go by _id.
     """
-    _check(score_mode)
-
-    local = against_all(
-        vectors.select("_id", "vector").where(F.col("vector").isNotNull()),
-        skills.select("skill", "vector").where(F.col("vector").isNotNull()),
-        _keep_best(k, score_mode, digits),
-        HITS,
-    )
+    local = local_hits(vectors, skills, k, score_mode, digits, floors)
     return top_k_per_group(local, ["skill"], [F.desc("score"), F.asc("_id")], k)
 
 
+def local_hits(vectors, skills, k=DEFAULT_K, score_mode="atlas_cosine", digits=DIGITS, floors=None) -> DataFrame:
+    """(skill, _id, score): what the tasks of ``knn`` send, the k nearest rows of every skill among them."""
+    check_mode(score_mode)
+    courses = vectors.select("_id", "vector").where(F.col("vector").isNotNull())
+    wanted = skills.select("skill", "vector").where(F.col("vector").isNotNull())
+    if floors is None:
+        floors = _estimated_bytes(courses) >= FLOOR_BYTES
+    if floors:
+        wanted = checkpointed(wanted)
+        first = against_all(courses.mapInArrow(_first_batch, courses.schema), wanted, _keep_best(k, score_mode, digits), HITS)
+        reached = top_k_per_group(first, ["skill"], [F.desc("score"), F.asc("_id")], k).where(F.col("rank") == k)
+        # one row per skill and side: as many as there are skills
+        wanted = wanted.join(reached.select("skill", F.col("score").alias("floor")), "skill", "left").select("skill", "vector", "floor")
+    return against_all(courses, wanted, _keep_best(k, score_mode, digits), HITS)
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a plan's size; nothing runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _first_batch(batches):
+    """The first batch of a task; the rest of its rows is not read."""
+    yield from itertools.islice(batches, 1)
+
+
+class Best:
+    """The k best (score, id) of each name among all rows added; equal scores go by id."""
+
+    def __init__(self, names: np.ndarray, k: int, floors: np.ndarray | None = None):
+        self.names, self.k = names, k
+        self.scores = [np.zeros(0)] * len(names)
+        self.ids = [np.zeros(0, np.int64)] * len(names)
+        self.notes = [np.zeros(0, np.int32)] * len(names)
+        self.least = np.full(len(names), -np.inf) if floors is None else floors.copy()
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None = None, notes: np.ndarray | None = None) -> None:
+        """scores, allowed: rows x names. notes: a whole number that goes with each row."""
+        better = scores >= self.least
+        if allowed is not None:
+            better &= allowed
+        notes = np.zeros(len(ids), np.int32) if notes is None else notes
+        for j in np.nonzero(better.any(axis=0))[0]:
+            s = np.concatenate([self.scores[j], scores[better[:, j], j]])
+            i = np.concatenate([self.ids[j], ids[better[:, j]]])
+            n = np.concatenate([self.notes[j], notes[better[:, j]]])
+            if len(s) > self.k:
+                # Keep every row that ties with the k-th score, then cut by id.
+                near = s >= np.partition(s, len(s) - self.k)[len(s) - self.k]
+                s, i, n = s[near], i[near], n[near]
+            order = np.lexsort((i, -s))[: self.k]
+            self.scores[j], self.ids[j], self.notes[j] = s[order], i[order], n[order]
+            if len(order) == self.k:
+                self.least[j] = max(self.least[j], self.scores[j][-1])
+
+    def rows(self, note: str | None = None):
+        """One batch: skill, _id, score, and the notes under that name."""
+        sizes = [len(s) for s in self.scores]
+        columns = {
+            "skill": pa.array(np.repeat(self.names, sizes), pa.string()),
+            "_id": pa.array(np.concatenate(self.ids), pa.int64()),
+            "score": pa.array(np.concatenate(self.scores), pa.float64()),
+        }
+        if note is not None:
+            columns[note] = pa.array(np.concatenate(self.notes), pa.int32())
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def _keep_best(k, score_mode, digits, lists=0):
-    """Task work of a search: the best k rows of the task for each skill.
+    """Task work of a search: the best k rows of the task for each skill, none below the skill's floor if it has one.
 
     With ``lists`` cells, a row counts only for skills that probe its cell.
     """
@@ -81,35 +151,15 @@ def _keep_best(k, score_mode, digits, lists=0):
             cells = np.zeros((len(names), lists), dtype=bool)
             for j, probes in enumerate(right.column("probes").to_pylist()):
                 cells[j, probes] = True
-        best_ids = [np.zeros(0, np.int64)] * len(names)
-        best_scores = [np.zeros(0)] * len(names)
-        worst_kept = np.full(len(names), -np.inf)
+        floors = None
+        if "floor" in right.column_names:
+            floors = np.array([-np.inf if x is None else x for x in right.column("floor").to_pylist()])
+        best = Best(names, k, floors)
         for batch in steps(batches, len(names)):
             ids = batch.column("_id").to_numpy(zero_copy_only=False)
             scores = _scores(to_matrix(batch.column("vector")), others, score_mode, digits)
-            better = scores >= worst_kept
-            if cells is not None:
-                better &= cells[:, batch.column("list").to_numpy()].T
-            for j in np.nonzero(better.any(axis=0))[0]:
-                s = np.concatenate([best_scores[j], scores[better[:, j], j]])
-                i = np.concatenate([best_ids[j], ids[better[:, j]]])
-                if len(s) > k:
-                    # Keep every row that ties with the k-th score, then cut by id.
-                    near = s >= np.partition(s, len(s) - k)[len(s) - k]
-                    s, i = s[near], i[near]
-                order = np.lexsort((i, -s))[:k]
-                best_scores[j], best_ids[j] = s[order], i[order]
-                if len(order) == k:
-                    worst_kept[j] = best_scores[j][-1]
-        sizes = [len(s) for s in best_scores]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(names, sizes), pa.string()),
-                pa.array(np.concatenate(best_ids), pa.int64()),
-                pa.array(np.concatenate(best_scores), pa.float64()),
-            ],
-            names=["skill", "_id", "score"],
-        )
+            best.add(scores, ids, None if cells is None else cells[:, batch.column("list").to_numpy()].T)
+        yield from best.rows()
 
     return local_best
 
@@ -147,7 +197,7 @@ def knn_approx(
     Scores are exact; a row in another cell can be missed. With as many probes as
     cells this is ``knn``.
     """
-    _check(score_mode)
+    check_mode(score_mode)
     cells = F.array(*[F.struct(F.lit(i).alias("list"), F.array(*[F.lit(x) for x in c]).alias("c")) for i, c in enumerate(centres)])
     near = F.sort_array(
         F.transform(cells, lambda cell: F.struct(-cosine(cell.getField("c"), F.col("vector")), cell.getField("list").alias("list")))
@@ -176,7 +226,7 @@ def similarity_matrix(
     course. A skill without a vector keeps its place, with null. The matrix is never
     spread into (skill, course) rows.
     """
-    _check(score_mode)
+    check_mode(score_mode)
 
     def rows(batches, right):
         if right.num_rows == 0:
@@ -245,7 +295,7 @@ def above_threshold(
     digits: int = DIGITS,
 ) -> DataFrame:
     """Courses whose similarity to a skill is above ``threshold`` (strict)."""
-    _check(score_mode)
+    check_mode(score_mode)
 
     def hits(batches, right):
         names = np.asarray(right.column("skill").to_pylist(), dtype=object)

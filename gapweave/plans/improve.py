@@ -8,8 +8,11 @@ scores. ``improvement`` compares two such rounds.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gapweave.functions.text import record_text
-from gapweave.operators.gap import course_gains, gap_delta, gap_scores, penalize
+from gapweave.operators.gap import certificate_texts, course_gains, gap_delta, gap_scores, penalize
+from gapweave.operators.lineage import checkpointed
 from gapweave.operators.markdown import parse_tables, table_errors, without_skill_column
+from gapweave.operators.records import record_json
+from gapweave.plans.interactions import interaction_records
 from gapweave.schemas import RESUME_SCHEMA, SKILL_HEADER
 
 PROMPT_PARTS = [
@@ -100,3 +103,33 @@ def improvement(initial_cells: DataFrame, improved_cells: DataFrame) -> dict[str
         "delta": gap_delta(initial, improved),
         "courses_filtered_after_dedup": course_gains(improved_cells),
     }
+
+
+def improvement_run(
+    pairs: DataFrame,
+    found: DataFrame,
+    kept: DataFrame,
+    initial: DataFrame,
+    improved: DataFrame,
+    texts: DataFrame | None = None,
+    digits: int = 6,
+) -> dict[str, DataFrame]:
+    """From recommendations to the stored record: second prompts, scores of both rounds, their difference, the record.
+
+    pairs: (request_id, job, resume) records; found: all recommendations; kept: those left by the
+    near-duplicate removal; initial, improved: the answers (request_id, markdown) to the
+    first and the second prompt; texts: as for ``interaction_records``, by default the JSON of the pairs.
+    Scores are rounded before the records are sorted by them.
+    """
+    before, after = checkpointed(response_cells(initial)), checkpointed(response_cells(improved))
+    rounds = improvement(before, after)
+    if texts is None:
+        texts = pairs.select("request_id", record_json(F.col("job")).alias("parsed_jd"), record_json(F.col("resume")).alias("parsed_resume"))
+    sections = {"all_recommendations": found, "dedup_recommendations": kept, "df_gap": before}
+    scores = {"courses_filtered_after_dedup": "gain", "initial_knowledge": "gap_score", "score_can_be_improved": "gap_score"}
+    sections |= {c: rounds[c].withColumn(score, F.round(score, digits)) for c, score in scores.items()}
+    return {
+        "prompts": render_course_prompts(pairs, certificate_texts(kept)),
+        "delta": rounds["delta"],
+        "records": interaction_records(sections, texts),
+    }

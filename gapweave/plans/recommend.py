@@ -73,15 +73,18 @@ def _spread_join(requests: DataFrame, hits: DataFrame, small: bool) -> DataFrame
     return salted.join(copies, ["skill", "_salt"]).drop("_salt")
 
 
-def union_hits(requests: DataFrame, hits: DataFrame, on_duplicate: str = "first", small: bool = False) -> DataFrame:
-    """One row per request and course: (request_id, _id, skill_pos, score).
+def union_hits(
+    requests: DataFrame, hits: DataFrame, on_duplicate: str = "first", small: bool = False, facts: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per request and course: (request_id, _id, skill_pos, score, facts).
 
     A course hit by several skills keeps the score of the first skill, or the
     highest with ``on_duplicate="max"``. ``requests`` is (request_id, skill_pos,
-    skill). Both choices are partial aggregates.
+    skill). Both choices are partial aggregates. ``facts`` are columns of the hits
+    that follow from the course; they are carried along.
     """
     joined = _spread_join(
-        requests.select("request_id", "skill_pos", "skill"), hits.select("skill", "_id", "score"), small
+        requests.select("request_id", "skill_pos", "skill"), hits.select("skill", "_id", "score", *facts), small
     )
     if on_duplicate == "first":
         score = F.min_by("score", "skill_pos")
@@ -89,7 +92,8 @@ def union_hits(requests: DataFrame, hits: DataFrame, on_duplicate: str = "first"
         score = F.max("score")
     else:
         raise ValueError(f"on_duplicate is 'first' or 'max', not {on_duplicate!r}")
-    return joined.groupBy("request_id", "_id").agg(F.min("skill_pos").alias("skill_pos"), score.alias("score"))
+    grouped = joined.groupBy("request_id", "_id", *facts)
+    return grouped.agg(F.min("skill_pos").alias("skill_pos"), score.alias("score")).select("request_id", "_id", "skill_pos", "score", *facts)
 
 
 def recommend(
@@ -126,13 +130,17 @@ def recommend(
     # The score rule needs only the hits, so it runs before requests multiply them.
     # A course below it for its first skill must still lose to that skill, so for
     # "first" the rule is applied after the union.
-    union = union_hits(requests, hits, on_duplicate, small).where(F.col("score") > min_score)
-
-    courses = fitting
+    # Facts of the courses meet the hits here: the union below fans out on the course, and
+    # a course that very many requests find would be one key of a join after it. Hits of other
+    # courses go at once, as the rules on a course do not depend on the skill that found it.
+    facts = [c for c in fitting.columns if c not in ("_id", "skill", "request_id", "skill_pos", "score", "rank", "vector")]
+    courses = fitting.select("_id", F.struct(*facts).alias("_facts"))
     if small:
-        # Reduce the catalogue to the courses found in its own scan.
-        courses = fitting.join(F.broadcast(hits.select("_id").distinct()), "_id", "left_semi")
-    found = union.join(courses, "_id")
+        # Reduce the catalogue to the courses found in its own scan; what is left is as small as the hits.
+        courses = courses.join(F.broadcast(hits.select("_id").distinct()), "_id", "left_semi")
+    known = checkpointed(hits.join(courses, "_id"))
+    union = union_hits(requests, known, on_duplicate, small, ("_facts",)).where(F.col("score") > min_score)
+    found = union.select("request_id", "_id", "skill_pos", "score", "_facts.*")
     if per_request:
         found = pref_filter_per_request(found, preferences)
     scored = with_weighted_score(found, terms)

@@ -141,3 +141,35 @@ def test_changes_of_a_key_are_merged_field_by_field(spark, old):
     given = spark.createDataFrame([(1, None, None, 0, ["s"]), (1, "no", 7.0, 1, ["x"])], "_id bigint, s string, x double, at int, has array<string>")
     for apply in (keyed.update_rows, keyed.upsert_rows):
         assert {r._id: (r.s, r.x) for r in apply(old, given, "at", carried="has").collect()}[1] == (None, 7.0)
+
+
+def test_repeated_keys_without_a_position_do_not_multiply_rows(spark):
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "_id long, name string, size int")
+    changes = spark.createDataFrame([(1, "x", None), (1, None, 9), (3, "z", None), (3, None, 4)], "_id long, name string, size int")
+    updated = {r._id: (r["name"], r["size"], r.changed) for r in keyed.update_rows(old, changes).collect()}
+    assert updated == {1: ("x", 9, True), 2: ("b", 2, False)} and keyed.update_rows(old, changes).count() == 2
+    rows = keyed.upsert_rows(old, changes).collect()
+    assert sorted((r._id, r["name"], r["size"]) for r in rows) == [(1, "x", 9), (2, "b", 2), (3, "z", 4)]
+
+
+def test_the_number_of_rows_inserted(spark, tmp_path):
+    path = str(tmp_path / "table")
+    old = spark.createDataFrame([(1, "a")], "_id long, name string")
+    new = spark.createDataFrame([(1, "x", 0), (2, "y", 1), (2, "z", 2), (3, "w", 3)], "_id long, name string, position long")
+    run_at = F.lit("2024-06-01 12:00:00").cast("timestamp")
+    assert keyed.insert_run(old, new, "position", run_at, path, "r1") == 2
+    stored = spark.read.parquet(path)
+    assert sorted((r._id, r["name"]) for r in stored.collect()) == [(1, "a"), (2, "y"), (3, "w")]
+    assert keyed.insert_run(stored, new, "position", run_at, path, "r2") == 0
+
+
+def test_colliding_generated_ids_replace_nothing(spark, tmp_path):
+    path = str(tmp_path / "table")
+    new = spark.range(200).withColumnRenamed("id", "key")
+    old = spark.createDataFrame([], "_id string, key long")
+    assert keyed.insert_generated_run(old, new, "key", "r1", path) == 200
+    with pytest.raises(ValueError, match="held by"):
+        keyed.insert_generated_run(spark.read.parquet(path), new, "key", "r2", path, length=1)
+    with pytest.raises(ValueError, match="held by"):
+        keyed.insert_generated_run(spark.read.parquet(path), new, "key", "r1", path)
+    assert spark.read.parquet(path).count() == 200

@@ -192,6 +192,38 @@ NEAR = (
     "CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) <= 0.6",
 )
 
+ITEMS = (
+    "items",
+    "SELECT request_id, 'courses' AS section, CAST(_id AS VARCHAR) AS item, row_number() OVER "
+    "(PARTITION BY request_id ORDER BY weighted_score DESC, _id) AS rank FROM recommended "
+    "UNION ALL SELECT request_id, 'gains', evidence, row_number() OVER (PARTITION BY request_id ORDER BY gain DESC, evidence) "
+    "FROM gains UNION ALL SELECT request_id, 'initial', skill, row_number() OVER "
+    "(PARTITION BY request_id ORDER BY round(gap_score, 6), row_no) FROM initial_scores "
+    "UNION ALL SELECT request_id, 'improved', skill, row_number() OVER "
+    "(PARTITION BY request_id ORDER BY round(gap_score, 6), row_no) FROM improved_scores "
+    "UNION ALL SELECT request_id, 'cells', '', row_number() OVER (PARTITION BY request_id ORDER BY row_no, col_no) FROM initial",
+)
+RECORDS = (
+    "records",
+    "SELECT request_id, CAST((rank - 1) // 1000 AS BIGINT) AS part, "
+    + ", ".join(
+        f"coalesce(string_agg(item, '|' ORDER BY rank) FILTER (section = '{s}'), '') AS {s}" for s in ("courses", "gains", "initial", "improved")
+    )
+    + ", CAST(count(*) FILTER (section = 'cells') AS INT) AS n_cells FROM items GROUP BY 1, 2",
+)
+PARSED_JD = (
+    "'{\"job_title\":' || json_extract(j, '$.job_title') || ',\"employment_type\":' || "
+    "json_extract(j, '$.employment_type') || ',\"key_responsibilities\":[],\"qualifications\":[],\"education_requirements\":"
+    "[{\"degree\":\"BSc\",\"field_of_study\":null}],\"must_have_skills\":[\"' || array_to_string(skills, '\",\"') || "
+    "'\"],\"bonus_skills\":[]}'"
+)
+PARSED_RESUME = (
+    "'{\"skills\":[\"sql\",\"' || segment || '\"],\"certifications\":[{\"name\":\"Cert ' || c_nationkey || '\",\"organization\":null}],"
+    "\"projects\":[{\"title\":\"' || c_name || '\",\"description\":\"in ' || segment || '\",\"type\":\"no-mention\"},"
+    "{\"title\":\"Side\",\"description\":null,\"type\":\"personal\"}],\"publications\":[{\"title\":\"On sales\",\"journal\":\"J\",\"year\":' "
+    "|| year || '}],\"academic_awards\":[{\"title\":\"Prize\",\"related_skills\":[\"sql\",\"python\"]}]}'"
+)
+
 ORACLE = {
     "catalog_load": CATALOG + "SELECT * FROM courses WHERE language = 'English'",
     "duration_hours": CATALOG + "SELECT _id AS course_id, duration, duration_hrs FROM courses",
@@ -223,6 +255,9 @@ ORACLE = {
     "similarity_wide": MATRIX + "SELECT _id, " + TEN.replace("%s", "skill_") + " FROM cosines GROUP BY _id",
     "knn_topk": SEARCH
     + "SELECT * FROM hits JOIN courses USING (_id)",
+    "knn_floors": MATRIX[:-1] + ", " + HITS[0] + " AS (" + HITS[1] + ") SELECT * FROM hits",
+    "knn_quantized_check": "SELECT 'skill_' || label AS skill, least(50, (SELECT count(*) FROM embeddings)) AS hits, 0 AS wrong, "
+    "true AS recalled, true AS ranked FROM embeddings GROUP BY label",
     "skill_topn": MATRIX
     + "SELECT * FROM (SELECT skill, _id, score, CAST(row_number() OVER (PARTITION BY skill ORDER BY score DESC, _id) AS INT) "
     "AS rank FROM (SELECT skill, _id, round(cos, 6) AS score FROM cosines)) WHERE rank <= 5",
@@ -310,6 +345,19 @@ ORACLE = {
         f"coalesce(string_agg(item, '|' ORDER BY rank) FILTER (section = '{s}'), '') AS {s}" for s in ("courses", "gains", "initial", "improved")
     )
     + ", CAST(count(*) FILTER (section = 'cells') AS INT) AS n_cells FROM items GROUP BY 1, 2",
+    "improvement_run": _with(
+        RAW, COURSES, SKILLS, COSINES, HITS, REQUESTS, UNION, RECOMMENDED, *INITIAL, *IMPROVED, GAINS, ITEMS, RECORDS, JOBS, JOB_CHECKS, RESUMES,
+        ("deltas", "SELECT request_id, CAST(sum(CAST(round(round(b.gap_score - a.gap_score, 6) * 1000000) AS BIGINT)) AS BIGINT) AS delta_micro "
+         "FROM initial_scores a FULL JOIN improved_scores b USING (request_id, skill) GROUP BY request_id"),
+        ("texts", f"SELECT 'src' || doc_id AS request_id, CAST(0 AS BIGINT) AS part, {PARSED_JD} AS parsed_jd, {PARSED_RESUME} AS parsed_resume, "
+         "'jobs/' || doc_id AS jd_url, 'resumes/' || o_custkey AS resume_url "
+         "FROM checked JOIN resumes ON o_custkey = c_custkey WHERE errors = '' AND year BETWEEN 1900 AND 2100"),
+    )
+    + "SELECT request_id, part, coalesce(courses, '') AS courses, true AS kept_are_found, true AS kept_are_few, "
+    "coalesce(courses, '') <> '' AS best_is_kept, coalesce(gains, '') AS gains, coalesce(initial, '') AS initial, "
+    "coalesce(improved, '') AS improved, coalesce(n_cells, 0) AS n_cells, delta_micro, "
+    "CASE WHEN request_id IN (SELECT request_id FROM texts) THEN request_id IN (SELECT request_id FROM recommended) END AS courses_in_prompt, "
+    "parsed_jd, parsed_resume, jd_url, resume_url FROM records FULL JOIN texts USING (request_id, part) LEFT JOIN deltas USING (request_id)",
     "argmax_per_group": CATALOG
     + "SELECT subject, _id, avg_rating FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY avg_rating DESC, _id) AS n "
     "FROM courses WHERE avg_rating IS NOT NULL) WHERE n = 1",

@@ -1,11 +1,13 @@
 """One query per operator, each over the whole given tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gapweave.functions.scores import quality_score, weighted_score
 from gapweave.functions.text import clean_text, duration_hours, record_text
-from gapweave.operators import clustering, dedup, gap, keyed, markdown, records, similarity
-from gapweave.operators.lineage import checkpointed
+from gapweave.operators import clustering, dedup, gap, keyed, markdown, quantized, records, similarity
+from gapweave.operators.lineage import checkpointed, shared_folder
 from gapweave.operators.ranking import best_per_group
 from gapweave.plans import improve, interactions, recommend
 from gapweave.schemas import RESUME_SCHEMA
@@ -135,6 +137,38 @@ def knn_approx(spark, sf):
     return similarity.knn_approx(indexed, centres, t.skills(spark, sf), probes=13)
 
 
+@query
+def knn_floors(spark, sf):
+    return similarity.knn(t.vectors(spark, sf), t.skills(spark, sf), floors=True)
+
+
+def _quantized(spark, sf):
+    vectors = t.vectors(spark, sf)
+    codes = quantized.fit_codes(vectors, lists=16)
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    indexed = quantized.write_index(quantized.index(vectors, codes), path)
+    return quantized.search(indexed, codes, t.skills(spark, sf), probes=16)
+
+
+@query
+def knn_quantized(spark, sf):
+    return _quantized(spark, sf)
+
+
+@query
+def knn_quantized_check(spark, sf):
+    """What must hold of the approximate search: hits per skill, none with another score than the exact one, recall of 0.95."""
+    hits = checkpointed(_quantized(spark, sf).select("skill", "_id", "score", "rank"))
+    exact = similarity.knn(t.vectors(spark, sf), t.skills(spark, sf)).select("skill", "_id", F.col("score").alias("exact"))
+    met = hits.join(exact, ["skill", "_id"], "full")
+    return met.groupBy("skill").agg(
+        F.count("score").alias("hits"),
+        F.count(F.when(F.abs(F.col("score") - F.col("exact")) > 2e-6, 1)).alias("wrong"),
+        (100 * F.count(F.when(F.col("score").isNotNull(), F.col("exact"))) >= 95 * F.count("exact")).alias("recalled"),
+        (F.max("rank") == F.count("score")).alias("ranked"),
+    )
+
+
 @query
 def skill_topn(spark, sf):
     return similarity.knn(t.vectors(spark, sf), t.skills(spark, sf), k=5, score_mode="cosine")
@@ -432,6 +466,55 @@ def interaction_record(spark, sf):
     )
 
 
+def _order_pairs(spark, sf):
+    return _pairs(spark, sf).select(F.concat(F.lit("src"), F.col("request_id").cast("string")).alias("request_id"), "o_custkey", "job", "resume")
+
+
+@query
+def improvement_run(spark, sf):
+    """The whole chain: recommendations, near-duplicate removal, second prompts, both rounds' scores, the stored record."""
+    vectors = t.vectors(spark, sf)
+    found = checkpointed(_recommended(spark, sf))
+    kept = checkpointed(dedup.deduplicate(found.join(vectors, "_id")).drop("vector"))
+    pairs = checkpointed(_order_pairs(spark, sf))
+    texts = pairs.select(
+        "request_id",
+        records.record_json(F.col("job")).alias("parsed_jd"),
+        records.record_json(F.col("resume")).alias("parsed_resume"),
+        F.concat(F.lit("jobs/"), F.substring("request_id", 4, 20)).alias("jd_url"),
+        F.concat(F.lit("resumes/"), F.col("o_custkey").cast("string")).alias("resume_url"),
+    )
+    run = improve.improvement_run(pairs, found, kept, t.initial_responses(spark, sf), t.improved_responses(spark, sf), texts)
+    micro = F.round(F.round("delta", 6) * 1_000_000).cast("bigint")
+    delta = run["delta"].groupBy("request_id").agg(F.sum(micro).alias("delta_micro"))
+    named = run["prompts"].select("request_id", F.contains("prompt", F.lit("name: ")).alias("courses_in_prompt"))
+
+    def joined(section, field):
+        return F.coalesce(F.array_join(F.transform(F.col(section), lambda r: r.getField(field).cast("string")), "|"), F.lit(""))
+
+    ids = lambda section: F.transform(section, lambda r: r.getField("_id"))
+    out = run["records"].join(delta, "request_id", "left").join(named, "request_id", "left")
+    return out.select(
+        "request_id",
+        "part",
+        joined("all_recommendations", "_id").alias("courses"),
+        # near-duplicate removal leaves some of the courses found, ten at most, the best of all among them
+        F.coalesce(F.size(F.array_except(ids("dedup_recommendations"), ids("all_recommendations"))) == 0, F.lit(True)).alias("kept_are_found"),
+        F.coalesce(F.size("dedup_recommendations") <= 10, F.lit(True)).alias("kept_are_few"),
+        F.coalesce(F.array_contains(ids("dedup_recommendations"), F.get(ids("all_recommendations"), F.lit(0))), F.lit(False)).alias("best_is_kept"),
+        joined("courses_filtered_after_dedup", "evidence").alias("gains"),
+        joined("initial_knowledge", "skill").alias("initial"),
+        joined("score_can_be_improved", "skill").alias("improved"),
+        F.coalesce(F.size("df_gap"), F.lit(0)).alias("n_cells"),
+        "delta_micro",
+        "courses_in_prompt",
+        "parsed_jd",
+        "parsed_resume",
+        "jd_url",
+        "resume_url",
+    )
+
+
 # --- clustering ------------------------------------------------------------
 
 
