@@ -456,8 +456,8 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     Steps: equal sets are found by their 128-bit sums. Blocks of the parity sketches are
     joined (see block_keys); every member of a shared block is paired with the smallest one,
     pairs that the sketches allow are verified on the whole sets, and classes are formed.
-    Members of blocks that still lie in different classes are paired with other centers, as
-    long as that joins many. What is then left open is compared pair by pair in the workers, by
+    Members of blocks that still lie in different classes are paired with other centers, if
+    some block has very many and as long as that joins many. What is then left open is compared pair by pair in the workers, by
     sketches whose bits follow the size of the sets: first the most alike members of any two
     classes are verified, then all pairs of classes that stayed apart, so no link is missed.
     Blocks inside one class, such as those of thousands of near copies, need no more.
@@ -487,10 +487,11 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     pairs = store(met.select(*_ordered("member", "center")).where("a != b").distinct())
     edges = store(_verified(docs, store(_allowed(pairs, known, percent)), percent, size).union(joint))
     labels = components(edges)
-    # other centers, while they still join many classes; then the most alike of any two classes, then all that is left
-    turn = 1
+    # other centers for very popular keys, while they still join many classes; then the most alike of any two classes, then all that is left
     some = _open(matches, met, labels)
-    while turn <= TURNS + 2 and some.limit(1).count():
+    largest = some.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    turn = 1 if largest > TILE else TURNS + 1
+    while turn <= TURNS + 2 and largest:
         tried = _stars(some, turn) if turn <= TURNS else _further(docs, some, known, percent, size, turn > TURNS + 1)
         tried = store(tried.join(pairs, ["a", "b"], "left_anti"))
         links = store(_verified(docs, store(_allowed(tried, known, percent)), percent, size))
@@ -503,6 +504,7 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
             labels = components(edges)
             if turn <= TURNS + 1:
                 some = _open(matches, met, labels)
+                largest = some.limit(1).count()
         turn = TURNS + 1 if few else turn + 1
 
     # a document's class is that of its set's smallest document, or its own

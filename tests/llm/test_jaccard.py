@@ -30,9 +30,9 @@ def long_rows():
     return rows
 
 
-@pytest.mark.parametrize("turns", [0, 8])
-def test_long_texts_and_a_common_line(spark, monkeypatch, turns):
-    monkeypatch.setattr(jaccard_join, "TURNS", turns)
+@pytest.mark.parametrize("tile", [4, 1_024])
+def test_long_texts_and_a_common_line(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)  # 4: other centers are tried first, and tiles are compared
     rows = long_rows()
     found = jaccard_join.jaccard_classes(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.doc_id: r.component_id for r in found} == classes(rows)
