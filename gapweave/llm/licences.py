@@ -100,6 +100,31 @@ class Automaton:
         return out
 
 
+    def occurrences(self, tokens: list[int], shortest: int) -> list[tuple[int, int, int, int]]:
+        """(end, length, template, end in the template) of every match of at least shortest tokens that no token extends, template by template.
+
+        The longest suffix of what was read that occurs in a template is walked token by token, and from it
+        the suffix links: a shorter suffix may stand in other templates, and at other places, than the longest.
+        """
+        out, state, length = [], 0, 0
+        before: dict[tuple[int, int], int] = {}
+        for place, token in enumerate([*tokens, None]):
+            while state > 0 and token not in self.next[state]:
+                state = self.link[state]
+                length = self.size[state]
+            state, length = (self.next[state][token], length + 1) if token in self.next[state] else (0, 0)
+            now: dict[tuple[int, int], int] = {}
+            each, size = state, length
+            while size >= shortest:
+                for end in self.ends[each]:
+                    now.setdefault(end, size)
+                each = self.link[each]
+                size = self.size[each]
+            out += [(place - 1, size, template, end) for (template, end), size in before.items() if (template, end + 1) not in now]
+            before = now
+        return out
+
+
 @dataclass
 class Library:
     """Templates as word hashes, ready to scan."""
@@ -160,9 +185,8 @@ def _scan_row(tokens: np.ndarray, known: Library) -> list[tuple[int, float, int,
     for low, high in inside.reshape(-1, 2):
         if high - low < MATCH_WORDS:
             continue
-        for end, length, state in known.automaton.matches(tokens[low:high].tolist(), MATCH_WORDS):
-            for template, place in known.automaton.ends[state]:
-                spans.setdefault(template, []).append((int(low) + end - length + 1, place - length + 1, length))
+        for end, length, template, place in known.automaton.occurrences(tokens[low:high].tolist(), MATCH_WORDS):
+            spans.setdefault(template, []).append((int(low) + end - length + 1, place - length + 1, length))
     out = []
     for template, found in sorted(spans.items()):
         covered, first, last = chain(found, known.sizes[template])

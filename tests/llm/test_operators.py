@@ -250,6 +250,18 @@ def test_decontaminate(spark, docs, none):
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
 
 
+def test_decontaminate_moves_no_words_per_shingle(spark, monkeypatch):
+    random = np.random.default_rng(12)
+    items = [(j, " ".join(f"v{random.integers(200)}" for _ in range(20))) for j in range(30)] + [(99, "a b c d e f g")]
+    texts = [" ".join(["lead"] * (j % 4) + text.split()[:18] + ["end", "of", "it"]) for j, text in items]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[1]), (None, texts[2]), (None, texts[2]), (5, None)]
+    frame, benchmark = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    small = Counter(decontaminate.contaminated(frame, benchmark).collect())
+    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", 10)
+    found = decontaminate.contaminated(frame, benchmark)
+    assert small and Counter(found.collect()) == small
+
+
 def test_decontaminate_finds_similar_windows_beyond_the_radius(spark):
     random = np.random.default_rng(11)
     items, rows, want = [], [], set()
@@ -307,6 +319,32 @@ def test_matches_are_the_longest():
     assert got == want
 
 
+def test_a_match_inside_a_longer_one_of_another_template_counts(spark):
+    a, b = "x0 a1 b2 c3 d4 e5 f6 g7", "a1 b2 c3 d4 e5 f6 g7 y8"
+    found = licences.scan(spark.createDataFrame([(1, f"{a} zz"), (2, f"q {a} y8 a1 b2 c3"), (3, "a1 b2 c3 d4")], SCHEMA), {"A": a, "B": b}).collect()
+    assert {r.doc_id: r.labels for r in found} == {1: "A,B", 2: "A,B", 3: ""}
+
+
+def test_occurrences_against_all_stretches():
+    random = np.random.default_rng(4)
+    for _ in range(150):
+        templates = [random.integers(0, 3, random.integers(1, 12)).tolist() for _ in range(3)]
+        text = random.integers(0, 4, 20).tolist()
+        want = set()
+        for number, t in enumerate(templates):
+            for i in range(len(text)):
+                for j in range(len(t)):
+                    if i and j and text[i - 1] == t[j - 1]:
+                        continue
+                    n = 0
+                    while i + n < len(text) and j + n < len(t) and text[i + n] == t[j + n]:
+                        n += 1
+                    if n >= 2:
+                        want.add((i + n - 1, n, number, j + n - 1))
+        got = licences.Automaton(templates).occurrences(text, 2)
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
