@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gapweave.llm.arrays import column_bytes
-from gapweave.llm.tables import appended
+from gapweave.llm.tables import appended, lots
 
 #: Rows of the sample that the table of frequent pieces is counted on, and its size.
 SAMPLE_ROWS = 4_000
@@ -20,8 +20,8 @@ FREQUENT = 1 << 16
 #: Pieces a worker remembers besides; when full it starts anew. Longer pieces are not remembered.
 CACHE = 1 << 17
 LONGEST = 48
-#: Rows that are looked up together.
-ROWS = 128
+#: Bytes of text whose pieces are looked up together (or one longer text), and pieces encoded together.
+LOT_BYTES = 1 << 20
 LOT = 512
 
 _tokenizers: dict = {}
@@ -110,8 +110,8 @@ class _Lookup:
         frequent = _tables[self.name]
         folds, added = self.folding
         sizes, out = [], []
-        for low in range(0, len(column), ROWS):
-            data, offsets = column_bytes(column.slice(low, ROWS))
+        for low, high in lots(column, LOT_BYTES):
+            data, offsets = column_bytes(column.slice(low, high - low))
             data = data.tobytes()
             rows = [fold(data[a:b], added) if folds else data[a:b].split() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             if len(_cache) > CACHE:
