@@ -7,8 +7,10 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
+from gapweave.operators import blocks as comparing
 from gapweave.operators.blocks import against_all, steps, to_matrix, unit_rows
 from gapweave.operators.lineage import checkpointed
+from gapweave.operators.pivots import against_near, blocked, radius
 from gapweave.operators.ranking import rank_within
 from gapweave.operators.similarity import knn
 
@@ -183,7 +185,11 @@ def member_lists(labelled: DataFrame, member: str, position: str, rows: int = LI
     return ranked.groupBy("cluster", part).agg(F.transform(ordered, lambda r: r.getField("member")).alias("members"))
 
 
-def _count_near(points: DataFrame, eps: float, digits: int) -> DataFrame:
+def _all_pairs(left, right, work, schema, rows=None):
+    return against_all(left, right, work, schema, rows=rows)
+
+
+def _count_near(points: DataFrame, eps: float, digits: int, compare=_all_pairs) -> DataFrame:
     def count(batches, right):
         if right.num_rows == 0:
             return
@@ -194,10 +200,10 @@ def _count_near(points: DataFrame, eps: float, digits: int) -> DataFrame:
                 [batch.column("id"), pa.array((gaps <= eps).sum(axis=1), pa.int64())], names=["id", "near"]
             )
 
-    return against_all(points, points, count, "id bigint, near bigint").groupBy("id").agg(F.sum("near").alias("near"))
+    return compare(points, points, count, "id bigint, near bigint").groupBy("id").agg(F.sum("near").alias("near"))
 
 
-def _smallest_near(points: DataFrame, core: DataFrame, rows: int, eps: float, digits: int) -> DataFrame:
+def _smallest_near(points: DataFrame, core: DataFrame, rows: int, eps: float, digits: int, compare=_all_pairs) -> DataFrame:
     """Smallest other label among the core points within ``eps`` of each point (id, vector, label)."""
 
     def smallest(batches, right):
@@ -215,7 +221,7 @@ def _smallest_near(points: DataFrame, core: DataFrame, rows: int, eps: float, di
                 [batch.column("id").filter(pa.array(found)), pa.array(least[found], pa.int64())], names=["id", "label"]
             )
 
-    found = against_all(points, core, smallest, "id bigint, label bigint", rows=rows)
+    found = compare(points, core, smallest, "id bigint, label bigint", rows=rows)
     return found.groupBy("id").agg(F.min("label").alias("label"))
 
 
@@ -237,34 +243,55 @@ def _roots(hooks: DataFrame) -> DataFrame:
             return hooks.withColumnRenamed("parent", "root")
 
 
+def _compare_near(rows: DataFrame, eps: float, digits: int):
+    """How dbscan compares points: all with all while one side fits a task, else blocks that may hold neighbours.
+
+    Below a distance of 1 neighbours are at an acute angle, and a zero vector has none.
+    """
+    count = rows.count()
+    if count <= comparing.MAX_BLOCK_ROWS or eps >= 1.0:
+        return _all_pairs
+    found = blocked(rows, radius(eps, digits), count)
+    if found is None:
+        return _all_pairs
+
+    def compare(left, right, work, schema, rows=None):
+        return against_near(left, right, work, schema, found)
+
+    return compare
+
+
 def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 2, digits: int = 9) -> DataFrame:
     """Density clusters by cosine distance over (id, vector): (id, cluster), noise -1.
 
     A point counts itself. Clusters of core points start as single points. In each round
     every cluster is hooked to the smallest other one it touches, and all that hang
     together become one, so that at most half of those that touch any remain; rounds are
-    written to the checkpoint folder. Neighbour pairs are never stored.
+    written to the checkpoint folder. Neighbour pairs are never stored. Points too many for one
+    task are cut into blocks, and blocks that cannot hold neighbours are not compared (``pivots``).
     Clusters are numbered by their smallest core id, and a border point joins the
     first cluster that reaches it.
     """
     rows = points.select("id", F.col("vector").cast("array<double>").alias("vector"))
-    dense = _count_near(rows, eps, digits).where(F.col("near") >= min_samples).select("id")
+    rows = checkpointed(rows.where(F.col("vector").isNotNull()))
+    compare = _compare_near(rows, eps, digits)
+    dense = _count_near(rows, eps, digits, compare).where(F.col("near") >= min_samples).select("id")
     core = checkpointed(rows.join(dense, "id", "left_semi"))
     rows_core = core.count()
     labels = core.select("id", F.col("id").alias("label"))
     while True:
         marked = core.join(labels, "id")
-        near = _smallest_near(marked, marked, rows_core, eps, digits).withColumnRenamed("label", "near")
+        near = _smallest_near(marked, marked, rows_core, eps, digits, compare).withColumnRenamed("label", "near")
         hooks = checkpointed(near.join(labels, "id").groupBy("label").agg(F.min("near").alias("parent")))
         if hooks.isEmpty():
             break
         merged = labels.join(_roots(hooks), "label", "left")
         labels = checkpointed(merged.select("id", F.coalesce("root", "label").alias("label")))
     outside = rows.join(core.select("id"), "id", "left_anti").withColumn("label", F.lit(NO_LABEL))
-    border = _smallest_near(outside, core.join(labels, "id"), rows_core, eps, digits)
+    border = _smallest_near(outside, core.join(labels, "id"), rows_core, eps, digits, compare)
     numbers = rank_within(labels.select("label").distinct(), [], [F.col("label")], "number")
     named = labels.unionByName(border).join(numbers, "label").select("id", (F.col("number") - 1).cast("int").alias("cluster"))
-    return rows.select("id").join(named, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    return points.select("id").join(named, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def spectral(points: DataFrame, k: int = 5, neighbors: int = 10) -> DataFrame:
