@@ -7,7 +7,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gapweave.operators import blocks as comparing
+from gapweave.operators import blocks as comparing, lloyd
 from gapweave.operators.blocks import against_all, steps, to_matrix, unit_rows
 from gapweave.operators.lineage import checkpointed
 from gapweave.operators.pivots import against_near, blocked, radius
@@ -135,31 +135,31 @@ def silhouette_fast(points: DataFrame) -> DataFrame:
     return points.sparkSession.range(1).select(F.lit(float(value)).alias("silhouette"))
 
 
-def sweep(points: DataFrame, max_clusters: int = 10, seed: int = 0, fast: bool = False) -> list[tuple[int, float]]:
-    """(k, silhouette) for k = 2 .. max_clusters, at most one less than the points.
+def _swept(points: DataFrame, max_clusters: int, seed: int) -> tuple[list[int], DataFrame]:
+    """The numbers of clusters tried, and the stored points with a label under each of them."""
+    held = checkpointed(points)
+    sizes = list(range(2, min(max_clusters, held.limit(max_clusters + 1).count() - 1) + 1))
+    if not sizes:
+        return [], held
+    centres = lloyd.fits(held, sizes, seed)
+    return sizes, checkpointed(lloyd.labelled(held, [centres[k] for k in sizes]).where(F.col("labels").isNotNull()))
 
-    The exact silhouettes of all k come from one pass over the distances; ``fast``
-    uses squared distances, in linear time.
-    """
-    sizes = range(2, min(max_clusters, points.limit(max_clusters + 1).count() - 1) + 1)
+
+def _scores(sizes: list[int], stored: DataFrame, fast: bool) -> list[tuple[int, float]]:
     if not sizes:
         return []
-    features = _features(points.select("id", "vector"))
-    held = features.persist()
-    labelled = held
-    for k in sizes:
-        model = KMeans(k=k, seed=seed, solver="row", predictionCol=f"_k{k}").fit(held)
-        labelled = model.transform(labelled)
-    if fast:
-        scores = [(k, ClusteringEvaluator(predictionCol=f"_k{k}").evaluate(labelled)) for k in sizes]
-    else:
-        labels = F.array(*[F.col(f"_k{k}") for k in sizes]).alias("labels")
-        stored = checkpointed(labelled.select("id", "vector", labels))
-        means = silhouettes(stored).groupBy("clustering").agg(F.avg("silhouette").alias("mean")).collect()
-        found = {row.clustering: row["mean"] for row in means}
-        scores = [(k, found[i]) for i, k in enumerate(sizes)]
-    held.unpersist()
-    return scores
+    found = lloyd.linear_silhouettes(stored) if fast else silhouettes(stored)
+    means = {r.clustering: r["mean"] for r in found.groupBy("clustering").agg(F.avg("silhouette").alias("mean")).collect()}
+    return [(k, means.get(i, 0.0)) for i, k in enumerate(sizes)]
+
+
+def sweep(points: DataFrame, max_clusters: int = 10, seed: int = 0, fast: bool = True) -> list[tuple[int, float]]:
+    """(k, silhouette) for k = 2 .. max_clusters, at most one less than the points.
+
+    All k are fitted together (``lloyd``). The silhouettes are of squared distances, in linear time;
+    ``fast=False`` takes the exact Euclidean ones, which compare all points with all others.
+    """
+    return _scores(*_swept(points.select("id", "vector"), max_clusters, seed), fast)
 
 
 def best_k(scores: list[tuple[int, float]]) -> int:
@@ -167,10 +167,13 @@ def best_k(scores: list[tuple[int, float]]) -> int:
     return max(scores, key=lambda s: (s[1], -s[0]))[0] if scores else 1
 
 
-def cluster_skills(skills: DataFrame, max_clusters: int = 10, seed: int = 0, fast: bool = False) -> DataFrame:
+def cluster_skills(skills: DataFrame, max_clusters: int = 10, seed: int = 0, fast: bool = True) -> DataFrame:
     """Cluster (id, skill, vector) with the best k and list each cluster's members."""
-    k = best_k(sweep(skills, max_clusters, seed, fast))
-    return member_lists(kmeans(skills, k, seed), "skill", "id")
+    sizes, stored = _swept(skills.select("id", "skill", "vector"), max_clusters, seed)
+    scores = _scores(sizes, stored, fast)
+    place = sizes.index(best_k(scores)) if scores else None
+    cluster = F.lit(0) if place is None else F.col("labels")[place]
+    return member_lists(_stable_labels(stored.withColumn("cluster", cluster)), "skill", "id")
 
 
 def member_lists(labelled: DataFrame, member: str, position: str, rows: int = LIST_ROWS) -> DataFrame:

@@ -372,6 +372,18 @@ ORACLE = {
          "FILTER (own = other) AS a, min(total / size) FILTER (own <> other) AS b FROM totals GROUP BY id"),
     )
     + "SELECT round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM sides",
+    "silhouette_linear": _with(
+        ("points", "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, [CAST(label AS INT), CAST(vec_id % 7 AS INT), "
+         "CAST(floor(vec_id / 100) AS INT)] AS labels FROM embeddings"),
+        ("gaps", "SELECT a.id, a.labels AS own, b.labels AS other, list_distance(a.v, b.v) ** 2 AS gap FROM points a, points b"),
+        ("totals", "SELECT id, c - 1 AS clustering, own[c] AS cluster, other[c] AS met, sum(gap) AS total, count(*) AS size "
+         "FROM gaps, (SELECT unnest([1, 2, 3]) AS c) GROUP BY ALL"),
+        ("sides", "SELECT id, clustering, cluster, max(size) FILTER (cluster = met) AS size, "
+         "max(total / (CASE WHEN size > 1 THEN size - 1 END)) FILTER (cluster = met) AS a, "
+         "min(total / size) FILTER (cluster <> met) AS b FROM totals GROUP BY ALL"),
+    )
+    + "SELECT id, CAST(clustering AS INT) AS clustering, cluster, "
+    "round(CASE WHEN size = 1 OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM sides",
     "dbscan": _with(
         NEAR,
         ("core", "SELECT a FROM near GROUP BY a HAVING count(*) >= 2"),

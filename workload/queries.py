@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gapweave.functions.scores import quality_score, weighted_score
 from gapweave.functions.text import clean_text, duration_hours, record_text
-from gapweave.operators import clustering, dedup, gap, keyed, markdown, quantized, records, similarity
+from gapweave.operators import clustering, dedup, gap, keyed, lloyd, markdown, quantized, records, similarity
 from gapweave.operators.lineage import checkpointed, shared_folder
 from gapweave.operators.ranking import best_per_group
 from gapweave.plans import improve, interactions, recommend
@@ -541,6 +541,14 @@ def silhouette_fast(spark, sf):
     return clustering.silhouette_fast(t.labelled(spark, sf))
 
 
+@query
+def silhouette_linear(spark, sf):
+    """Three clusterings at once: the given labels, remainders and blocks of the ids."""
+    labels = F.array(F.col("cluster").cast("int"), (F.col("id") % 7).cast("int"), F.floor(F.col("id") / 100).cast("int"))
+    found = lloyd.linear_silhouettes(t.labelled(spark, sf).select("id", "vector", labels.alias("labels")))
+    return found.select("id", "clustering", "cluster", F.round("silhouette", 6).alias("silhouette"))
+
+
 @query
 def dbscan(spark, sf):
     return clustering.dbscan(t.points(spark, sf), eps=0.6, min_samples=2)
