@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gapweave.llm import decontaminate, jaccard_join, packing, quality, rules
 from gapweave.llm.queries import good_ids, table
@@ -11,14 +13,21 @@ from gapweave.llm.tables import store
 ORACLE_SQL = None
 
 
+def _passing(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], flag: str) -> DataFrame:
+    """The rows of docs that operator flags; other columns of docs pass under numbers, as one may be called like one that operator adds."""
+    names = {c: c if c in ("doc_id", "text") else f"_column{k}" for k, c in enumerate(docs.columns)}
+    found = operator(docs.select(*[F.col(f"`{c}`").alias(name) for c, name in names.items()])).where(flag)
+    return found.select(*[F.col(name).alias(c) for c, name in names.items()])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling towards good documents selects."""
-    return quality.resample(docs, good_ids(spark, sf_dir)).where("selected").select(docs.columns)
+    return _passing(docs, lambda d: quality.resample(d, good_ids(spark, sf_dir)), "selected")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return rules.cascade(docs).where("kept").select(docs.columns)
+    return _passing(docs, rules.cascade, "kept")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
