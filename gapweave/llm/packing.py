@@ -66,6 +66,13 @@ def _encoder(path: str):
     return _encoders[path]
 
 
+def token_numbers(column: pa.Array, path: str) -> np.ndarray:
+    """Tokens of each text, without special tokens (null: none)."""
+    encode = _encoder(path)
+    data, offsets = column_bytes(column)
+    return np.array([len(encode(data[a:b].tobytes().decode("utf-8", "replace"))) for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
+
+
 def pieces(docs: DataFrame, path: str, end_id: int = 1, length: int = LENGTH) -> DataFrame:
     """doc_id, start, length, doc_tokens, marks: every document's ids and end_id, cut every length tokens.
 

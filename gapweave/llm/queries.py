@@ -53,7 +53,10 @@ def op4_rules(spark, sf_dir):
 
 @query
 def op5_sharding(spark, sf_dir):
-    return sharding.shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shards(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @query

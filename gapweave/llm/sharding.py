@@ -7,7 +7,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gapweave.llm.tables import spread_join, store, text_or_empty
+from gapweave.llm.packing import token_numbers
+from gapweave.llm.tables import appended, store, text_or_empty
 
 #: A group with more than 1 / HEAVY of a shard in any dimension is placed by the driver, before all others.
 HEAVY = 256
@@ -46,11 +47,29 @@ def place(units: np.ndarray, total: np.ndarray, capacity: np.ndarray, slack: flo
     return out
 
 
-def shards(docs: DataFrame, count: int = 24) -> DataFrame:
+def measured(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, size, tokens, text_crc32 and the text's 128-bit hash (group_a, group_b) of every document."""
+    text = text_or_empty()
+    kept = [
+        "doc_id",
+        (F.octet_length(text).cast("long") + 8).alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.xxhash64(text).alias("group_a"),
+        F.xxhash64(F.lit(1), text).alias("group_b"),
+    ]
+    if tokenizer is None:
+        return docs.select(*kept, F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"))
+    # the texts themselves do not travel back from the workers
+    narrow = docs.select("text", *kept)
+    carry = [c for c in narrow.columns if c != "text"]
+    return appended(narrow, "text", lambda c: {"tokens": pa.array(token_numbers(c, tokenizer))}, "tokens long", carry=carry)
+
+
+def shards(docs: DataFrame, count: int = 24, tokenizer: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every document, under the law bytes.
 
-    size is the text's UTF-8 bytes plus 8 (null text: empty); tokens are estimated by words
-    between white space. Equal texts form a group, and a group lies in one shard. Only a group
+    size is the text's UTF-8 bytes plus 8 (null text: empty); tokens are those of the tokenizer file,
+    without one the words between white space. Equal texts form a group, and a group lies in one shard. Only a group
     that no shard has room for is cut: one above a shard in bytes, tokens or rows, or above
     SLACK of a shard where larger groups have left less than that.
 
@@ -63,18 +82,8 @@ def shards(docs: DataFrame, count: int = 24) -> DataFrame:
     grown_shard is null under this law. A null doc_id is a row like any other; repeated rows
     are members of their text's group. An empty table gives an empty result.
     """
-    text = text_or_empty()
-    rows = store(
-        docs.select(
-            "doc_id",
-            (F.octet_length(text).cast("long") + 8).alias("size"),
-            F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"),
-            F.crc32(text).alias("text_crc32"),
-            F.xxhash64(text).alias("group_a"),
-            F.xxhash64(F.lit(1), text).alias("group_b"),
-            F.monotonically_increasing_id().alias("row"),  # fixed from here on, as the table is written
-        )
-    )
+    # row: fixed from here on, as the table is written
+    rows = store(measured(docs, tokenizer).withColumn("row", F.monotonically_increasing_id()))
     total = rows.agg(F.sum("size"), F.sum("tokens"), F.count(F.lit(1))).first()
     total = np.array([x or 0 for x in total], float)
     limit = np.maximum(total / (count * HEAVY), 1.0)

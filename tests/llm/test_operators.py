@@ -131,6 +131,31 @@ def test_sharding(spark, docs, none):
     assert all(sorted(s) == list(range(len(s))) for _, s in by["slot"])
 
 
+def test_shards_balance_real_tokens(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    count = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
+    found = sharding.measured(docs, path).collect()
+    assert Counter((r.doc_id, r["size"], r.tokens, r.text_crc32) for r in found) == Counter(
+        (i, len(data(t)) + 8, count(t), zlib.crc32(data(t))) for i, t in TEXTS
+    )
+    # texts of equal bytes and words, every second one of rare characters and so of many tokens
+    random = np.random.default_rng(8)
+    rows = []
+    for i in range(3_000):
+        word = "the" if i % 2 else "qxz"
+        rows.append((i, " ".join([word] * int(random.integers(10, 60)) + [f"{i:06d}"])))
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("tokens", F.lit("clash"))
+    shard = {r.doc_id: r.shard for r in sharding.shards(frame, tokenizer=path).collect()}
+    tokens, size = Counter(), Counter()
+    for i, t in rows:
+        tokens[shard[i]] += count(t)
+        size[shard[i]] += len(t) + 8
+    assert len(shard) == 3_000 and max(size.values()) <= 1.02 * min(size.values()) and max(tokens.values()) <= 1.05 * min(tokens.values())
+
+
 def test_equal_texts_share_a_shard(spark):
     rows, texts = [], 0
     for members in [60, 25, 9, 5] + [2] * 300 + [1] * 800:  # a shard has 62 or 63 of the 1,499 rows
