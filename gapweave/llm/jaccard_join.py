@@ -34,9 +34,9 @@ TILE = 1_024
 #: Rows of tiles that one task compares, and bytes of their long sketches.
 TASK_ROWS = 1 << 14
 TASK_BYTES = 1 << 25
-#: Sets above so many shingles also compare a long parity sketch: a bit a shingle at least, and at most so many.
-LONG_SET = 512
-MOST_BITS = 1 << 16
+#: Sets above so many shingles compare a long parity sketch instead: four bits a shingle at least, and at most so many.
+LONG_SET = 128
+MOST_BITS = 1 << 17
 #: Hash slots of documents that are broadcast to leave others out of a shuffle.
 SLOTS = 1 << 21
 
@@ -322,18 +322,17 @@ def _stars(some: DataFrame, turn: int) -> DataFrame:
 def long_sketch(shingles: np.ndarray) -> bytes:
     """A parity sketch with bits in proportion to the set (a power of two), so that distances stay near the differences.
 
-    Its two halves, XORed, are the sketch of half the size.
+    Its two halves, XORed, are the sketch of half the size, down to the short one.
     """
-    bits = min(1 << max(6, (len(shingles) - 1).bit_length()), MOST_BITS)
+    bits = min(4 << max(7, (len(shingles) - 1).bit_length()), MOST_BITS)
     place = (shingles & U64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _long_sketches(docs: DataFrame, known: DataFrame, some: DataFrame, size: int, percent: int) -> DataFrame:
-    """rep, sketch: the long sketches of the open members that may be compared with a set above LONG_SET."""
-    least = LONG_SET * percent // 100
+def _long_sketches(docs: DataFrame, known: DataFrame, some: DataFrame, size: int) -> DataFrame:
+    """rep, sketch: the long sketches of the open members above LONG_SET."""
     wanted = some.select(F.col("rep").alias("doc_id")).distinct()
-    ids = store(wanted.join(known.where(F.col("n_shingles") >= least).select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
+    ids = store(wanted.join(known.where(F.col("n_shingles") > LONG_SET).select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [long_sketch(s) if len(s) else b"" for part in words(batch.column(1), SPACES, FOLD) for s in shingle_sets(part, size)]
@@ -360,8 +359,10 @@ def _further(docs: DataFrame, some: DataFrame, known: DataFrame, percent: int, s
         .select("key", "rep", "class", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
     )
     tiled = store(tiled)
-    longer = _long_sketches(docs, known, some, size, percent)
-    facts = store(known.select("rep", "n_shingles", *SKETCH).join(some.select("rep").distinct(), "rep", "left_semi").join(longer, "rep", "left"))
+    longer = _long_sketches(docs, known, some, size)
+    facts = known.select("rep", "n_shingles", *SKETCH).join(some.select("rep").distinct(), "rep", "left_semi").join(longer, "rep", "left")
+    # the long sketch holds the short one
+    facts = store(facts.select("rep", "n_shingles", *[F.when(F.col("sketch").isNull(), F.col(s)).alias(s) for s in SKETCH], "sketch"))
     full = spread_join(tiled, facts, "rep")
     held = spread_join(tiled, facts.select("rep", F.octet_length("sketch").alias("size")), "rep")
     weight = held.agg(F.count(F.lit(1)), F.sum("size")).first()
@@ -370,8 +371,8 @@ def _further(docs: DataFrame, some: DataFrame, known: DataFrame, percent: int, s
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         rep, group, tile, n, x, y = (table[c].to_numpy() for c in ("rep", "class", "tile", "n_shingles", "x", "y"))
-        bits = np.column_stack([table[s].to_numpy() for s in SKETCH]).view(U64)
         far = _LongSketches(table.column("sketch"))
+        bits = far.short(np.column_stack([table[s].fill_null(0).to_numpy() for s in SKETCH]).view(U64))
         order = np.lexsort((y, x, table["key"].to_numpy()))
         key = table["key"].to_numpy()[order]
         new = np.ones(len(order) + 1, bool)
@@ -418,6 +419,13 @@ class _LongSketches:
         self.width = np.array([len(x) if x else 0 for x in self.data], np.int64)
         self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+    def short(self, other: np.ndarray) -> np.ndarray:
+        """The short sketches of the rows: folded long ones, other's where a row has none."""
+        out = other.copy()
+        for r in np.flatnonzero(self.width).tolist():
+            out[r] = np.bitwise_xor.reduce(np.frombuffer(self.data[r], U64).reshape(-1, len(SKETCH)), axis=0)
+        return out
+
     def _lines(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(row -> its line or -1, lines) of the sketches of this width and, folded, of twice the width."""
         if width not in self.held:

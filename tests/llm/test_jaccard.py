@@ -66,3 +66,15 @@ def test_one_answer_for_rows_with_and_without_repeated_ids(spark):
     mixed = {r.doc_id for r in jaccard_join.first_of_class(spark.createDataFrame(more, SCHEMA)).collect()}
     want = classes(rows)
     assert alone == {i for i in want if want[i] == i} and mixed == alone | {5_000}
+
+
+def test_long_sketches_fold_to_the_short_ones():
+    random = np.random.default_rng(8)
+    sets = [np.unique(random.integers(0, 2**63, size, np.int64).view(U64)) for size in (129, 300, 1_025, 40_000)]
+    far = jaccard_join._LongSketches(pa.chunked_array([[jaccard_join.long_sketch(s) for s in sets] + [None]]))
+    own = np.arange(5 * len(jaccard_join.SKETCH), dtype=U64).reshape(5, -1)
+    folded = far.short(own)
+    for k, s in enumerate(sets):
+        bits = np.bincount((s & U64(511)).astype(np.int64), minlength=512) & 1
+        assert (folded[k] == np.packbits(bits.astype(np.uint8)).view(U64)).all()
+    assert (folded[4] == own[4]).all()
