@@ -5,24 +5,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gapweave.functions.text import duration_hours, encode_text, nan_to_null
 from gapweave.operators.lineage import once
 from gapweave.schemas import CATALOG_COLUMNS, RAW_COURSE_SCHEMA
+from gapweave.sources.csv_chunks import read_wide_csv
 
 
 def read_course_texts(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
     """The declared columns of a CSV (or TSV with ``sep``), found by their header names, as text.
 
     A missing column and files whose headers differ are errors; other columns are ignored.
-    ``multi_line`` allows line breaks inside quoted cells, which keeps a file in
-    one task: give many files, or turn it off for exports without such breaks.
+    ``multi_line`` allows line breaks inside quoted cells; a file is read by many tasks
+    either way, but twice, so turn it off for exports without such breaks.
     """
-    read = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-    )
-    header = read.csv(path).schema
-    found = read.schema(header).option("enforceSchema", False).csv(path)
+    if multi_line:
+        found = read_wide_csv(spark, path, sep)
+    else:
+        read = spark.read.options(header=True, sep=sep, quote='"', escape='"')
+        found = read.schema(read.csv(path).schema).option("enforceSchema", False).csv(path)
     return found.select(*[F.col(f"`{f.name}`") for f in RAW_COURSE_SCHEMA])
 
 
