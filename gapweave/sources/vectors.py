@@ -1,15 +1,20 @@
 """Encoding texts and keeping their vectors in a keyed cache."""
 
+import re
+import uuid
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from gapweave.functions.text import encode_text
 
 HASH_MODEL = "hashed-words-384"
 HASH_SIZE = 384
+#: Bits of the filter over cached keys: 1,048,576 words of 64, broadcast. More keys than bits only make it let more through.
+FILTER_BITS = 1 << 26
 
 
 def hash_encoder(texts: DataFrame, size: int = HASH_SIZE) -> DataFrame:
@@ -53,9 +58,53 @@ def columns_hash(columns) -> str:
     return hashlib.sha256("\t".join(columns).encode()).hexdigest()[:16]
 
 
-def _stored(spark: SparkSession, path: str) -> bool:
+def _files(spark: SparkSession, path: str):
+    """The file system that holds ``path``, and ``path`` in its own type."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def cache_folder(path: str, columns, model: str) -> str:
+    """The cache's folder for one model and choice of columns: others are never listed or read."""
+    return f"{path}/model={re.sub('[^A-Za-z0-9.]+', '-', model)}-{columns_hash([model])}/columns={columns_hash(columns)}"
+
+
+def committed_runs(spark: SparkSession, folder: str) -> list[str]:
+    """Folders of the runs that were written whole; a run that failed left no mark and is not read."""
+    files, marks = _files(spark, f"{folder}/_committed")
+    return sorted(f"{folder}/run={f.getPath().getName()}" for f in files.listStatus(marks)) if files.exists(marks) else []
+
+
+def _runs_read(spark: SparkSession, folder: str, runs: list[str]) -> DataFrame:
+    return spark.read.option("basePath", folder).parquet(*runs)
+
+
+def _bit(*names: str):
+    """(word, mask) of a key's place in the filter."""
+    place = F.pmod(F.xxhash64(*names), F.lit(FILTER_BITS))
+    return F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+
+
+def bloom_words(held: DataFrame, *names: str) -> DataFrame:
+    """``word``, ``bits``: the filter over the keys of ``held``, at most FILTER_BITS / 64 rows."""
+    word, mask = _bit(*names)
+    return held.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+
+
+def missing_rows(wanted: DataFrame, held: DataFrame, *names: str) -> DataFrame:
+    """Rows of ``wanted`` whose key ``held`` lacks.
+
+    Rows that the filter rules out go on where they are, with their texts. Only the keys of
+    the others are joined, and the texts of those it let through wrongly are fetched.
+    """
+    word, mask = _bit(*names)
+    tested = wanted.withColumn("_word", word).withColumn("_mask", mask)
+    tested = tested.join(F.broadcast(bloom_words(held, *names)), F.col("_word") == F.col("word"), "left")
+    unseen = F.coalesce(F.col("bits").bitwiseAND(F.col("_mask")), F.lit(0)) == 0
+    surely = tested.where(unseen).select(*wanted.columns)
+    perhaps = tested.where(~unseen).select(*wanted.columns)
+    late = perhaps.select(*names).join(held.select(*names), list(names), "left_anti").distinct()
+    return surely.unionByName(perhaps.join(late, list(names), "left_semi"))
 
 
 def cached_vectors(
@@ -64,25 +113,28 @@ def cached_vectors(
     """Vectors of the catalogue, encoding only rows the cache does not hold.
 
     A cached row counts when id, model, column choice and text all match, so rows
-    whose text or columns changed are encoded again. New rows are appended to the
-    Parquet cache at ``path``.
+    whose text or columns changed are encoded again. The Parquet cache at ``path`` has a
+    folder for each model and choice of columns, and in it one for each run that added
+    rows. A run is marked when it has been written whole and is read from then on. Runs
+    that added a key at the same time hold the same vector for it; the run with the
+    smallest name gives it. Rows with a null id have no vector.
     """
     spark = catalog.sparkSession
-    key = ["_id", "model", "columns_hash", "text_hash"]
+    folder, key = cache_folder(path, columns, model), ["_id", "text_hash"]
     text = encode_text(*[F.col(c) for c in columns])
-    wanted = catalog.select(
-        "_id",
-        F.lit(model).alias("model"),
-        F.lit(columns_hash(columns)).alias("columns_hash"),
-        F.sha2(text, 256).alias("text_hash"),
-        text.alias("text"),
-    )
-    missing = wanted
-    if _stored(spark, path):
-        missing = wanted.join(spark.read.parquet(path).select(*key), key, "left_anti")
-    encoder(missing).select(*key, "vector").write.mode("append").parquet(path)
-    # A retried append can repeat a key; all its copies hold the same vector.
-    ours = (F.col("model") == model) & (F.col("columns_hash") == columns_hash(columns))
-    cache = spark.read.parquet(path).where(ours).groupBy(*key).agg(F.first("vector").alias("vector"))
+    wanted = catalog.where(F.col("_id").isNotNull()).select("_id", F.sha2(text, 256).alias("text_hash"), text.alias("text"))
+    runs = committed_runs(spark, folder)
+    missing = missing_rows(wanted, _runs_read(spark, folder, runs), *key) if runs else wanted
+    run, added = uuid.uuid4().hex, Observation()
+    new = encoder(missing.dropDuplicates(key)).select(*key, "vector")
+    new.observe(added, F.count(F.lit(1)).alias("rows")).write.parquet(f"{folder}/run={run}")
+    # without earlier runs an empty one is kept too, so that there is a table to read
+    if added.get["rows"] or not runs:
+        files, mark = _files(spark, f"{folder}/_committed/{run}")
+        files.createNewFile(mark)
+    cache = _runs_read(spark, folder, committed_runs(spark, folder))
+    # which run gives a key is found on the keys; vectors are only joined
+    held = cache.select(*key, "run").groupBy(*key).agg(F.min("run").alias("run"))
+    given = wanted.select(*key).join(held, key)
     names = F.array(*[F.lit(c) for c in columns])
-    return cache.join(wanted.select(*key), key).select("_id", "vector", names.alias("embedding_keys"))
+    return cache.join(given, [*key, "run"]).select("_id", "vector", names.alias("embedding_keys"))

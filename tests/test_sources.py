@@ -94,6 +94,56 @@ def test_cache_encodes_only_what_is_missing(spark, tmp_path):
     assert first == again and changed[0] == first[0] and changed[1] != first[1] and set(changed) == {0, 1, 2}
 
 
+def courses(spark, ids, word="text"):
+    return spark.createDataFrame([(i, f"{word} {i}", "d") for i in ids], "_id bigint, name string, description string")
+
+
+def test_cache_reads_only_its_own_model_and_aggregates_no_vectors(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    for model in ("one model", "another/model"):
+        vectors.cached_vectors(courses(spark, range(20)), path, model=model).count()
+    found = vectors.cached_vectors(courses(spark, range(30)), path, model="one model")
+    assert found.count() == 30
+    folder = vectors.cache_folder(path, ("name", "description"), "one model")
+    assert len(vectors.committed_runs(spark, folder)) == 2
+    assert all(folder in f for f in found.inputFiles() if path in f)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in line and "vector" in line for line in plan.splitlines())
+    # nothing new: no run is added
+    assert vectors.cached_vectors(courses(spark, range(30)), path, model="one model").count() == 30
+    assert len(vectors.committed_runs(spark, folder)) == 2
+
+
+def test_cache_skips_runs_that_were_not_committed_and_repeats(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    vectors.cached_vectors(courses(spark, [1, 2, 2]), path).count()
+    folder = vectors.cache_folder(path, ("name", "description"), vectors.HASH_MODEL)
+    (run,) = vectors.committed_runs(spark, folder)
+    # a run that failed, and one that added the same keys at the same time
+    spark.createDataFrame([(9, "x", [1.0])], "_id bigint, text_hash string, vector array<float>").write.parquet(f"{folder}/run=broken")
+    spark.read.parquet(run).write.parquet(f"{folder}/run=zz")
+    (tmp_path / "cache").joinpath(*folder[len(path) + 1 :].split("/"), "_committed", "zz").touch()
+    assert len(vectors.committed_runs(spark, folder)) == 2
+    found = vectors.cached_vectors(courses(spark, [1, 2, 3]), path)
+    assert sorted(r._id for r in found.collect()) == [1, 2, 3]
+
+
+def test_cache_of_an_empty_catalogue(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    assert vectors.cached_vectors(courses(spark, [1]).limit(0), path).count() == 0
+    assert vectors.cached_vectors(courses(spark, [1]), path).count() == 1
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_filter_loses_no_missing_row(spark, monkeypatch, bits):
+    monkeypatch.setattr(vectors, "FILTER_BITS", bits)  # 64: full, so that every key goes through the join
+    held = spark.range(0, 3_000).selectExpr("id AS _id", "cast(id AS string) AS text_hash")
+    wanted = spark.range(2_000, 5_000).selectExpr("id AS _id", "cast(id AS string) AS text_hash", "'t' AS text")
+    found = vectors.missing_rows(wanted, held, "_id", "text_hash").collect()
+    assert sorted(r._id for r in found) == list(range(3_000, 5_000))
+    assert vectors.bloom_words(held, "_id", "text_hash").count() <= bits // 64
+
+
 def test_embed_and_store(spark, raw, tmp_path):
     table = spark.createDataFrame([(1, "kept"), (50, "other")], "_id bigint, note string")
     out = {r._id: r for r in embed_and_store(catalog.normalize(raw), table, str(tmp_path / "c")).collect()}
