@@ -30,7 +30,7 @@ def test_equals_sql(spark, con, name):
     assert rows(df.columns, df.collect()) == rows(columns, cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["kmeans_fixed", "hierarchical_clusters"])
+@pytest.mark.parametrize("name", ["kmeans_fixed", "hierarchical_clusters", "agglomerative_clusters"])
 def test_every_vector_gets_one_label(spark, con, name):
     got = entry.queries()[name](spark, FOLDER).collect()
     n = con.execute("SELECT count(*) FROM embeddings").fetchall()[0][0]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gapweave.functions.scores import quality_score, weighted_score
 from gapweave.functions.text import clean_text, duration_hours, record_text
-from gapweave.operators import clustering, dedup, gap, keyed, lloyd, markdown, quantized, records, similarity
+from gapweave.operators import clustering, dedup, gap, keyed, lloyd, markdown, quantized, records, similarity, ward
 from gapweave.operators.lineage import checkpointed, shared_folder
 from gapweave.operators.ranking import best_per_group
 from gapweave.plans import improve, interactions, recommend
@@ -564,6 +564,11 @@ def hierarchical_clusters(spark, sf):
     return clustering.hierarchical(t.points(spark, sf), 5).select("id", "cluster")
 
 
+@query
+def agglomerative_clusters(spark, sf):
+    return ward.ward(t.points(spark, sf), 5)
+
+
 @query
 def spectral_clusters(spark, sf):
     return clustering.spectral(t.points(spark, sf), 5)
