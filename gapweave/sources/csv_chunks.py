@@ -13,7 +13,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from gapweave.operators.lineage import checkpointed
+
 FILE, BLOCK = "file", "block"
+#: Splits up to so many (a row of a path and some numbers each) are broadcast, more are joined by a shuffle.
+BROADCAST_SPLITS = 100_000
 
 
 def _patterns(sep: str) -> tuple[re.Pattern, re.Pattern]:
@@ -130,7 +134,9 @@ def records(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     tail = F.when(F.col("h") == 0, F.col("f0") == 1).otherwise((F.col("f1") == 1) & F.col("begun"))
     chunk = chunk.withColumn("owner", F.last(F.when(tail, F.col(BLOCK)), ignorenulls=True).over(before))
     found = lines.mapInArrow(cut, "file string, block long, h int, role string, place long, record string")
-    found = found.join(chunk.select(FILE, BLOCK, "h", "owner"), [FILE, BLOCK, "h"])
+    starts = checkpointed(chunk.select(FILE, BLOCK, "h", "owner"))
+    few = starts.count() <= BROADCAST_SPLITS
+    found = found.join(F.broadcast(starts) if few else starts, [FILE, BLOCK, "h"])
     first = (F.col(BLOCK) == 0) & (F.col("place") == 0)
     whole = found.where("role = 'whole'").select(FILE, first.alias("first"), "record")
     parts = found.where("role != 'whole'").select(

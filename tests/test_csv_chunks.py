@@ -50,7 +50,9 @@ def test_equal_to_the_multi_line_reader_at_any_split(spark, tmp_path, small_spli
     assert len(ours) == 300 and ours == theirs
 
 
-def test_other_separators(spark, tmp_path, small_splits):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_other_separators(spark, tmp_path, small_splits, monkeypatch, most):
+    monkeypatch.setattr(csv_chunks, "BROADCAST_SPLITS", most)
     path = written(tmp_path, 120, 3, "\t")
     small_splits(60)
     ours, theirs = both(spark, path, "\t")
