@@ -13,6 +13,8 @@ SIMILARITY = 0.8
 RADIUS = 16
 #: A benchmark with up to so many shingles is broadcast (about 32 bytes each); a larger one is joined by shuffle.
 BROADCAST_SHINGLES = 1_000_000
+#: Hash slots of documents that are broadcast to leave others out of a shuffle.
+SLOTS = 1 << 21
 
 
 def words_of(text: Column) -> Column:
@@ -41,11 +43,33 @@ def _blocks(radius: int) -> Column:
     return F.array(*[F.struct(F.lit(j).alias("block"), part(a, b).alias("value")) for j, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))])
 
 
+def _starts(size: int, similarity: float) -> Column:
+    """Spans (low, high) of the starts of all windows that can reach an item of n_words words; no two spans overlap.
+
+    places: where the document's shingles are those of an item of that length, in order. Windows of
+    a and b shingles with the similarity share at least similarity * (a + b) / (1 + similarity),
+    by occurrences, so a window holds as many places. A start belongs to the first place it holds.
+    """
+    own = F.least("total", "n_words") - size + 1
+    need = F.greatest(F.lit(1), F.ceil(similarity * (own + F.col("n_words") - size + 1) / (1 + similarity) - 1e-6).cast("int"))
+    last = F.greatest(F.lit(0), F.col("total") - F.col("n_words"))
+
+    def span(i):
+        low = F.greatest(F.lit(0), F.get("places", i + need - 1) - own + 1, F.coalesce(F.get("places", i - 1) + 1, F.lit(0)))
+        return F.struct(low.alias("low"), F.least(F.get("places", i), last).alias("high"))
+
+    spans = F.transform(F.sequence(F.lit(0), F.size("places") - need), span)
+    found = F.filter(spans, lambda x: x.getField("low") <= x.getField("high"))
+    return F.when(F.size("places") >= need, found)
+
+
 def _with_multiset(df: DataFrame, name: str, words: str, size: int) -> DataFrame:
     """df with the shingles of words as text, each with the number of its earlier occurrences: a multiset as a set."""
     text = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.concat_ws(" ", F.slice(words, i, size)))
     earlier = lambda s, i: F.size(F.filter(F.slice("_text", 1, i), lambda x: x == s)).cast("string")
-    numbered = F.transform("_text", lambda s, i: F.concat(s, F.lit("\n"), earlier(s, i)))
+    # counting earlier ones takes a square of the words, so only where some repeat
+    again = F.size(F.array_distinct("_text")) < F.size("_text")
+    numbered = F.transform("_text", lambda s, i: F.concat(s, F.lit("\n"), F.when(again, earlier(s, i)).otherwise("0")))
     return once(once(df, "_text", text), name, numbered).drop("_text")
 
 
@@ -60,8 +84,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, simil
     the Jaccard similarity of their shingles of size words, weighted by occurrences; an item
     is found where a window of as many words as the item reaches it.
 
-    Windows that share no shingle with an item cannot reach it, so windows are laid where a
-    shingle of the document is one of an item's, aligned with its place in the item. Each
+    All windows count, wherever they start. One with too few shingles that are any item's of
+    its length cannot reach the similarity and is left out (see _starts); every other one
     gets a SimHash; items of the same length within radius are found by joining radius + 1
     blocks of the fingerprints, which loses none of them. Similar pairs can be farther apart:
     those are found by the shingles of the item that fewest items hold, so many that no
@@ -80,25 +104,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, simil
         .withColumn("n_words", F.size("item_words"))
     )
     items = store(items.withColumn("fingerprint", fingerprint("item_shingles")).withColumn("item", F.monotonically_increasing_id()))
-    marks = items.select("n_words", F.posexplode("item_shingles").alias("place", "shingle")).distinct()
+    marks = items.select("n_words", F.explode("item_shingles").alias("shingle")).distinct()
     fits = items.agg(F.sum(F.size("item_shingles"))).first()[0] or 0
     fits = fits <= BROADCAST_SHINGLES
 
     told = once(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), "words", words_of(text_or_empty())).drop("text")
-    # words go along only where the join moves none: a row per shingle is shuffled with its place alone
-    own = ["doc_id", "text_hash", F.size("words").alias("total")]
-    shingled = told.select(*own, *(["words"] if fits else []), F.posexplode(_shingles("words", size)).alias("at", "shingle"))
+    # no words go along: a row per shingle is joined and shuffled with its place alone
+    shingled = told.select("doc_id", "text_hash", F.size("words").alias("total"), F.posexplode(_shingles("words", size)).alias("at", "shingle"))
     anchors = shingled.join(_small(marks, fits), "shingle")
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("total") - F.col("n_words"))).alias("start")
-    window = F.slice("words", F.col("start") + 1, F.col("n_words")).alias("window")
-    placed = ["doc_id", "text_hash", "n_words", "start"]
-    if fits:
-        windows = anchors.select("doc_id", "text_hash", "words", "n_words", start).select(*placed, window).dropDuplicates(placed)
-    else:
-        laid = anchors.select("doc_id", "text_hash", "n_words", start).distinct()
-        texts = told.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "words").dropDuplicates(["_id", "_hash"])
-        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-        windows = laid.join(texts, same).select(*placed, window)
+    places = anchors.groupBy("doc_id", "text_hash", "total", "n_words").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    laid = store(places.select("doc_id", "text_hash", "n_words", F.explode(_starts(size, similarity)).alias("span")))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")  # at most SLOTS numbers are broadcast
+    asked = docs.select("doc_id", "text", slot).join(F.broadcast(laid.select(slot).distinct()), "slot", "left_semi")
+    texts = asked.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text").dropDuplicates(["_id", "_hash"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    spans = once(laid.join(texts, same), "words", words_of(text_or_empty()))
+    spans = spans.select("doc_id", "text_hash", "n_words", "words", F.explode(F.sequence("span.low", "span.high")).alias("start"))
+    windows = spans.select("doc_id", "text_hash", "n_words", "start", F.slice("words", F.col("start") + 1, F.col("n_words")).alias("window"))
     probes = store(once(once(windows, "shingles", _shingles("window", size)), "fingerprint", fingerprint("shingles")).withColumn("probe", F.monotonically_increasing_id()))
     index = items.select("item_id", "item_words", "n_words", F.col("fingerprint").alias("item_print"), F.explode(_blocks(radius)).alias("b"))
     index = index.select("item_id", "item_words", "n_words", "item_print", "b.block", "b.value")

@@ -313,6 +313,35 @@ def test_decontaminate_finds_similar_windows_beyond_the_radius(spark):
     assert sum(r.distance > decontaminate.RADIUS for r in found) > 1
 
 
+def test_decontaminate_looks_at_every_start(spark):
+    """Windows that are aligned with no shingle of the item count as well: moved halves, shifts in both directions."""
+    random = np.random.default_rng(13)
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    items, rows = [(0, words("a", 60)), (1, words("b", 100)), (2, words("r", 5) * 8 + words("s", 30))], []
+    rows.append(words("x", 7) + items[0][1][30:] + items[0][1][:30] + words("y", 9))  # halves exchanged
+    rows.append(items[1][1][40:] + items[1][1][:40])  # the same as the whole text
+    rows.append(items[0][1][2:31] + words("z", 2) + items[0][1][31:] + items[0][1][:2])
+    rows.append(words("x", 30) + items[2][1][20:] + items[2][1][:20] + words("y", 30))
+    for _ in range(12):  # parts of items in another order, with gaps
+        parts, item = [], items[random.integers(3)][1]
+        cuts = sorted(random.integers(0, len(item), 2))
+        for a, b in ((cuts[0], cuts[1]), (cuts[1], len(item)), (0, cuts[0])):
+            parts += item[a:b] + words("g", random.integers(3))
+        rows.append(words("h", random.integers(9)) + parts + words("i", random.integers(9)))
+    best = {}
+    for i, row in enumerate(rows):
+        for j, item in items:
+            for at in range(max(1, len(row) - len(item) + 1)):
+                p, q = multiset(row[at : at + len(item)]), multiset(item)
+                likeness = sum((p & q).values()) / sum((p | q).values())
+                if likeness >= 0.8 and likeness > best.get((i, j), (0, 0))[0]:
+                    best[i, j] = (likeness, at)
+    frame = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], SCHEMA)
+    benchmark = spark.createDataFrame([(j, " ".join(w)) for j, w in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontaminate.contaminated(frame, benchmark).collect()}
+    assert found == best and {(0, 0), (1, 1), (3, 2)} <= set(best)
+
+
 def test_licences(spark, docs, none):
     mit = licences.TEMPLATES["mit"]
     rows = TEXTS + [
