@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gapweave.llm.tables import discard, spread_join, store
+from gapweave.llm.tables import discard, spread_join, store, temporary
 
 
 def _roots(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,7 @@ def _roots(edges: DataFrame) -> DataFrame:
             return step
 
 
+@temporary
 def components(edges: DataFrame) -> DataFrame:
     """node, component: the smallest node that can be reached, for every node of edges (a, b).
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gapweave.llm.arrays import FOLD, SPACES, U64, mix, shingle_sets, words
 from gapweave.llm.components import components
-from gapweave.llm.tables import give_back, map_batches, spread_join, store
+from gapweave.llm.tables import discard, give_back, map_batches, spread_join, store, temporary
 
 WORDS = 5
 PERCENT = 80
@@ -262,6 +262,7 @@ def _in_slots(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.select("*", _slot("doc_id")).join(slots, "slot", how).drop("slot")
 
 
+@temporary
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets reach the similarity. Of documents in no pair hardly any is shuffled."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -290,16 +291,20 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+@temporary
 def _open(matches: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
     """key, rep, class: the members of keys whose members lie in several classes.
 
-    Members of a key hang together through their centers, so a key whose matches all lie in
-    one class is done. Of keys with the same members one is enough.
+    met: the pairs of matches that are not known to be linked. Members of a key hang together
+    through their centers, so a key whose matches all lie in one class is done. Of keys with
+    the same members one is enough.
     """
     of = lambda name, label: labels.select(F.col("node").alias(name), F.col("component").alias(label))
-    left = store(spread_join(met, of("member", "x"), "member", "left"))
+    left = spread_join(met, of("member", "x"), "member", "left")
+    # a class is named by its smallest member: a center of that name lies in it
+    left = store(left.withColumn("x", F.coalesce("x", "member")).where("x != center"))
     both = spread_join(left, of("center", "y"), "center", "left")
-    apart = store(both.where(F.coalesce("x", "member") != F.coalesce("y", "center")).select("member", "center"))
+    apart = store(both.where(F.col("x") != F.coalesce("y", "center")).select("member", "center"))
     if not apart.limit(1).count():
         return apart.select(F.col("member").alias("key"), F.col("member").alias("rep"), F.col("member").alias("class"))
     open_keys = store(matches.join(apart, ["member", "center"]).select("key").distinct())
@@ -309,9 +314,10 @@ def _open(matches: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
     classed = store(classed.select("key", "rep", F.coalesce("class", "rep").alias("class")))
     told = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit("again"))).alias("y")]
     kept = store(classed.groupBy("key").agg(*told).groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"))
-    return store(spread_join(classed, kept, "key"))
+    return spread_join(classed, kept, "key")
 
 
+@temporary
 def _stars(some: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of each open key's members with one of them, chosen by a hash, where their classes differ."""
     chosen = F.min_by(F.struct(F.col("rep").alias("center"), F.col("class").alias("at")), F.xxhash64("rep", F.lit(turn)))
@@ -329,6 +335,7 @@ def long_sketch(shingles: np.ndarray) -> bytes:
     return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+@temporary
 def _long_sketches(docs: DataFrame, known: DataFrame, some: DataFrame, size: int) -> DataFrame:
     """rep, sketch: the long sketches of the open members above LONG_SET."""
     wanted = some.select(F.col("rep").alias("doc_id")).distinct()
@@ -342,9 +349,10 @@ def _long_sketches(docs: DataFrame, known: DataFrame, some: DataFrame, size: int
     found = map_batches(rows.select("doc_id", "text"), sketch, "rep long, sketch binary")
     # several texts of one document may differ: it then goes without
     one = found.groupBy("rep").agg(F.count(F.lit(1)).alias("texts"), F.first("sketch").alias("sketch"))
-    return store(one.where("texts = 1").drop("texts"))
+    return one.where("texts = 1").drop("texts")
 
 
+@temporary
 def _further(docs: DataFrame, some: DataFrame, known: DataFrame, percent: int, size: int, every: bool) -> DataFrame:
     """Pairs of open members of one key that lie in different classes and that their sketches allow.
 
@@ -451,6 +459,7 @@ class _LongSketches:
         return out
 
 
+@temporary
 def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
 
@@ -493,16 +502,18 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     matches = store(block_matches(chosen, bands, int(totals[1] or 0), size))
     met = store(matches.select("member", "center").distinct())
     pairs = store(met.select(*_ordered("member", "center")).where("a != b").distinct())
-    edges = store(_verified(docs, store(_allowed(pairs, known, percent)), percent, size).union(joint))
+    edges = store(_verified(docs, _allowed(pairs, known, percent), percent, size).union(joint))
     labels = components(edges)
     # other centers for very popular keys, while they still join many classes; then the most alike of any two classes, then all that is left
-    some = _open(matches, met, labels)
+    unlinked = met.select("*", *_ordered("member", "center")).join(edges.select("a", "b"), ["a", "b"], "left_anti")
+    unlinked = store(unlinked.select("member", "center"))
+    some = _open(matches, unlinked, labels)
     largest = some.groupBy("key").count().agg(F.max("count")).first()[0] or 0
     turn = 1 if largest > TILE else TURNS + 1
     while turn <= TURNS + 2 and largest:
         tried = _stars(some, turn) if turn <= TURNS else _further(docs, some, known, percent, size, turn > TURNS + 1)
         tried = store(tried.join(pairs, ["a", "b"], "left_anti"))
-        links = store(_verified(docs, store(_allowed(tried, known, percent)), percent, size))
+        links = _verified(docs, _allowed(tried, known, percent), percent, size)
         found = links.count()
         few = turn <= TURNS and found * 50 < some.select("rep").distinct().count()
         if turn <= TURNS + 1:
@@ -511,7 +522,8 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
             edges = store(edges.union(links))
             labels = components(edges)
             if turn <= TURNS + 1:
-                some = _open(matches, met, labels)
+                discard(some)
+                some = _open(matches, unlinked, labels)
                 largest = some.limit(1).count()
         turn = TURNS + 1 if few else turn + 1
 
@@ -523,6 +535,7 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     return rows.select("doc_id", "n_shingles").join(label, "doc_id", "left")
 
 
+@temporary
 def _allowed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches allow the similarity, first the short ones, then block by block.
 

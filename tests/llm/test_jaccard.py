@@ -1,12 +1,13 @@
 """The similarity join on long texts, popular lines and repeated ids, against all pairs."""
 
+import os
 import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from gapweave.llm import jaccard_join
+from gapweave.llm import jaccard_join, tables
 from gapweave.llm.arrays import U64
 from tests.llm.test_operators import SCHEMA, classes
 
@@ -78,3 +79,29 @@ def test_long_sketches_fold_to_the_short_ones():
         bits = np.bincount((s & U64(511)).astype(np.int64), minlength=512) & 1
         assert (folded[k] == np.packbits(bits.astype(np.uint8)).view(U64)).all()
     assert (folded[4] == own[4]).all()
+
+
+def test_only_the_result_stays_on_disk(spark):
+    random = np.random.default_rng(21)
+    base = [f"w{random.integers(10**6)}" for _ in range(80)]
+    rows = []
+    for i in range(300):  # one group of near copies, copies of some, and texts of their own
+        words = list(base) if i % 3 else [f"o{random.integers(10**6)}" for _ in range(30)]
+        for place in random.integers(0, len(words), i % 4):
+            words[place] = f"n{random.integers(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(400 + i, t) for i, t in rows[:40]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = f"{tables.shared_folder(spark)}/tables".removeprefix("file:")
+    held = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before, setting = held(), spark.conf.get(tables.FREE_SHUFFLES, None)
+    found = jaccard_join.jaccard_classes(frame)
+    assert len(held() - before) == 1 and spark.conf.get(tables.FREE_SHUFFLES, None) == setting
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    assert {r.doc_id: r.component_id for r in found.collect()} == label
