@@ -275,7 +275,9 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 2, digits: in
     Clusters are numbered by their smallest core id, and a border point joins the
     first cluster that reaches it.
     """
-    rows = points.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    # floats travel as they are, and are widened where they are compared
+    narrow = points.schema["vector"].dataType.simpleString() == "array<float>"
+    rows = points.select("id", F.col("vector").cast("array<float>" if narrow else "array<double>").alias("vector"))
     rows = checkpointed(rows.where(F.col("vector").isNotNull()))
     compare = _compare_near(rows, eps, digits)
     dense = _count_near(rows, eps, digits, compare).where(F.col("near") >= min_samples).select("id")

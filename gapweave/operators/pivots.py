@@ -21,6 +21,8 @@ SAMPLE_ROWS = 4096
 #: Rows of a block, unless that makes more blocks than the driver lists.
 BLOCK_ROWS = 4096
 MAX_BLOCKS = 8192
+#: Rows of the blocks that travel together, at most.
+GROUP_ROWS = 1 << 16
 #: Added to the radius against rounding, in radians.
 SLACK = 1e-6
 
@@ -56,7 +58,6 @@ class Blocks:
     """Which block each point is in, and which blocks may hold neighbours of which."""
 
     members: DataFrame  # id, block
-    partners: DataFrame  # block, other
     sizes: dict[int, int]
     pairs: list[tuple[int, int]]
 
@@ -104,30 +105,61 @@ def blocked(points: DataFrame, theta: float, rows: int, pivots: int = PIVOTS, bl
     for i, block in enumerate(names):
         near = ((low[i] - high <= theta) & (low - high[i] <= theta)).all(axis=1)
         pairs += [(block, names[j]) for j in np.flatnonzero(near)]
-    partners = spark.createDataFrame(pairs, "block long, other long")
-    return Blocks(members.select("id", "block"), partners, sizes, pairs)
+    return Blocks(members.select("id", "block"), sizes, pairs)
+
+
+def _gathered(sizes: dict[int, int], rows: int) -> dict[int, int]:
+    """Block -> number of the group it goes with: neighbours by number, of about so many rows together."""
+    group, out, held = 0, {}, 0
+    for block in sorted(sizes):
+        if held and held + sizes[block] > rows:
+            group, held = group + 1, 0
+        out[block] = group
+        held += sizes[block]
+    return out
 
 
 def against_near(left: DataFrame, right: DataFrame, work, schema: str, blocks: Blocks) -> DataFrame:
-    """``blocks.against_all`` over the pairs of blocks that may hold neighbours; each pair is one task's work.
+    """``blocks.against_all`` over the pairs of blocks that may hold neighbours.
 
+    Blocks travel in groups, so that a row is sent once for each group that holds a partner of its
+    block, not for each partner; a pair of groups is one task's work, which compares partners only.
     left and right have a row at most for each id of the blocks; the two may be the same table.
     """
     from pyspark.sql.types import StructType
 
     out_schema = StructType.fromDDL(schema)
-    partners = blocks.partners
+    spark = left.sparkSession
+    total = sum(blocks.sizes.values())
+    # groups enough for all cores, of GROUP_ROWS at most (or one block)
+    fewest = int(np.ceil(np.sqrt(2 * spark.sparkContext.defaultParallelism)))
+    group = _gathered(blocks.sizes, min(GROUP_ROWS, -(-total // fewest)))
+    partners: dict[int, list[int]] = {}
+    for a, b in blocks.pairs:
+        partners.setdefault(a, []).append(b)
+    shared = spark.sparkContext.broadcast({a: np.array(b, np.int64) for a, b in partners.items()})
+    met = {(a, group[b]) for a, found in partners.items() for b in found}  # block, group of a partner
+    of_block = spark.createDataFrame(list(group.items()), "block long, own long")
+    dealt_to = spark.createDataFrame(sorted(met), "block long, other long")
 
     def dealt(df, own, other):
         fresh = df.select(*[F.col(c).alias(c) for c in df.columns])
-        placed = fresh.join(blocks.members.select(F.col("id").alias("_id"), F.col("block").alias(own)), F.col("id") == F.col("_id")).drop("_id")
-        return placed.join(partners.select(F.col("block").alias(own), F.col("other").alias(other)), own)
+        placed = fresh.join(blocks.members.select(F.col("id").alias("_id"), F.col("block").alias("_block")), F.col("id") == F.col("_id")).drop("_id")
+        where = of_block.join(dealt_to, "block").select(F.col("block").alias("_block"), F.col("own").alias(own), F.col("other").alias(other))
+        return placed.join(F.broadcast(where), "_block")
 
     def pair(left_table: pa.Table, right_table: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        helpers = ["_left", "_right"]
-        found = list(work(iter(left_table.drop_columns(helpers).to_batches()), right_table.drop_columns(helpers)))
+        helpers = ["_left", "_right", "_block"]
+        theirs, mine = (t.column("_block").to_numpy() for t in (right_table, left_table))
+        left_table, right_table = left_table.drop_columns(helpers).combine_chunks(), right_table.drop_columns(helpers).combine_chunks()
+        found = []
+        for block in np.unique(mine).tolist():
+            near = np.flatnonzero(np.isin(theirs, shared.value[block]))
+            if len(near):
+                some = right_table if len(near) == len(theirs) else right_table.take(pa.array(near))
+                found += work(iter(left_table.take(pa.array(np.flatnonzero(mine == block))).to_batches()), some)
         return pa.Table.from_batches(found, to_arrow_schema(out_schema))
 
     lefts, rights = dealt(left, "_left", "_right"), dealt(right, "_right", "_left")

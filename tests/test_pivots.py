@@ -50,3 +50,19 @@ def test_points_without_a_direction(spark, monkeypatch):
     mixed = points.unionByName(spark.createDataFrame([(5, [1.0, 0.0]), (6, [1.0, 0.01])], "id long, vector array<double>"))
     assert {r.id: r.cluster for r in clustering.dbscan(mixed, 0.5, 2).collect()} == {1: -1, 2: -1, 3: -1, 4: -1, 5: 0, 6: 0}
     assert clustering.dbscan(points.limit(0)).count() == 0
+
+
+def test_a_row_is_sent_once_for_a_group_of_blocks(spark):
+    import pyarrow as pa
+
+    points = np.random.default_rng(4).normal(size=(1_500, 5))
+    rows = frame(spark, points)
+    found = pivots.blocked(rows, 0.9, len(points), block_rows=64)
+
+    def seen(batches, right):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([right.num_rows] * batch.num_rows, pa.int64())], names=["id", "near"])
+
+    met = pivots.against_near(rows, rows, seen, "id bigint, near bigint", found).collect()
+    assert sum(r.near for r in met) == found.compared()  # partners only
+    assert len(met) <= 16 * len(points) < sum(found.sizes[a] for a, _ in found.pairs)
