@@ -21,7 +21,7 @@ FREQUENT = 1 << 16
 CACHE = 1 << 17
 LONGEST = 48
 #: Bytes of text whose pieces are looked up together (or one longer text), and pieces encoded together.
-LOT_BYTES = 1 << 20
+LOT_BYTES = 1 << 18
 LOT = 512
 
 _tokenizers: dict = {}
