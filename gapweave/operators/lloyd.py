@@ -24,8 +24,6 @@ ROUNDS = 300
 TOLERANCE = 1e-4
 #: Sums that a task holds before it sends them.
 HELD = 4096
-#: Bytes of vectors that one row of the packed table holds, unless one vector is longer.
-PACK_BYTES = 1 << 19
 
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -46,38 +44,14 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return found
 
 
-def _packed(points: DataFrame) -> DataFrame:
-    """marks, vectors: (mark, vector) rows as the bytes of many rows' numbers, so that each pass over them decodes no lists."""
-
-    def pack(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows, marks = to_matrix(batch.column("vector")), batch.column("mark").to_numpy()
-            step = max(1, PACK_BYTES // max(1, 8 * rows.shape[1]))
-            for low in range(0, len(rows), step):
-                yield pa.record_batch(
-                    {"width": [rows.shape[1]], "marks": pa.array([marks[low : low + step].tobytes()], pa.binary()), "vectors": pa.array([rows[low : low + step].tobytes()], pa.binary())}
-                )
-
-    return points.mapInArrow(pack, "width long, marks binary, vectors binary")
-
-
-def _unpacked(batches):
-    """(marks, matrix) of each row of a packed table."""
-    for batch in batches:
-        for width, marks, vectors in zip(*(batch.column(c) for c in ("width", "marks", "vectors")), strict=True):
-            marks = np.frombuffer(marks.as_buffer(), np.int64)
-            yield marks, np.frombuffer(vectors.as_buffer(), np.float64).reshape(len(marks), width.as_py())
-
-
 def _drawn(points: DataFrame, chosen: np.ndarray, draws: int, turn: int) -> np.ndarray:
     """The vectors of ``draws`` points, drawn without replacement by squared distance to ``chosen``."""
     shared = points.sparkSession.sparkContext.broadcast(chosen)
 
     def draw(batches):
-        best, held = None, shared.value
-        for marks, rows in _unpacked(batches):
+        best = None
+        for batch in batches:
+            rows, marks, held = to_matrix(batch.column("vector")), batch.column("mark").to_numpy(), shared.value
             weights = _gaps(rows, held).min(axis=1) if len(held) else np.ones(len(rows))
             some = np.flatnonzero(weights > 0)
             keys = -np.log(_uniform(marks[some], turn)) / weights[some]
@@ -98,8 +72,8 @@ def _weights(points: DataFrame, candidates: np.ndarray) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(len(shared.value), np.int64)
-        for _, rows in _unpacked(batches):
-            total += np.bincount(nearest(rows, shared.value), minlength=len(total))
+        for batch in batches:
+            total += np.bincount(nearest(to_matrix(batch.column("vector")), shared.value), minlength=len(total))
         yield pa.record_batch({"place": np.arange(len(total)), "n": total})
 
     out = np.zeros(len(candidates))
@@ -149,7 +123,10 @@ def _sums(points: DataFrame, centres: dict[int, np.ndarray], bits: int) -> dict[
     def add(batches):
         totals = {k: np.zeros(c.shape, np.int64) for k, c in shared.value.items()}
         counts = {k: np.zeros(len(c), np.int64) for k, c in shared.value.items()}
-        for _, rows in _unpacked(batches):
+        for batch in batches:
+            rows = to_matrix(batch.column("vector"))
+            if not len(rows):
+                continue
             whole = np.rint(np.ldexp(rows, bits)).astype(np.int64)
             for k, c in shared.value.items():
                 labels = nearest(rows, c)
@@ -185,10 +162,12 @@ def _extent(points: DataFrame) -> tuple[int, float, float]:
     """Rows, largest absolute value and mean variance of the vectors' places."""
 
     def measure(batches):
-        for _, rows in _unpacked(batches):
-            yield pa.record_batch(
-                {"n": [len(rows)], "peak": [float(np.abs(rows).max())], "total": _lists(rows.sum(axis=0)[None]), "squares": [float((rows * rows).sum())]}
-            )
+        for batch in batches:
+            rows = to_matrix(batch.column("vector"))
+            if len(rows):
+                yield pa.record_batch(
+                    {"n": [len(rows)], "peak": [float(np.abs(rows).max())], "total": _lists(rows.sum(axis=0)[None]), "squares": [float((rows * rows).sum())]}
+                )
 
     def merge(table: pa.Table) -> pa.Table:
         n = int(table.column("n").to_numpy().sum())
@@ -197,20 +176,19 @@ def _extent(points: DataFrame) -> tuple[int, float, float]:
         return pa.table({"n": pa.array([n], pa.int64()), "peak": [float(table.column("peak").to_numpy().max())], "spread": [float(max(spread, 0.0))]})
 
     parts = points.mapInArrow(measure, "n long, peak double, total array<double>, squares double")
-    found = parts.groupBy().applyInArrow(merge, "n long, peak double, spread double").first()  # a row per PACK_BYTES of vectors
+    found = parts.groupBy().applyInArrow(merge, "n long, peak double, spread double").first()  # a row per batch
     return (found.n, found.peak, found.spread) if found else (0, 0.0, 0.0)
 
 
 def fits(points: DataFrame, sizes: list[int], seed: int = 0) -> dict[int, np.ndarray]:
     """Centres of a k-means clustering of (id, vector) for each of ``sizes``; fewer than k where fewer vectors differ.
 
-    Rows without a vector are left out. A packed copy of the table is stored and read about DRAW_ROUNDS + rounds times.
+    Rows without a vector are left out. The table is read about DRAW_ROUNDS + rounds times: store it first.
     Clusterings that have not settled after ``ROUNDS`` rounds are named in a warning.
     """
     rows = points.where(F.col("vector").isNotNull()).select(
         F.xxhash64("id", F.lit(seed)).alias("mark"), F.col("vector").cast("array<double>").alias("vector")
     )
-    rows = checkpointed(_packed(rows))
     n, peak, spread = _extent(rows)
     if not n or not sizes:
         return {k: np.zeros((0, 0)) for k in sizes}
