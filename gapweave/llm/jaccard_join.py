@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapweave.llm.arrays import FOLD, SPACES, U64, mix, shingle_sets, words
 from gapweave.llm.components import components
@@ -27,6 +27,8 @@ SEGMENT_KEYS = 1 << 18
 SKETCH = [f"s{k}" for k in range(8)]
 #: A byte for each block of the sketch, in a set's own band and in the next one.
 CODES = ["own", "following"]
+#: How many keys of an even and of an odd band a set may do without, as it shares more with each linked one.
+MORE = ["even_more", "odd_more"]
 #: Rounds with other centers at most, before the rest is compared pair by pair.
 TURNS = 8
 #: Members of one block that are compared at once.
@@ -86,7 +88,7 @@ def block_keys(shingles: np.ndarray, band: int, bands: Bands) -> np.ndarray:
 
     Of k blocks at least k - differ are equal in a linked pair. Empty blocks go unused unless
     they are more than spare: one of the equal blocks of a pair is then neither empty nor
-    unused, in the member with fewer.
+    unused, in the member with fewer. Bit 32 tells whether the band is odd.
     """
     k = int(bands.blocks[band])
     number, code = _blocks(shingles, k)
@@ -94,7 +96,8 @@ def block_keys(shingles: np.ndarray, band: int, bands: Bands) -> np.ndarray:
         full = np.zeros(k, U64)
         full[number] = code
         number, code = np.arange(k), full
-    return mix(code ^ mix(number.astype(U64) + U64((band + 1) << 32)))
+    keys = mix(code ^ mix(number.astype(U64) + U64((band + 1) << 32)))
+    return keys & ~U64(1 << 32) | U64((band & 1) << 32)
 
 
 def block_bytes(shingles: np.ndarray, band: int, bands: Bands) -> bytes:
@@ -105,14 +108,23 @@ def block_bytes(shingles: np.ndarray, band: int, bands: Bands) -> bytes:
     return out.tobytes()
 
 
+def shared_more(codes: bytes, band: int, bands: Bands) -> int:
+    """Keys beyond two that the set with these block bytes shares in this band with every linked one, at least.
+
+    Of a linked pair spare + 1 blocks are equal, and at most as many of them are empty as this set has
+    empty ones. One key is left aside, should two of a set's keys have the same name.
+    """
+    return max(0, int(bands.spare[band]) - codes.count(0) - 1)
+
+
 def sketches(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """For every row doc_id, n_shingles, set_a, set_b (128 bits that equal sets share), a short parity sketch, and a
-    byte per block of the sketches of its own band and of the next."""
+    """For every row doc_id, n_shingles, set_a, set_b (128 bits that equal sets share), a short parity sketch, a byte
+    per block of the sketches of its own band and of the next, and shared_more of the even and the odd one of the two."""
     bands = Bands(percent, 1)
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = batch.num_rows
-        codes = [[b""] * rows, [b""] * rows]
+        codes, more = [[b""] * rows, [b""] * rows], np.zeros((rows, 2), np.int32)
         n, sets, parity = np.zeros(rows, np.int64), np.zeros((rows, 2), U64), np.zeros((rows, len(SKETCH)), np.int64)
         r = 0
         for part in words(batch.column(1), SPACES, FOLD):
@@ -123,14 +135,17 @@ def sketches(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Data
                 parity[r] = np.packbits(bits.astype(np.uint8)).view(np.int64)
                 if len(shingles):
                     band = bands.reach(len(shingles)).of(len(shingles))
-                    codes[0][r], codes[1][r] = (block_bytes(shingles, b, bands) for b in (band, band + 1))
+                    for k, b in enumerate((band, band + 1)):
+                        codes[k][r] = block_bytes(shingles, b, bands)
+                        more[r, b & 1] = shared_more(codes[k][r], b, bands)
                 r += 1
         columns = [batch.column(0), pa.array(n), *(pa.array(sets[:, k].view(np.int64)) for k in (0, 1))]
         columns += [pa.array(np.ascontiguousarray(parity[:, k])) for k in range(len(SKETCH))]
-        columns += [pa.array(x, pa.binary()) for x in codes]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", *SKETCH, *CODES])
+        columns += [pa.array(x, pa.binary()) for x in codes] + [pa.array(np.ascontiguousarray(more[:, k])) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", *SKETCH, *CODES, *MORE])
 
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, " + ", ".join([f"{s} long" for s in SKETCH] + [f"{c} binary" for c in CODES])
+    kinds = [f"{s} long" for s in SKETCH] + [f"{c} binary" for c in CODES] + [f"{m} int" for m in MORE]
+    schema = "doc_id long, n_shingles long, set_a long, set_b long, " + ", ".join(kinds)
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), sketch, schema)
 
 
@@ -143,7 +158,7 @@ def _runs(keys: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _name(bucket: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """The number of a key in the whole join."""
+    """The number of a key in the whole join. It is odd for odd bands."""
     return bucket.astype(np.int64) << 32 | rest.astype(np.int64)
 
 
@@ -182,7 +197,7 @@ def _block_rows(bands: Bands, buckets: int, size: int):
         )
 
     def run(batches):
-        keys, members, count, seen = [], [], 0, {}
+        keys, members, count, seen = [], [], 0, set()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             r = 0
@@ -192,10 +207,10 @@ def _block_rows(bands: Bands, buckets: int, size: int):
                     r += 1
                     if not len(shingles):
                         continue
-                    same = (len(shingles), int(mix(shingles).sum(dtype=U64)))
-                    if same in seen:  # an equal set of this segment has sent these keys
+                    same = (doc, len(shingles), int(mix(shingles).sum(dtype=U64)))
+                    if same in seen:  # an equal row of this segment has sent these keys
                         continue
-                    seen[same] = doc
+                    seen.add(same)
                     band = bands.of(len(shingles))
                     for b in (band, band + 1):
                         found = block_keys(shingles, b, bands)
@@ -204,7 +219,7 @@ def _block_rows(bands: Bands, buckets: int, size: int):
                         count += len(found)
                     if count >= SEGMENT_KEYS:
                         yield from flush(keys, members)
-                        keys, members, count, seen = [], [], 0, {}
+                        keys, members, count, seen = [], [], 0, set()
             give_back()
         if keys:
             yield from flush(keys, members)
@@ -256,10 +271,10 @@ def _slot(name: str) -> Column:
     return F.pmod(F.xxhash64(name), F.lit(SLOTS)).alias("slot")
 
 
-def _in_slots(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs whose id's hash slot is (left_semi) or is not (left_anti) one of ids'. At most SLOTS numbers are broadcast."""
+def _in_slots(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+    """docs whose key's hash slot is (left_semi) or is not (left_anti) that of a doc_id of ids. At most SLOTS numbers are broadcast."""
     slots = F.broadcast(ids.select(_slot("doc_id")).distinct())
-    return docs.select("*", _slot("doc_id")).join(slots, "slot", how).drop("slot")
+    return docs.select("*", _slot(key)).join(slots, "slot", how).drop("slot")
 
 
 @temporary
@@ -291,9 +306,45 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _needed(classed: DataFrame, known: DataFrame) -> DataFrame:
+    """key, rep, class without the most popular keys of each rep, as many as it may do without (MORE).
+
+    Keys are ordered by their members here, then by number. Of the c keys that a linked pair shares, the rarest
+    comes before c - 1 others in the order of either member, so neither leaves it out. A set that meets others only
+    in a few popular keys goes without any.
+    """
+    popular = store(classed.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    # a document of several sets keeps all its keys
+    alone = known.groupBy("rep").agg(F.count(F.lit(1)).alias("sets"), *[F.max(m).alias(m) for m in MORE]).where("sets = 1").drop("sets")
+    held = store(spread_join(classed, popular, "key"))
+    bounded = spread_join(held, alone, "rep", "left")
+    odd = F.col("key").bitwiseAND(F.lit(1))
+    free = F.coalesce(F.when(odd == 1, F.col(MORE[1])).otherwise(F.col(MORE[0])), F.lit(0))
+    bounded = store(bounded.select("key", "rep", "class", "n", odd.alias("odd"), free.alias("free")))
+    place = F.row_number().over(Window.partitionBy("rep", "odd").orderBy(F.desc("n"), F.desc("key")))
+    ranked = bounded.where("free > 0").withColumn("place", place).where("place > free")
+    columns = ["key", "rep", "class"]
+    return bounded.where("free = 0").select(columns).union(ranked.select(columns))
+
+
+def _apart(classed: DataFrame) -> DataFrame:
+    """The members of keys that lie in several classes, of keys with the same members those of one."""
+    told = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit("again"))).alias("y")]
+    several = classed.groupBy("key").agg(*told, (F.min("class") != F.max("class")).alias("several")).where("several")
+    kept = store(several.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"))
+    return spread_join(classed, kept, "key")
+
+
 @temporary
-def _open(matches: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, rep, class: the members of keys whose members lie in several classes.
+def _still_open(some: DataFrame, labels: DataFrame) -> DataFrame:
+    """_open once more, after classes were joined."""
+    fresh = spread_join(some.drop("class"), labels.select(F.col("node").alias("rep"), F.col("component").alias("class")), "rep", "left")
+    return _apart(store(fresh.select("key", "rep", F.coalesce("class", "rep").alias("class"))))
+
+
+@temporary
+def _open(matches: DataFrame, met: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
+    """key, rep, class: the members of keys whose members lie in several classes, as far as _needed.
 
     met: the pairs of matches that are not known to be linked. Members of a key hang together
     through their centers, so a key whose matches all lie in one class is done. Of keys with
@@ -312,9 +363,7 @@ def _open(matches: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
     members = still.select("key", F.col("member").alias("rep")).union(still.select("key", F.col("center").alias("rep"))).distinct()
     classed = spread_join(store(members), of("rep", "class"), "rep", "left")
     classed = store(classed.select("key", "rep", F.coalesce("class", "rep").alias("class")))
-    told = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit("again"))).alias("y")]
-    kept = store(classed.groupBy("key").agg(*told).groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"))
-    return spread_join(classed, kept, "key")
+    return _apart(store(_needed(classed, known)))
 
 
 @temporary
@@ -368,7 +417,9 @@ def _further(docs: DataFrame, some: DataFrame, known: DataFrame, percent: int, s
     )
     tiled = store(tiled)
     longer = _long_sketches(docs, known, some, size)
-    facts = known.select("rep", "n_shingles", *SKETCH).join(some.select("rep").distinct(), "rep", "left_semi").join(longer, "rep", "left")
+    ids = some.select(F.col("rep").alias("doc_id"))
+    facts = _in_slots(known.select("rep", "n_shingles", *SKETCH), ids, "left_semi", "rep")
+    facts = facts.join(some.select("rep").distinct(), "rep", "left_semi").join(longer, "rep", "left")
     # the long sketch holds the short one
     facts = store(facts.select("rep", "n_shingles", *[F.when(F.col("sketch").isNull(), F.col(s)).alias(s) for s in SKETCH], "sketch"))
     full = spread_join(tiled, facts, "rep")
@@ -473,7 +524,8 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     Steps: equal sets are found by their 128-bit sums. Blocks of the parity sketches are
     joined (see block_keys); every member of a shared block is paired with the smallest one,
     pairs that the sketches allow are verified on the whole sets, and classes are formed.
-    Members of blocks that still lie in different classes are paired with other centers, if
+    Members of blocks that still lie in different classes (without the most popular blocks, as linked sets
+    share many: see _needed) are paired with other centers, if
     some block has very many and as long as that joins many. What is then left open is compared pair by pair in the workers, by
     sketches whose bits follow the size of the sets: first the most alike members of any two
     classes are verified, then all pairs of classes that stayed apart, so no link is missed.
@@ -484,8 +536,8 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     totals = rows.agg(F.max("n_shingles"), F.sum("n_shingles")).first()
     bands = Bands(percent, int(totals[0] or 0))
     of_set = ["set_a", "set_b", "n_shingles"]
-    sets = store(real.groupBy(*of_set).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(s).alias(s) for s in SKETCH + CODES]))
-    known = sets.select("rep", "n_shingles", *SKETCH, *CODES)
+    sets = store(real.groupBy(*of_set).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(s).alias(s) for s in SKETCH + CODES + MORE]))
+    known = sets.select("rep", "n_shingles", *SKETCH, *CODES, *MORE)
     # copies of a set, each with the smallest document of the set; the sums and the size are compared after the join on their hash
     several = sets.where("copies > 1").select(F.xxhash64(*of_set).alias("set"), *[F.col(c).alias(f"r_{c}") for c in of_set], "rep")
     found = spread_join(real.select("doc_id", *of_set, F.xxhash64(*of_set).alias("set")), several, "set")
@@ -507,7 +559,8 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     # other centers for very popular keys, while they still join many classes; then the most alike of any two classes, then all that is left
     unlinked = met.select("*", *_ordered("member", "center")).join(edges.select("a", "b"), ["a", "b"], "left_anti")
     unlinked = store(unlinked.select("member", "center"))
-    some = _open(matches, unlinked, labels)
+    some = _open(matches, unlinked, labels, known)
+    discard(matches, met)
     largest = some.groupBy("key").count().agg(F.max("count")).first()[0] or 0
     turn = 1 if largest > TILE else TURNS + 1
     while turn <= TURNS + 2 and largest:
@@ -522,8 +575,8 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
             edges = store(edges.union(links))
             labels = components(edges)
             if turn <= TURNS + 1:
-                discard(some)
-                some = _open(matches, unlinked, labels)
+                some = _still_open(before := some, labels)
+                discard(before)
                 largest = some.limit(1).count()
         turn = TURNS + 1 if few else turn + 1
 
@@ -543,8 +596,10 @@ def _allowed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     set's of the following one. Blocks that differ are at most as many as differing shingles.
     """
     wide = ["n_shingles", *SKETCH]
-    left = spread_join(pairs, known.select(F.col("rep").alias("a"), *wide), "a")
-    right = spread_join(store(left), known.select(F.col("rep").alias("b"), *[F.col(c).alias(f"o_{c}") for c in wide]), "b")
+    ends = lambda some: some.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    met = _in_slots(known.select("rep", *wide), ends(pairs), "left_semi", "rep")
+    left = spread_join(pairs, met.select(F.col("rep").alias("a"), *wide), "a")
+    right = spread_join(store(left), met.select(F.col("rep").alias("b"), *[F.col(c).alias(f"o_{c}") for c in wide]), "b")
     near = store(right.where(_near(percent)).select("a", "b").distinct())
     bands = Bands(percent, 1)
 
@@ -563,8 +618,9 @@ def _allowed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen)], names=["a", "b"])
 
     parts = ["n_shingles", *CODES]
-    first = spread_join(near, known.select(F.col("rep").alias("a"), *parts), "a")
-    both = spread_join(first, known.select(F.col("rep").alias("b"), *[F.col(c).alias(f"o_{c}") for c in parts]), "b", counted=near)
+    met = store(_in_slots(known.select("rep", *parts), ends(near), "left_semi", "rep"))
+    first = spread_join(near, met.select(F.col("rep").alias("a"), *parts), "a")
+    both = spread_join(first, met.select(F.col("rep").alias("b"), *[F.col(c).alias(f"o_{c}") for c in parts]), "b", counted=near)
     return map_batches(both.select("a", "b", *parts, *[f"o_{c}" for c in parts]), compare, "a long, b long").distinct()
 
 

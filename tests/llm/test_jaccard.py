@@ -105,3 +105,51 @@ def test_only_the_result_stays_on_disk(spark):
                 low, high = sorted((label[a], label[b]))
                 label = {i: low if x == high else x for i, x in label.items()}
     assert {r.doc_id: r.component_id for r in found.collect()} == label
+
+
+def test_linked_sets_share_more_keys_than_each_may_do_without():
+    random = np.random.default_rng(31)
+    draw = lambda n: np.unique(random.integers(0, 2**63, n, np.int64).view(U64))
+    bands, spared = jaccard_join.Bands(80, 4_000), 0
+    for size in (3, 12, 40, 90, 300, 1_200):
+        for _ in range(30):
+            base, changes = draw(size), int(random.integers(0, size // 10 + 1))
+            other = np.unique(np.concatenate([base[changes:], draw(changes)])) if changes else base
+            if 100 * len(np.intersect1d(base, other)) < 80 * len(np.union1d(base, other)):
+                continue
+            pair = [(s, bands.of(len(s))) for s in (base, other)]
+            for band in {b + k for _, b in pair for k in (0, 1)}:
+                if all(band - b in (0, 1) for _, b in pair):
+                    keys = [jaccard_join.block_keys(s, band, bands) for s, _ in pair]
+                    assert all((k >> U64(32) & U64(1) == U64(band & 1)).all() for k in keys)
+                    more = max(jaccard_join.shared_more(jaccard_join.block_bytes(s, band, bands), band, bands) for s, _ in pair)
+                    assert len(np.intersect1d(*keys)) >= (more + 2 if more else 1)
+                    spared += more
+    assert spared > 0
+
+
+def test_popular_keys_are_left_out_as_far_as_allowed(spark):
+    # keys 2, 4, 6 are of even bands, 7 of an odd one; document 1 may do without two even ones, 2 without none
+    classed = spark.createDataFrame([(k, r, r) for k, r in [(2, 1), (2, 2), (2, 3), (4, 1), (4, 2), (6, 1), (7, 1), (7, 3)]], "key long, rep long, class long")
+    known = spark.createDataFrame([(1, 2, 0), (2, 0, 0), (3, 5, 0)], "rep long, even_more int, odd_more int")
+    left = jaccard_join._needed(classed, known).collect()
+    assert sorted((r.key, r.rep) for r in left) == [(2, 2), (4, 2), (6, 1), (7, 1), (7, 3)]
+
+
+def test_equal_sets_of_repeated_and_single_ids_both_meet_others(spark):
+    text = [f"a{k}" for k in range(60)]
+    near = " ".join([*text[:-2], "x", "y"])
+    rows = [(5, " ".join(text)), (5, " ".join(f"b{k}" for k in range(60))), (3, " ".join(text)), (9, near)]
+    found = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {5: 3, 3: 3, 9: 3}
+
+
+def test_counts_inside_a_step_drop_their_shuffle_files(spark):
+    held = []
+
+    @tables.temporary
+    def step(df):
+        held.append(spark.conf.get(tables.FREE_SHUFFLES))
+        return df.limit(df.count())
+
+    assert step(spark.range(3)).count() == 3 and held == ["true"]
