@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapweave.llm.arrays import FOLD, SPACES, U64, mix, shingle_sets, words
 from gapweave.llm.components import components
-from gapweave.llm.tables import discard, give_back, map_batches, spread_join, store, temporary
+from gapweave.llm.tables import discard, few, give_back, map_batches, spread_join, store, temporary
 
 WORDS = 5
 PERCENT = 80
@@ -277,10 +277,27 @@ def _in_slots(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
     return docs.select("*", _slot(key)).join(slots, "slot", how).drop("slot")
 
 
+def _of(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs whose key is a doc_id of ids. Few ids are broadcast; else hardly any other docs are shuffled."""
+    if few(ids):
+        return docs.join(F.broadcast(ids.select(F.col("doc_id").alias(key))), key, "left_semi")
+    ids = store(ids.distinct())
+    return _in_slots(docs, ids, "left_semi", key).join(ids.select(F.col("doc_id").alias(key)), key, "left_semi")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if few(df) else df
+
+
+def _once(pairs: DataFrame, single: bool) -> DataFrame:
+    """Each pair once. It is there once if every document has one set (single)."""
+    return pairs if single else pairs.distinct()
+
+
 @temporary
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int, size: int, single: bool) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets reach the similarity. Of documents in no pair hardly any is shuffled."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [s.view(np.int64) for part in words(batch.column(1), SPACES, FOLD) for s in shingle_sets(part, size)]
@@ -288,14 +305,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> Dat
         flat = np.concatenate(found) if found else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "shingles"])
 
-    rows = _in_slots(_identified(docs), ends, "left_semi").join(ends, "doc_id", "left_semi")
+    rows = _of(_identified(docs), ends)
     held = store(map_batches(rows.select("doc_id", "text"), sets, "id long, shingles array<long>").where(F.size("shingles") > 0))
     first = spread_join(pairs, held.select(F.col("id").alias("b"), F.col("shingles").alias("q")), "b")
     # a (the smaller, often a center) may be in very many pairs
     both = spread_join(first, held.select(F.col("id").alias("a"), F.col("shingles").alias("p")), "a", counted=pairs.select("a", "b"))
     shared = F.size(F.array_intersect("p", "q"))
     union = F.size("p") + F.size("q") - shared
-    return both.where(100 * shared >= percent * union).select("a", "b").distinct()
+    return _once(both.where(100 * shared >= percent * union).select("a", "b"), single)
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -316,6 +333,7 @@ def _needed(classed: DataFrame, known: DataFrame) -> DataFrame:
     popular = store(classed.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     # a document of several sets keeps all its keys
     alone = known.groupBy("rep").agg(F.count(F.lit(1)).alias("sets"), *[F.max(m).alias(m) for m in MORE]).where("sets = 1").drop("sets")
+    alone = store(alone)
     held = store(spread_join(classed, popular, "key"))
     bounded = spread_join(held, alone, "rep", "left")
     odd = F.col("key").bitwiseAND(F.lit(1))
@@ -358,7 +376,7 @@ def _open(matches: DataFrame, met: DataFrame, labels: DataFrame, known: DataFram
     apart = store(both.where(F.col("x") != F.coalesce("y", "center")).select("member", "center"))
     if not apart.limit(1).count():
         return apart.select(F.col("member").alias("key"), F.col("member").alias("rep"), F.col("member").alias("class"))
-    open_keys = store(matches.join(apart, ["member", "center"]).select("key").distinct())
+    open_keys = store(matches.join(_small(apart), ["member", "center"]).select("key").distinct())
     still = store(spread_join(matches, open_keys, "key"))
     members = still.select("key", F.col("member").alias("rep")).union(still.select("key", F.col("center").alias("rep"))).distinct()
     classed = spread_join(store(members), of("rep", "class"), "rep", "left")
@@ -385,24 +403,25 @@ def long_sketch(shingles: np.ndarray) -> bytes:
 
 
 @temporary
-def _long_sketches(docs: DataFrame, known: DataFrame, some: DataFrame, size: int) -> DataFrame:
-    """rep, sketch: the long sketches of the open members above LONG_SET."""
-    wanted = some.select(F.col("rep").alias("doc_id")).distinct()
-    ids = store(wanted.join(known.where(F.col("n_shingles") > LONG_SET).select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
+def _long_sketches(docs: DataFrame, known: DataFrame, wanted: DataFrame, size: int, single: bool) -> DataFrame:
+    """rep, sketch: the long sketches of the documents in wanted above LONG_SET."""
+    ids = store(_of(known.where(F.col("n_shingles") > LONG_SET).select("rep"), wanted, "rep").select(F.col("rep").alias("doc_id")))
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [long_sketch(s) if len(s) else b"" for part in words(batch.column(1), SPACES, FOLD) for s in shingle_sets(part, size)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "sketch"])
 
-    rows = _in_slots(_identified(docs), ids, "left_semi").join(ids, "doc_id", "left_semi")
+    rows = _of(_identified(docs), ids)
     found = map_batches(rows.select("doc_id", "text"), sketch, "rep long, sketch binary")
+    if single:
+        return found.where(F.octet_length("sketch") > 0)
     # several texts of one document may differ: it then goes without
     one = found.groupBy("rep").agg(F.count(F.lit(1)).alias("texts"), F.first("sketch").alias("sketch"))
     return one.where("texts = 1").drop("texts")
 
 
 @temporary
-def _further(docs: DataFrame, some: DataFrame, known: DataFrame, percent: int, size: int, every: bool) -> DataFrame:
+def _further(docs: DataFrame, some: DataFrame, known: DataFrame, percent: int, size: int, every: bool, single: bool) -> DataFrame:
     """Pairs of open members of one key that lie in different classes and that their sketches allow.
 
     The members are compared tile by tile, so a popular key is spread over many tasks. Of two
@@ -416,10 +435,9 @@ def _further(docs: DataFrame, some: DataFrame, known: DataFrame, percent: int, s
         .select("key", "rep", "class", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
     )
     tiled = store(tiled)
-    longer = _long_sketches(docs, known, some, size)
-    ids = some.select(F.col("rep").alias("doc_id"))
-    facts = _in_slots(known.select("rep", "n_shingles", *SKETCH), ids, "left_semi", "rep")
-    facts = facts.join(some.select("rep").distinct(), "rep", "left_semi").join(longer, "rep", "left")
+    ids = store(some.select(F.col("rep").alias("doc_id")).distinct())
+    longer = _long_sketches(docs, known, ids, size, single)
+    facts = _of(known.select("rep", "n_shingles", *SKETCH), ids, "rep").join(_small(longer), "rep", "left")
     # the long sketch holds the short one
     facts = store(facts.select("rep", "n_shingles", *[F.when(F.col("sketch").isNull(), F.col(s)).alias(s) for s in SKETCH], "sketch"))
     full = spread_join(tiled, facts, "rep")
@@ -545,6 +563,7 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     owner = store(found.where(equal[0] & equal[1] & equal[2] & (F.col("doc_id") != F.col("rep"))).select("doc_id", "rep").distinct())
     # rows of one doc_id with different sets hang together
     repeated = store(real.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    single = not repeated.count()
     joint = owner.join(repeated, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     extra = store(owner.join(repeated, "doc_id", "left_anti").select("doc_id").distinct())
 
@@ -553,20 +572,20 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     chosen = _in_slots(texts, extra, "left_anti").union(_in_slots(texts, extra, "left_semi").join(extra, "doc_id", "left_anti"))
     matches = store(block_matches(chosen, bands, int(totals[1] or 0), size))
     met = store(matches.select("member", "center").distinct())
-    pairs = store(met.select(*_ordered("member", "center")).where("a != b").distinct())
-    edges = store(_verified(docs, _allowed(pairs, known, percent), percent, size).union(joint))
+    pairs = store(met.select(*_ordered("member", "center")).where("a != b"))  # a center is the smaller one
+    edges = store(_verified(docs, _allowed(pairs, known, percent, single), percent, size, single).union(joint))
     labels = components(edges)
     # other centers for very popular keys, while they still join many classes; then the most alike of any two classes, then all that is left
-    unlinked = met.select("*", *_ordered("member", "center")).join(edges.select("a", "b"), ["a", "b"], "left_anti")
+    unlinked = met.select("*", *_ordered("member", "center")).join(_small(edges.select("a", "b")), ["a", "b"], "left_anti")
     unlinked = store(unlinked.select("member", "center"))
     some = _open(matches, unlinked, labels, known)
     discard(matches, met)
     largest = some.groupBy("key").count().agg(F.max("count")).first()[0] or 0
     turn = 1 if largest > TILE else TURNS + 1
     while turn <= TURNS + 2 and largest:
-        tried = _stars(some, turn) if turn <= TURNS else _further(docs, some, known, percent, size, turn > TURNS + 1)
-        tried = store(tried.join(pairs, ["a", "b"], "left_anti"))
-        links = _verified(docs, _allowed(tried, known, percent), percent, size)
+        tried = _stars(some, turn) if turn <= TURNS else _further(docs, some, known, percent, size, turn > TURNS + 1, single)
+        tried = store(tried.join(_small(pairs), ["a", "b"], "left_anti"))
+        links = _verified(docs, _allowed(tried, known, percent, single), percent, size, single)
         found = links.count()
         few = turn <= TURNS and found * 50 < some.select("rep").distinct().count()
         if turn <= TURNS + 1:
@@ -581,7 +600,7 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
         turn = TURNS + 1 if few else turn + 1
 
     # a document's class is that of its set's smallest document, or its own
-    nodes = rows.select("doc_id").where(F.col("doc_id").isNotNull()).join(owner, "doc_id", "left")
+    nodes = rows.select("doc_id").where(F.col("doc_id").isNotNull()).join(_small(owner), "doc_id", "left")
     nodes = store(nodes.select("doc_id", F.coalesce("rep", "doc_id").alias("node")).distinct())
     classed = spread_join(nodes, labels, "node", "left")
     label = store(classed.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id")))
@@ -589,7 +608,7 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
 
 
 @temporary
-def _allowed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _allowed(pairs: DataFrame, known: DataFrame, percent: int, single: bool) -> DataFrame:
     """The pairs (a, b) whose sketches allow the similarity, first the short ones, then block by block.
 
     Two sets in one band compare their bytes of that band, in neighbouring bands the smaller
@@ -597,10 +616,13 @@ def _allowed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """
     wide = ["n_shingles", *SKETCH]
     ends = lambda some: some.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    met = _in_slots(known.select("rep", *wide), ends(pairs), "left_semi", "rep")
+    met = known.select("rep", *wide)
+    all_few = few(met)
+    if not all_few:
+        met = store(_in_slots(met, ends(pairs), "left_semi", "rep"))
     left = spread_join(pairs, met.select(F.col("rep").alias("a"), *wide), "a")
-    right = spread_join(store(left), met.select(F.col("rep").alias("b"), *[F.col(c).alias(f"o_{c}") for c in wide]), "b")
-    near = store(right.where(_near(percent)).select("a", "b").distinct())
+    right = spread_join(left if all_few else store(left), met.select(F.col("rep").alias("b"), *[F.col(c).alias(f"o_{c}") for c in wide]), "b")
+    near = store(_once(right.where(_near(percent)).select("a", "b"), single))
     bands = Bands(percent, 1)
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -618,10 +640,10 @@ def _allowed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen)], names=["a", "b"])
 
     parts = ["n_shingles", *CODES]
-    met = store(_in_slots(known.select("rep", *parts), ends(near), "left_semi", "rep"))
+    met = store(_of(known.select("rep", *parts), ends(near), "rep"))
     first = spread_join(near, met.select(F.col("rep").alias("a"), *parts), "a")
     both = spread_join(first, met.select(F.col("rep").alias("b"), *[F.col(c).alias(f"o_{c}") for c in parts]), "b", counted=near)
-    return map_batches(both.select("a", "b", *parts, *[f"o_{c}" for c in parts]), compare, "a long, b long").distinct()
+    return _once(map_batches(both.select("a", "b", *parts, *[f"o_{c}" for c in parts]), compare, "a long, b long"), single)
 
 
 def first_of_class(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:

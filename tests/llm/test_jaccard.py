@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gapweave.llm import jaccard_join, tables
+from gapweave.llm import components, jaccard_join, tables
 from gapweave.llm.arrays import U64
 from tests.llm.test_operators import SCHEMA, classes
 
@@ -153,3 +153,57 @@ def test_counts_inside_a_step_drop_their_shuffle_files(spark):
         return df.limit(df.count())
 
     assert step(spark.range(3)).count() == 3 and held == ["true"]
+
+
+def jobs_of(spark, name, fn):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return fn(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_small_graph_takes_few_jobs(spark):
+    rows = [(k, k + 1) for k in range(100, 400)] + [(3, 2), (2, 9), (9, 3), (9, 3), (5, 5), (None, 2), (7, None)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    found, jobs = jobs_of(spark, "small graph", lambda: components.components(edges))
+    assert {r.node: r.component for r in found.collect()} == {k: 100 for k in range(100, 401)} | {2: 2, 3: 2, 9: 2}
+    assert jobs <= 6
+
+
+@pytest.mark.parametrize("most", [0, 20, 1_000])
+def test_the_rest_of_a_graph_meets_the_rounds_before(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "REST_EDGES", most)
+    random = np.random.default_rng(3)
+    rows = [tuple(map(int, pair)) for pair in random.integers(0, 150, (110, 2))]
+    found = components.components(spark.createDataFrame(rows, "a long, b long")).collect()
+    want = {x: x for a, b in rows if a != b for x in (a, b)}
+    for a, b in rows:
+        if a != b:
+            low, high = sorted((want[a], want[b]))
+            want = {x: low if label == high else label for x, label in want.items()}
+    assert {r.node: r.component for r in found} == want and len(found) == len(want)
+
+
+def test_few_rows_join_without_a_shuffle(spark, monkeypatch):
+    left = tables.store(spark.range(5_000).selectExpr("id % 7 AS k", "id"))
+    right = tables.store(spark.createDataFrame([(k, 10 * k, bytes(k), [k] * k) for k in range(5)], "k long, v long, b binary, l array<long>"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        few = tables.spread_join(left, right, "k", "left")
+        assert "BroadcastHashJoin" in plan(few) and "hashpartitioning" not in plan(few)
+        rows = sorted(map(tuple, few.drop("b", "l").collect()))
+        monkeypatch.setattr(tables, "FEW_BYTES", 0)
+        many = tables.spread_join(left, right, "k", "left")
+        assert "hashpartitioning" in plan(many) and sorted(map(tuple, many.drop("b", "l").collect())) == rows and len(rows) == 5_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_an_empty_row_of_a_long_document_takes_no_part(spark):
+    text = [f"a{k}" for k in range(400)]
+    rows = [(1, " ".join(text)), (1, ""), (2, " ".join([*text[:-3], "x", "y", "z"])), (3, "b " * 9), (3, None)]
+    found = jaccard_join.jaccard_classes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (1, 1), (2, 1), (3, 3), (3, 3)]
