@@ -616,10 +616,8 @@ def _allowed(pairs: DataFrame, known: DataFrame, percent: int, single: bool) ->
     """
     wide = ["n_shingles", *SKETCH]
     ends = lambda some: some.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    met = known.select("rep", *wide)
+    met = store(_of(known.select("rep", *wide), ends(pairs), "rep"))
     all_few = few(met)
-    if not all_few:
-        met = store(_in_slots(met, ends(pairs), "left_semi", "rep"))
     left = spread_join(pairs, met.select(F.col("rep").alias("a"), *wide), "a")
     right = spread_join(left if all_few else store(left), met.select(F.col("rep").alias("b"), *[F.col(c).alias(f"o_{c}") for c in wide]), "b")
     near = store(_once(right.where(_near(percent)).select("a", "b"), single))
