@@ -207,3 +207,15 @@ def test_an_empty_row_of_a_long_document_takes_no_part(spark):
     rows = [(1, " ".join(text)), (1, ""), (2, " ".join([*text[:-3], "x", "y", "z"])), (3, "b " * 9), (3, None)]
     found = jaccard_join.jaccard_classes(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (1, 1), (2, 1), (3, 3), (3, 3)]
+
+
+def test_no_table_counts_as_few(spark, monkeypatch):
+    monkeypatch.setattr(tables, "FEW_BYTES", -1)
+    monkeypatch.setattr(tables, "FEW_ROWS", -1)
+    monkeypatch.setattr(components, "REST_EDGES", 0)
+    text = [f"a{k}" for k in range(300)]
+    rows = [(k, " ".join([f"n{k}" if 10 * j <= 2 * k and j < 5 else w for j, w in enumerate(text)])) for k in range(1, 12)]
+    rows += [(20 + k, f"one line that stands in every text of some {k} " + " ".join(f"s{k}y{j}" for j in range(9))) for k in range(10)]
+    rows += [(40, " ".join(text)), (40, rows[-1][1]), (41, ""), (42, "one")]
+    found = jaccard_join.jaccard_classes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in found} == classes(rows)
