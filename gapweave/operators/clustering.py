@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gapweave.operators import blocks as comparing, lloyd
 from gapweave.operators.blocks import against_all, steps, to_matrix, unit_rows
+from gapweave.operators.forests import roots, unite
 from gapweave.operators.lineage import checkpointed
 from gapweave.operators.pivots import against_near, blocked, radius
 from gapweave.operators.ranking import rank_within
 from gapweave.operators.similarity import knn
 
 LIST_ROWS = 1000
-NO_LABEL = -(1 << 63)
 
 
 def _features(points: DataFrame) -> DataFrame:
@@ -188,115 +188,249 @@ def member_lists(labelled: DataFrame, member: str, position: str, rows: int = LI
     return ranked.groupBy("cluster", part).agg(F.transform(ordered, lambda r: r.getField("member")).alias("members"))
 
 
-def _all_pairs(left, right, work, schema, rows=None):
-    return against_all(left, right, work, schema, rows=rows)
+def _least_dot(eps: float, digits: int) -> float:
+    """The smallest product of two directions whose cosine distance, rounded, is at most eps (exact, found by halving)."""
+    near = lambda dot: np.round(1.0 - np.array([dot]), digits)[0] <= eps
+    low, high = -4.0, 4.0
+    if near(low) or not near(high):
+        return -np.inf if near(low) else np.inf
+    while low < (middle := (low + high) / 2) < high:
+        low, high = (low, middle) if near(middle) else (middle, high)
+    return high
 
 
-def _count_near(points: DataFrame, eps: float, digits: int, compare=_all_pairs) -> DataFrame:
-    def count(batches, right):
-        if right.num_rows == 0:
-            return
-        others = unit_rows(to_matrix(right.column("vector")))
-        for batch in steps(batches, len(others)):
-            gaps = np.round(1.0 - unit_rows(to_matrix(batch.column("vector"))) @ others.T, digits)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array((gaps <= eps).sum(axis=1), pa.int64())], names=["id", "near"]
-            )
+def _units(table) -> np.ndarray:
+    return unit_rows(to_matrix(table.column("vector")))
+
 
-    return compare(points, points, count, "id bigint, near bigint").groupBy("id").agg(F.sum("near").alias("near"))
+def _for_each(points: DataFrame, others: DataFrame, rows: tuple[int, int], summary, schema: str, compare) -> DataFrame:
+    """(id, value): a summary of the others near each of points, in parts that the caller merges.
 
+    summary is (start, merge, part): part(directions of points, table of others) gives a value a point, and merge puts two
+    together; a point that keeps the start value is left out. Where the points are few they go to every task,
+    and the others stream past without a shuffle. rows: how many points and others there are.
+    """
+    start, merge, part = summary
+    names = [f.split()[0] for f in schema.split(", ")]
 
-def _smallest_near(points: DataFrame, core: DataFrame, rows: int, eps: float, digits: int, compare=_all_pairs) -> DataFrame:
-    """Smallest other label among the core points within ``eps`` of each point (id, vector, label)."""
+    def found(ids, values):
+        some = values != start
+        return pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(values[some], pa.int64())], names=names)
 
-    def smallest(batches, right):
+    def past_points(batches, right):
         if right.num_rows == 0:
             return
-        others = unit_rows(to_matrix(right.column("vector")))
-        labels = right.column("label").to_numpy()
-        none = np.iinfo(np.int64).max
-        for batch in steps(batches, len(others)):
-            gaps = np.round(1.0 - unit_rows(to_matrix(batch.column("vector"))) @ others.T, digits)
-            other = batch.column("label").to_numpy()[:, None] != labels[None, :]
-            least = np.where((gaps <= eps) & other, labels[None, :], none).min(axis=1)
-            found = least != none
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").filter(pa.array(found)), pa.array(least[found], pa.int64())], names=["id", "label"]
-            )
-
-    found = compare(points, core, smallest, "id bigint, label bigint", rows=rows)
-    return found.groupBy("id").agg(F.min("label").alias("label"))
+        own, values = _units(right), np.full(right.num_rows, start)
+        for batch in steps(batches, len(own)):
+            values = merge(values, part(own, batch, _units(batch)))
+        yield found(right.column("id").to_numpy(), values)
+
+    def past_others(batches, right):
+        if right.num_rows == 0:
+            return
+        unit = _units(right)
+        for batch in steps(batches, len(unit)):
+            yield found(batch.column("id").to_numpy(), merge(np.full(batch.num_rows, start), part(_units(batch), right, unit)))
 
+    if rows[0] <= comparing.MAX_BLOCK_ROWS:
+        return against_all(others, points, past_points, schema, rows=rows[0])
+    return compare(points, others, past_others, schema, rows[1])
 
-def _roots(hooks: DataFrame) -> DataFrame:
-    """(label, root) from (label, parent), where each cluster names its smallest neighbour.
 
-    Such names form trees whose only cycles are two clusters naming each other; the
-    smaller of the two, which is the smallest of its tree, becomes the root. Each step doubles the way up, on one row per cluster.
-    """
-    up = lambda df: df.select(F.col("label").alias("parent"), F.col("parent").alias("above"))
-    pairs = hooks.join(up(hooks), "parent", "left")
-    root = (F.col("above") == F.col("label")) & (F.col("label") < F.col("parent"))
-    hooks = checkpointed(pairs.select("label", F.when(root, F.col("label")).otherwise(F.col("parent")).alias("parent")))
-    while True:
-        jumped = hooks.join(up(hooks), "parent", "left").select("label", F.coalesce("above", "parent").alias("above"), "parent")
-        jumped = checkpointed(jumped)
-        hooks = jumped.select("label", F.col("above").alias("parent"))
-        if jumped.where("above <> parent").isEmpty():
-            return hooks.withColumnRenamed("parent", "root")
+def _count_near(points: DataFrame, others: DataFrame, rows: tuple[int, int], least: float, compare) -> DataFrame:
+    """(id, near): how many of the others are near each of points (id, vector); a point without any is left out."""
+    counted = (0, np.add, lambda unit, _, other: np.count_nonzero(unit @ other.T >= least, axis=1))
+    return _for_each(points, others, rows, counted, "id bigint, near bigint", compare).groupBy("id").agg(F.sum("near").alias("near"))
+
+
+def _smallest_near(points: DataFrame, core: DataFrame, rows: tuple[int, int], least: float, compare) -> DataFrame:
+    """Smallest label among the core points (id, vector, label) near each of points (id, vector); a point without any is left out."""
+    none = np.iinfo(np.int64).max
+
+    def part(unit, table, other):
+        labels = table.column("label").to_numpy()
+        order = np.argsort(labels, kind="stable")
+        near = unit @ other[order].T >= least
+        first = near.argmax(axis=1)
+        return np.where(near[np.arange(len(near)), first], labels[order][first], none)
+
+    found = _for_each(points, core, rows, (none, np.minimum, part), "id bigint, label bigint", compare)
+    return found.groupBy("id").agg(F.min("label").alias("label"))
 
 
-def _compare_near(rows: DataFrame, eps: float, digits: int):
-    """How dbscan compares points: all with all while one side fits a task, else blocks that may hold neighbours.
+def _joins(least: float):
+    """Work that finds which labels of the left batches and of the right table have points near each other, as the edges of a forest."""
+
+    def work(batches, right):
+        if right.num_rows == 0:
+            return
+        edges = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["label", "other"])
+        others = _units(right)
+        names, theirs = np.unique(right.column("label").to_numpy(), return_inverse=True)
+        width = len(names)
+        parent = np.arange(width)
+        for batch in steps(batches, len(others)):
+            labels, places = np.unique(batch.column("label").to_numpy(), return_inverse=True)
+            known = np.minimum(np.searchsorted(names, labels), width - 1)
+            fresh = names[known] != labels
+            node = np.where(fresh, width + np.cumsum(fresh) - 1, known)
+            parent = np.concatenate([parent, np.arange(width, width + fresh.sum())])
+            own = node[places]
+            near = _units(batch) @ others.T >= least
+            # Few pairs are united at once; of many, a row's first one with another root, until no pair has two.
+            while np.count_nonzero(near) > near.size // 64:
+                near &= parent[own][:, None] != parent[theirs]
+                first = near.argmax(axis=1)
+                some = near[np.arange(len(near)), first]
+                unite(parent, own[some], theirs[first[some]])
+            mine, met = np.nonzero(near)
+            unite(parent, own[mine], theirs[met])
+            linked = fresh & (parent[node] < width)
+            yield edges(labels[linked], names[parent[node[linked]]])
+            parent = parent[:width]
+        moved = parent != np.arange(width)
+        yield edges(names[moved], names[parent[moved]])
+
+    return work
+
+
+def _compare_near(rows: DataFrame, count: int, eps: float, digits: int):
+    """How dbscan compares more points than fit a task: blocks that may hold neighbours, found when first needed.
 
     Below a distance of 1 neighbours are at an acute angle, and a zero vector has none.
     """
-    count = rows.count()
-    if count <= comparing.MAX_BLOCK_ROWS or eps >= 1.0:
-        return _all_pairs
-    found = blocked(rows, radius(eps, digits), count)
-    if found is None:
-        return _all_pairs
+    found = []
 
-    def compare(left, right, work, schema, rows=None):
-        return against_near(left, right, work, schema, found)
+    def compare(left, right, work, schema, right_rows):
+        if right_rows <= comparing.MAX_BLOCK_ROWS or eps >= 1.0:
+            return against_all(left, right, work, schema, rows=right_rows)
+        if not found:
+            found.append(blocked(rows, radius(eps, digits), count))
+        if found[0] is None:
+            return against_all(left, right, work, schema, rows=right_rows)
+        return against_near(left, right, work, schema, found[0])
 
     return compare
 
 
+def _part(parts: int):
+    """Number of the part of about MAX_BLOCK_ROWS rows that a row is in, by a hash of its id."""
+    return F.pmod(F.xxhash64("id", F.lit("part")), F.lit(parts))
+
+
+def _dense(rows: DataFrame, count: int, least: float, min_samples: int, compare) -> DataFrame:
+    """(key, near) of rows (id, key, vector): how many rows are near those of each key; exact below min_samples, else min_samples at least.
+
+    The rows meet one part of the table after another, and those with neighbours enough drop out. Once few are left,
+    or a part settles less than half of them, they meet all parts that are left at once.
+    """
+    parts = max(1, -(-count // comparing.MAX_BLOCK_ROWS))
+    # a null key is no point of the result, but a neighbour of others
+    open_, left = rows.where(F.col("key").isNotNull()).withColumn("near", F.lit(0).cast("bigint")), count
+    schema = f"id bigint, key bigint, vector {rows.schema['vector'].dataType.simpleString()}, near bigint"
+    settled = []
+
+    def add(batches, right):
+        unit = _units(right) if right.num_rows else None
+        for batch in steps(batches, right.num_rows):
+            near = batch.column("near").to_numpy()
+            if unit is not None:
+                near = near + np.count_nonzero(_units(batch) @ unit.T >= least, axis=1)
+            kept = pa.array(np.arange(len(near)), mask=near >= min_samples)  # settled rows leave their vectors
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), batch.column("vector").take(kept), pa.array(near)], schema=batch.schema)
+
+    done = 0
+    while left > comparing.MAX_BLOCK_ROWS and done < parts:
+        held = rows.where(_part(parts) == done).select("id", "vector").toArrow()  # about MAX_BLOCK_ROWS rows
+        added = checkpointed(against_all(open_, held, add, schema, held=held))
+        done += 1
+        settled.append(added.where(F.col("near") >= min_samples).select("key", "near"))
+        open_ = added.where(F.col("near") < min_samples)
+        was, left = left, open_.count()
+        if 2 * left > was:
+            break
+    if left and done < parts:
+        others = rows.where(_part(parts) >= done)
+        more = _count_near(open_, others, (left, count), least, compare).withColumnRenamed("near", "_more")
+        open_ = open_.join(more, "id", "left").withColumn("near", F.col("near") + F.coalesce("_more", F.lit(0)))
+    every = open_.select("key", "near")
+    for some in settled:
+        every = every.unionByName(some)
+    return checkpointed(every.groupBy("key").agg(F.sum("near").alias("near")))
+
+
+def _joined(core: DataFrame, count: int, least: float, compare) -> DataFrame:
+    """(key, label) of the core points (id, key, vector): one label for all keys that hang together by near points.
+
+    The points meet one part of the table after another, and what is found near goes into one cluster. Points of the
+    largest cluster need no more comparisons with each other: only those outside it meet the next part, and
+    once they are few, or a part takes in less than half of them, all points.
+    """
+    parts = max(1, -(-count // comparing.MAX_BLOCK_ROWS))
+    schema = "label bigint, other bigint"
+    work = _joins(least)
+    labels = core.select("key").distinct().withColumn("label", F.col("key"))
+    marked = core.select("id", "vector", F.col("key").alias("label"))
+    outside, left = marked, count
+
+    def merged(edges):
+        return checkpointed(labels.join(roots(edges), "label", "left").select("key", F.coalesce("root", "label").alias("label")))
+
+    for part in range(parts):
+        held = marked.where(_part(parts) == part).toArrow()  # about MAX_BLOCK_ROWS rows
+        labels = merged(against_all(outside, held, work, schema, held=held))
+        if parts == 1:
+            return labels
+        marked = checkpointed(core.join(labels, "key").select("id", "vector", "label"))
+        sizes = marked.groupBy("label").count()
+        largest = sizes.agg(F.max_by("label", "count")).first()[0]
+        outside = marked.where(F.col("label") != largest)
+        was, left = left, outside.count()
+        if left <= comparing.MAX_BLOCK_ROWS or 2 * left > was:
+            break
+    if not left:
+        return labels
+    if left <= comparing.MAX_BLOCK_ROWS:
+        return merged(against_all(marked, outside, work, schema, rows=left))
+    return merged(compare(outside, marked, work, schema, count))
+
+
 def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 2, digits: int = 9) -> DataFrame:
     """Density clusters by cosine distance over (id, vector): (id, cluster), noise -1.
 
-    A point counts itself. Clusters of core points start as single points. In each round
-    every cluster is hooked to the smallest other one it touches, and all that hang
-    together become one, so that at most half of those that touch any remain; rounds are
-    written to the checkpoint folder. Neighbour pairs are never stored. Points too many for one
-    task are cut into blocks, and blocks that cannot hold neighbours are not compared (``pivots``).
+    A point counts itself. The answer is exact, but few pairs need to be compared for it: a point is dense as soon as
+    min_samples near it are found, and two points that are known to hang together are not compared
+    again (``_dense``, ``_joined``). So the work beyond some parts of the table grows with the points that are
+    noise or outside the largest cluster, times all points. Neighbour pairs are never stored. Where points of that kind are too many for one
+    task they are cut into blocks, and blocks that cannot hold neighbours are not compared (``pivots``).
     Clusters are numbered by their smallest core id, and a border point joins the
     first cluster that reaches it.
     """
     # floats travel as they are, and are widened where they are compared
     narrow = points.schema["vector"].dataType.simpleString() == "array<float>"
-    rows = points.select("id", F.col("vector").cast("array<float>" if narrow else "array<double>").alias("vector"))
-    rows = checkpointed(rows.where(F.col("vector").isNotNull()))
-    compare = _compare_near(rows, eps, digits)
-    dense = _count_near(rows, eps, digits, compare).where(F.col("near") >= min_samples).select("id")
-    core = checkpointed(rows.join(dense, "id", "left_semi"))
+    named = points.select(F.col("id").cast("bigint").alias("key"), F.col("vector").cast("array<float>" if narrow else "array<double>").alias("vector"))
+    # keys may repeat: rows have a number of their own
+    rows = checkpointed(named.where(F.col("vector").isNotNull()).select(F.monotonically_increasing_id().alias("id"), "key", "vector"))
+    count = rows.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if count > comparing.MAX_BLOCK_ROWS and rows.rdd.getNumPartitions() < cores:
+        rows = checkpointed(rows.repartition(2 * cores))  # a table may come as one task
+    least = _least_dot(eps, digits)
+    compare = _compare_near(rows, count, eps, digits)
+    near = _dense(rows, count, least, min_samples, compare)
+    core = checkpointed(rows.join(near.where(F.col("near") >= min_samples).select("key"), "key", "left_semi").select("id", "key", "vector"))
     rows_core = core.count()
-    labels = core.select("id", F.col("id").alias("label"))
-    while True:
-        marked = core.join(labels, "id")
-        near = _smallest_near(marked, marked, rows_core, eps, digits, compare).withColumnRenamed("label", "near")
-        hooks = checkpointed(near.join(labels, "id").groupBy("label").agg(F.min("near").alias("parent")))
-        if hooks.isEmpty():
-            break
-        merged = labels.join(_roots(hooks), "label", "left")
-        labels = checkpointed(merged.select("id", F.coalesce("root", "label").alias("label")))
-    outside = rows.join(core.select("id"), "id", "left_anti").withColumn("label", F.lit(NO_LABEL))
-    border = _smallest_near(outside, core.join(labels, "id"), rows_core, eps, digits, compare)
+    labels = _joined(core, rows_core, least, compare)
+    first = labels.groupBy("label").agg(F.min("key").alias("first"))  # a cluster's name is its smallest core id
+    labels = checkpointed(labels.join(first, "label").select("key", F.col("first").alias("label")))
+    # a point that is near itself only has no cluster to join
+    outside = checkpointed(rows.join(near.where(F.col("near") < min_samples).where(F.col("near") > 1).select("key"), "key", "left_semi").select("id", "key", "vector"))
+    reached = _smallest_near(outside, core.join(labels, "key"), (outside.count(), rows_core), least, compare)
+    border = outside.join(reached, "id").groupBy("key").agg(F.min("label").alias("label"))
     numbers = rank_within(labels.select("label").distinct(), [], [F.col("label")], "number")
-    named = labels.unionByName(border).join(numbers, "label").select("id", (F.col("number") - 1).cast("int").alias("cluster"))
-    return points.select("id").join(named, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    placed = core.select("key").join(labels, "key").unionByName(border).join(numbers, "label")
+    found = placed.select(F.col("key").alias("id"), (F.col("number") - 1).cast("int").alias("cluster"))
+    return points.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def spectral(points: DataFrame, k: int = 5, neighbors: int = 10) -> DataFrame:
